@@ -98,7 +98,7 @@ def _buckets(common: list[str], least_words: int):
         for batch in batches:
             uids: list[int] = []
             buckets: list[np.ndarray] = []
-            for uid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for uid, t, kind in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 if uid in sent:
                     continue
                 if len(sent) >= 2_000_000:
@@ -117,13 +117,14 @@ def _buckets(common: list[str], least_words: int):
                     pairs.append(k)
                 codes = np.fromiter((c for c, _ in pairs), np.uint32, len(pairs))
                 rare = np.fromiter((r for _, r in pairs), bool, len(pairs))
-                uids.append(uid)
-                buckets.append(signature(elements(codes[rare])) if (n := int(rare.sum())) else np.empty(0, np.uint64))
-                if n == 0:
-                    uids.pop(), buckets.pop()
+                apart = np.uint64(zlib.crc32(kind.encode()))  # kinds share no bucket
+                n = int(rare.sum())
+                if n:
+                    uids.append(uid)
+                    buckets.append(signature(elements(codes[rare])) ^ apart)
                 if n < FEW or n * 5 < len(words):
                     uids.append(uid)
-                    buckets.append(signature(elements(codes)) ^ np.uint64(0x5555555555555555))
+                    buckets.append(~signature(elements(codes)) ^ apart)
             if uids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.repeat(np.array(uids, np.int64), BANDS))], ["bucket", "uid"])
 
@@ -210,7 +211,7 @@ def near_duplicate_contents(texts: DataFrame, least_words: int = 60, num: int =
     rows = rows.withColumn("uid", F.xxhash64("kind", F.lower("text")))
     members = rows.select("uid", "kind", "id").distinct()
     common = common_words(rows)
-    buckets = rows.select("uid", "text").mapInArrow(_buckets(common, least_words), "bucket bigint, uid bigint")
+    buckets = rows.select("uid", "text", "kind").mapInArrow(_buckets(common, least_words), "bucket bigint, uid bigint")
     partners = buckets.repartition("bucket").mapInArrow(_partners, "these array<bigint>, those array<bigint>")
     pairs = partners.select(F.explode("these").alias("a"), "those").select("a", F.explode("those").alias("b"))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
