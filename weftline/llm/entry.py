@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, components, knn, mixing, neardup, repetition, segment, terms
+from weftline.llm import bpe, components, knn, mixing, names, neardup, pairs, repetition, segment, terms
 from weftline.plans.runtime import table
 
 
@@ -20,6 +20,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return segment.split_texts(long).withColumnRenamed("id", "section_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "graph_entities"), table(spark, d, "name_diminutives"))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.link_variants(table(spark, d, "graph_entities"), table(spark, d, "name_diminutives"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.distinctive(table(spark, d, "chunks"))
 
@@ -29,8 +37,12 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.near_duplicates(neardup.corpus_texts(table(spark, d, "sections"), table(spark, d, "chunks")))
-    return pairs.select("left_id", "right_id").distinct()
+    found = neardup.near_duplicates(neardup.corpus_texts(table(spark, d, "sections"), table(spark, d, "chunks")))
+    return found.select("left_id", "right_id").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "generated_answers"), table(spark, d, "graph_entities"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +87,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_scores, p4_found, p6_found, p6_neighbours, p7_found, p8_ids, p9_shares, p9_documents, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_scores, p4_found, p5_found, p6_found, p6_neighbours, p7_found, p8_ids, p9_shares, p9_documents, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
