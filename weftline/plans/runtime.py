@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it."""
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``root`` (a file or a folder of files)."""
+    share_package(spark)
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
