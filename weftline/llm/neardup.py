@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.components import connected_groups
 from weftline.plans.runtime import cut_lineage
 
 WORD = re.compile(r"[a-z0-9]+")
@@ -239,6 +240,33 @@ def near_duplicates(texts: DataFrame, least_words: int = 60, num: int = 4, den:
     return pairs.select("kind", F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "likeness").distinct()
 
 
+def near_duplicate_classes(texts: DataFrame, least_words: int = 60, num: int = 4, den: int = 5) -> DataFrame:
+    """(kind, id, class_id, links) for every id: the smallest id it is joined to, directly or through others, and its number of direct links.
+
+    Copies are joined to the content they share and never paired; an id without likeness is its own
+    class with 0 links, as are texts that are null or too short. Nulls in kind or id are left out.
+    """
+    links, members = near_duplicate_contents(texts, least_words, num, den)
+    links = cut_lineage(links)
+    held = cut_lineage(members)
+    size = held.groupBy("uid").agg(F.count("*").alias("size"), F.min("id").alias("first"))
+    copies = size.join(links.where("a = b").select(F.col("a").alias("uid")), "uid", "left_semi")
+    ends = links.where("a <> b").select(F.col("a").alias("uid"), F.col("b").alias("other")).unionByName(links.where("a <> b").select(F.col("b").alias("uid"), F.col("a").alias("other")))
+    number = ends.join(size.select(F.col("uid").alias("other"), "size"), "other").groupBy("uid").agg(F.sum("size").alias("n"))
+    named = held.join(copies.select("uid", "first"), "uid").select("kind", F.col("id").alias("x"), F.col("first").alias("y"))
+    lead = size.select("uid", "first")
+    across = links.where("a <> b").join(lead.select(F.col("uid").alias("a"), F.col("first").alias("x")), "a").join(lead.select(F.col("uid").alias("b"), F.col("first").alias("y")), "b")
+    kinds = held.groupBy("uid").agg(F.min("kind").alias("kind"))
+    edges = across.join(kinds.withColumnRenamed("uid", "a"), "a").select("kind", "x", "y").unionByName(named)
+    groups = connected_groups(edges, "kind", "x", "y").select(F.col("scope").alias("kind"), F.col("item_key").alias("id"), F.col("group_key").alias("class_id"))
+    copied = copies.select("uid", (F.col("size") - 1).alias("own"))
+    per = held.join(number, "uid", "left").join(copied, "uid", "left").select("kind", "id", (F.coalesce("n", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("links"))
+    every = texts.where("kind is not null and id is not null").select("kind", "id").distinct()
+    per = per.groupBy("kind", "id").agg(F.sum("links").alias("links"))
+    out = every.join(per, ["kind", "id"], "left").join(groups, ["kind", "id"], "left")
+    return out.select("kind", "id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def corpus_texts(sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """Sections and fixed chunks as (kind, id, text)."""
     fixed = chunks.where(F.col("strategy") == "fixed")
