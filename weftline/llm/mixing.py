@@ -94,9 +94,9 @@ def mix(documents: DataFrame, targets: DataFrame, counts: DataFrame, budget: flo
     last = last.withColumn("extra", (F.col("before") + F.sum("tokens").over(inside) <= F.col("rest")).cast("int"))
     drawn = whole.unionByName(none).unionByName(last).withColumn("repeats", F.col("passes") + F.col("extra")).where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
     reached = drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    total = reached.agg(F.sum("tokens").alias("all_tokens"))
+    total = reached.agg(F.sum("tokens"))
     known = spark.createDataFrame([(s, float(t), r, int(tokens.get(s, 0)), float(round(draw[s], 3))) for s, (t, r) in sorted(goal.items())], "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens double")
-    shares = known.join(reached, "source", "left").withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").drop("one")
+    shares = known.join(reached, "source", "left").withColumn("all_tokens", total.scalar())
     fill = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     share = F.round(F.coalesce(F.col("tokens") / F.nullif(F.col("all_tokens"), F.lit(0)), F.lit(0.0)), 6).alias("actual_share")
     return drawn, shares.select("source", "target_share", "max_repeats", "available_tokens", "wanted_tokens", fill("tokens"), fill("documents"), fill("most_repeats"), share)
