@@ -175,9 +175,8 @@ def narrative(steps: Column) -> Column:
 def snapshot(edges: DataFrame, limit: int = 400, min_confidence: float = 0.6, derived: bool = True) -> DataFrame:
     """The first edges by key, with the number of all and whether some are missing."""
     live = live_edges(edges, min_confidence, derived)
-    total = live.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
-    shown = live.orderBy("doc_id", "subject", "predicate", "object").limit(max(1, min(3000, limit))).withColumn("one", F.lit(1))
-    return shown.join(F.broadcast(total), "one").drop("one").withColumn("truncated", F.col("total") > limit)
+    shown = live.orderBy("doc_id", "subject", "predicate", "object").limit(max(1, min(3000, limit)))
+    return shown.withColumn("total", live.agg(F.count("*")).scalar()).withColumn("truncated", F.col("total") > limit)
 
 
 def find_entities(entities: DataFrame, kind: str | None = None, part: str | None = None, limit: int = 100) -> DataFrame:

@@ -64,11 +64,11 @@ def bm25(texts: DataFrame, questions: DataFrame, key: str = "id", text: str = "t
     """
     asked = questions.select("question_id", F.explode(query_tokens(F.col("question"))).alias("term"))
     tokens = texts.select(F.col(key), search_tokens(F.col(text)).alias("__t")).withColumn("length", F.size("__t"))
-    size = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).withColumn("one", F.lit(1))
+    size = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
     hit = tokens.select(key, "length", F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = hit.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(asked, "term").join(df, "term").withColumn("one", F.lit(1)).join(F.broadcast(size), "one")
+    scored = tf.join(asked, "term").join(df, "term").withColumn("size", size).select("*", "size.n", "size.mean")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return scored.groupBy("question_id", key).agg(F.sum(part).alias("score")).where("score > 0")
