@@ -11,10 +11,15 @@ from pyspark.sql import types as T
 
 #: Characters a token stands for, and the words that searching ignores.
 CHARS_PER_TOKEN = 4
-STOP_WORDS = "a an and are as at be by did do does for from had has have he her his how i in is it its me my of on or she that the their them they this to was we were what when where which who will with you your".split()
-#: Suffix words of a studio's name, of a person's name, and roman numerals up to C.
-STUDIO_WORDS = "pictures studios studio films film entertainment productions production company co inc ltd limited llc corporation corp group".split()
+STOP_WORDS = "the and for was were with that this from are has have had its his her their which who whom what when where how did does into than then they them been being you your our not but all any can will would there here".split()
+#: Suffix words of a studio's name and of a person's, the articles of titles, the agreed refusal.
+STUDIO_WORDS = "pictures studios entertainment films productions inc ltd".split()
 PERSON_SUFFIXES = ["jr", "sr", "ii", "iii", "iv"]
+ARTICLES = ["the", "a", "an"]
+REFUSAL_TEXT = "not found in the provided documents"
+#: Punctuation and CJK characters, each a basic token of its own, and runs of anything else but blanks.
+MARKS, CJK = r"\p{P}$+<=>^`|~", r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}\x{3040}-\x{30ff}"
+BASIC_TOKEN = rf"[{MARKS}{CJK}]|[^\s\p{{Z}}\p{{Cc}}{MARKS}{CJK}]+"
 TOKEN = r"(?:\$[\p{Nd}.,]*|\p{Nd}[\p{Nd}.,]*)\p{L}*|\p{L}[\p{L}\p{Nd}']*"
 
 
@@ -23,13 +28,20 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("int")
 
 
+def is_search_token(token: Column) -> Column:
+    """Whether a lower-case match of TOKEN counts: no stop word, and two characters or a figure."""
+    return ~token.isin(STOP_WORDS) & ((F.length(token) > 1) | token.rlike(r"^[$\p{Nd}]"))
+
+
+def raw_tokens(text: Column) -> Column:
+    """All matches of TOKEN in the lower-case text, stop words and final marks included."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-case search tokens: figures whole (``$47.3m``, ``3,571``), words of two letters or more but for stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    trimmed = F.transform(found, lambda t: F.regexp_replace(t, r"[.,]+$", ""))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    figure = lambda t: t.rlike(r"^[$\p{Nd}]")
-    return F.filter(trimmed, lambda t: (F.length(t) > 0) & (figure(t) | ((F.length(t) > 1) & ~F.array_contains(stop, t))))
+    trimmed = F.transform(raw_tokens(text), lambda t: F.rtrim(t, F.lit(".,")))
+    return F.filter(trimmed, is_search_token)
 
 
 def query_tokens(text: Column, most: int = 24) -> Column:
@@ -111,17 +123,19 @@ def roman_value(text: Column) -> Column:
     return F.when(text.rlike("^c{0,3}(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$") & (F.length(text) > 0), total["sum"])
 
 
+def basic_tokens(folded_text: Column) -> Column:
+    """Tokens of folded text as a reranker reads it: words, single punctuation marks, single CJK characters."""
+    return F.regexp_extract_all(folded_text, F.lit(BASIC_TOKEN), F.lit(0))
+
+
 def normal_title(folded_title: Column) -> Column:
-    """Titles that mean one work: article to the front and off, ``part ii`` as ``2``, no punctuation."""
-    t = F.trim(F.regexp_replace(folded_title, r"\s+", " "))
-    t = F.regexp_replace(t, r"^(.*), (the|a|an)$", "$2 $1")
-    t = F.regexp_replace(t, r"^(the|a|an) ", "")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[:–—-]", " "), r"\s+", " "))
-    number = F.regexp_extract(t, r" (?:part|vol|volume|chapter)?\.? ?([ivxlc]+)$", 1)
-    body = F.regexp_replace(t, r"( (?:part|vol|volume|chapter))?\.? ?([ivxlc]+|\p{Nd}+)$", "")
-    arabic = F.regexp_extract(t, r" (\p{Nd}+)$", 1)
-    value = F.coalesce(F.when(arabic != "", arabic), roman_value(number).cast("string"))
-    return F.when(F.contains(t, F.lit(" ")) & value.isNotNull(), F.concat_ws(" ", body, value)).otherwise(t)
+    """Titles that mean one work: no article before or after, ``part ii`` as ``part 2``, no dashes and colons."""
+    bare = F.regexp_replace(folded_title, rf"^\s*(.*?),\s*({'|'.join(ARTICLES)})\s*$", "$1")
+    bare = F.regexp_replace(bare, rf"^({'|'.join(ARTICLES)}) ", "")
+    part = r"\b(part|chapter|volume|vol\.?)\s+([ivxlc]+)\b"
+    number = roman_value(F.regexp_extract(bare, part, 2))
+    counted = F.when(number.isNotNull(), F.regexp_replace(bare, F.lit(part), F.concat(F.lit("$1 "), number.cast("string")))).otherwise(bare)
+    return F.trim(F.regexp_replace(F.regexp_replace(counted, r"[:–—-]+", " "), r"\s+", " "))
 
 
 def trailing_ordinal(title: Column) -> Column:
@@ -222,9 +236,9 @@ def looks_factual(sentence: Column) -> Column:
     return (F.length(F.trim(bare)) >= 15) & (F.size(search_tokens(bare)) >= 3)
 
 
-def is_refusal(answer: Column, phrase: str = "not in the dossier") -> Column:
+def is_refusal(answer: Column, phrase: str = REFUSAL_TEXT) -> Column:
     """Whether the answer is the agreed refusal, whatever its case and final dots."""
-    return F.coalesce(F.lower(F.rtrim(F.trim(answer), F.lit("."))) == phrase, F.lit(False))
+    return F.coalesce(F.trim(F.lower(F.rtrim(F.trim(answer), F.lit(".")))) == phrase, F.lit(False))
 
 
 def unmarked(markdown: Column) -> Column:

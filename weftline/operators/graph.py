@@ -20,10 +20,10 @@ VERBS = {
     "DIRECTED": ("directed", "was directed by"),
     "WROTE": ("wrote", "was written by"),
     "PRODUCED": ("produced", "was produced by"),
-    "COMPOSED_FOR": ("composed the music for", "had music by"),
+    "COMPOSED_FOR": ("composed for", "was scored by"),
     "SHOT_BY": ("was shot by", "shot"),
     "EDITED_BY": ("was edited by", "edited"),
-    "PRODUCED_BY": ("was produced by", "produced"),
+    "PLAYED": ("played", "was played by"),
 }
 
 
@@ -90,9 +90,10 @@ def collaborations(edges: DataFrame, entities: DataFrame, least: int = 1, out: l
     tied = tied.unionByName(edges.where(F.col("predicate").isin(back)).select("doc_id", F.col("object").alias("who"), F.col("subject").alias("work"))).distinct()
     people = entities.where(F.col("type") == kind).select("doc_id", F.col("key").alias("who"))
     tied = tied.join(people, ["doc_id", "who"], "left_semi")
-    pairs = tied.withColumnRenamed("who", "a").join(tied.withColumnRenamed("who", "b"), ["doc_id", "work"]).where("a < b")
     work = entities.select("doc_id", F.col("key").alias("work"), F.col("name").alias("title"))
-    shared = pairs.join(work, ["doc_id", "work"], "left").groupBy("doc_id", "a", "b").agg(F.countDistinct("work").alias("shared"), titles("title", 5).alias("titles"))
+    named = tied.withColumnRenamed("who", "a").join(work, ["doc_id", "work"], "left")
+    pairs = named.join(tied.withColumnRenamed("who", "b"), ["doc_id", "work"]).where("a < b")  # a work once per pair
+    shared = pairs.groupBy("doc_id", "a", "b").agg(F.count("*").alias("shared"), titles("title", 5).alias("titles"))
     return shared.where(F.col("shared") >= least)
 
 
@@ -163,13 +164,16 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 6) ->
 
 
 def narrative(steps: Column) -> Column:
-    """A sentence from an array of (here, here_year, predicate, forward, there, there_year, there_is_work) steps."""
+    """A sentence from an array of (here, predicate, forward, there, here_year, there_year, here_is_work) steps.
+
+    Years are given for films only. Each further step goes on with which (a work) or who (a person).
+    """
     table = F.create_map(*[F.lit(x) for p, (v, w) in VERBS.items() for x in (f"{p}>", v, f"{p}<", w)])
-    verb = lambda s: F.coalesce(table[F.concat(s["predicate"], F.when(s["forward"], ">").otherwise("<"))], F.lower(F.replace(s["predicate"], F.lit("_"), F.lit(" "))))
-    label = lambda s: F.concat(s["there"], F.coalesce(F.concat(F.lit(" ("), s["there_year"].cast("string"), F.lit(")")), F.lit("")))
-    link = lambda s, i: F.when(i == 0, F.lit("")).when(s["here_is_work"], F.lit("which ")).otherwise(F.lit("who "))
-    first = F.concat(steps[0]["here"], F.coalesce(F.concat(F.lit(" ("), steps[0]["here_year"].cast("string"), F.lit(")")), F.lit("")), F.lit(" "))
-    return F.concat(first, F.array_join(F.transform(steps, lambda s, i: F.concat(link(s, i), verb(s), F.lit(" "), label(s))), " "), F.lit("."))
+    plain = lambda s: F.when(s["forward"], F.lower(F.replace(s["predicate"], F.lit("_"), F.lit(" ")))).otherwise("is linked to")
+    verb = lambda s: F.coalesce(table[F.concat(s["predicate"], F.when(s["forward"], ">").otherwise("<"))], plain(s))
+    label = lambda s, end: F.concat(s[end], F.coalesce(F.concat(F.lit(" ("), s[f"{end}_year"].cast("string"), F.lit(")")), F.lit("")))
+    opening = lambda s, i: F.when(i == 0, label(s, "here")).when(s["here_is_work"], F.lit("which")).otherwise(F.lit("who"))
+    return F.concat(F.array_join(F.transform(steps, lambda s, i: F.concat_ws(" ", opening(s, i), verb(s), label(s, "there"))), ", "), F.lit("."))
 
 
 def snapshot(edges: DataFrame, limit: int = 400, min_confidence: float = 0.6, derived: bool = True) -> DataFrame:

@@ -7,14 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import query_tokens, search_tokens, years_in
+from weftline.functions.text import basic_tokens, folded, is_search_token, query_tokens, raw_tokens, years_in
 from weftline.functions.vectors import cosine, fused_score
 
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Distinct terms of a batch of questions up to which they are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_TERMS = 100_000
+#: Query vectors up to which they are broadcast.
+BROADCAST_QUERIES = 10_000
 #: Phrases of a question that point to a kind of document, most telling first.
 DOCTYPE_HINTS = [
-    ("box office", "box-office"), ("gross", "box-office"), ("takings", "box-office"), ("earn", "box-office"), ("award", "award"), ("won", "award"), ("nominated", "award"), ("review", "review"),
-    ("critic", "review"), ("release", "release"), ("certificate", "release"), ("starred", "talent"), ("acted", "talent"), ("director", "title"), ("directed", "title"),
+    ("box office", "box-office"), ("opening weekend", "box-office"), ("gross", "box-office"), ("cast announcement", "casting"), ("casting", "casting"), ("recast", "casting-history"),
+    ("award", "awards-record"), ("won", "awards-record"), ("nominat", "awards-record"), ("episode", "episode-guide"), ("season", "series-record"), ("press kit", "press-kit"), ("synopsis", "press-kit"),
+    ("biography", "talent-record"), ("filmography", "talent-record"), ("credits", "talent-record"), ("festival", "festival"),
 ]
 
 
@@ -49,26 +54,35 @@ class MetadataFilter:
         return rows.where(self.condition())
 
 
+def term_rows(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(key, term) for every search token of every text; tokens are cut off and judged as rows, in compiled code."""
+    found = texts.select(F.col(key), F.explode(raw_tokens(F.col(text))).alias("__t"))
+    return found.select(key, F.rtrim("__t", F.lit(".,")).alias("term")).where(is_search_token(F.col("term")))
+
+
 def postings(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(key, term, tf, length): search terms of each text with their counts; texts without terms have no rows."""
-    found = texts.select(F.col(key), search_tokens(F.col(text)).alias("__t")).withColumn("length", F.size("__t"))
-    return found.select(key, "length", F.explode("__t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """(key, term, tf): search terms of each text with their counts; texts without terms have no rows."""
+    return term_rows(texts, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(texts: DataFrame, questions: DataFrame, key: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(question_id, key, score) for texts that share a term with the question; scores above 0 only.
 
-    ``questions`` has (question_id, question). N, document frequencies and the mean length cover the
-    texts given, so a filter applied before changes them. Only postings of the questions' terms are
-    kept: the one pass over the texts filters tokens by a semi-join before any is shuffled.
+    ``questions`` has (question_id, question), ``texts`` one row per key. N, document frequencies and
+    the mean length cover the texts given, so a filter applied before changes them. One pass over the
+    texts counts, per text, its tokens and those of the questions' terms; only the latter are rows.
     """
     asked = questions.select("question_id", F.explode(query_tokens(F.col("question"))).alias("term"))
-    tokens = texts.select(F.col(key), search_tokens(F.col(text)).alias("__t")).withColumn("length", F.size("__t"))
-    size = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("length").alias("mean"))).scalar()
-    hit = tokens.select(key, "length", F.explode("__t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hit.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
+    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # a batch of questions may be any size
+    flagged = term_rows(texts, key, text).join(F.broadcast(wanted) if small else wanted, "term", "left")
+    per = flagged.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+    whole = F.sum("tf").over(Window.partitionBy(key)).alias("length")
+    tf = per.select(key, "term", "tf", whole).where("term is not null")
+    counted = per.agg(F.sum("tf")).scalar()
+    size = texts.agg(F.struct(F.count("*").alias("n"), F.count(text).alias("known"))).scalar()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(asked, "term").join(df, "term").withColumn("size", size).select("*", "size.n", "size.mean")
+    scored = tf.join(asked, "term").join(df, "term").withColumn("size", size).withColumn("n", F.col("size.n")).withColumn("mean", counted / F.col("size.known"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return scored.groupBy("question_id", key).agg(F.sum(part).alias("score")).where("score > 0")
@@ -80,14 +94,21 @@ def top_k(scored: DataFrame, k: int, key: str = "id", by: str = "score", per: st
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "id") -> DataFrame:
+def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "id", salts: int = 256) -> DataFrame:
     """(question_id, key, score): cosine of each question's vector with every vector of the same width.
 
-    A question set is small by nature and its size is checked by Spark before it is broadcast; the
-    collection is read once and never shuffled. For every vector against every other use an index.
+    A question set of up to ``BROADCAST_QUERIES`` is broadcast: the collection is read once and never
+    shuffled. A larger one goes to every one of ``salts`` parts of the collection. For every vector
+    against every other use an index.
     """
     q = queries.select("question_id", F.col("vector").alias("__q"), F.size("vector").alias("__w"))
-    return vectors.select(key, F.col("vector").alias("__v"), F.size("vector").alias("__w")).join(q, "__w").select("question_id", key, cosine(F.col("__q"), F.col("__v")).alias("score"))
+    base = vectors.select(key, F.col("vector").alias("__v"), F.size("vector").alias("__w"))
+    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        both = base.join(F.broadcast(q), "__w")
+    else:
+        part = F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
+        both = base.withColumn("__s", part).join(q.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__w", "__s"])
+    return both.select("question_id", key, cosine(F.col("__q"), F.col("__v")).alias("score"))
 
 
 def fuse(first: DataFrame, second: DataFrame, key: str = "id", k: int = RRF_K) -> DataFrame:
@@ -105,11 +126,11 @@ def fuse(first: DataFrame, second: DataFrame, key: str = "id", k: int = RRF_K) -
 def lexical_rerank(candidates: DataFrame, key: str = "id") -> DataFrame:
     """Candidates (question_id, question, key, text, rank) with a lexical score, the new rank and the change.
 
-    Each distinct question term of three characters or more adds a saturated count, damped by the
-    text's length against 180 terms; the sum is weighted by half plus half the share of terms found.
+    Each distinct question token of three characters or more adds a saturated count, damped by the
+    text's length against 180 tokens; the sum is weighted by half plus half the share of tokens found.
     """
-    terms = F.filter(F.array_distinct(search_tokens(F.col("question"))), lambda t: F.length(t) > 2)
-    got = candidates.withColumn("__q", terms).withColumn("__t", search_tokens(F.col("text")))
+    terms = F.filter(F.array_distinct(basic_tokens(folded(F.col("question")))), lambda t: F.length(t) > 2)
+    got = candidates.withColumn("__q", terms).withColumn("__t", basic_tokens(folded(F.col("text"))))
     count = lambda t: F.size(F.filter("__t", lambda x: x == t)).cast("double")
     weight = 1.2 * (0.25 + 0.75 * F.size("__t") / 180.0)
     gained = F.aggregate(F.transform("__q", lambda t: count(t)), F.lit(0.0), lambda s, f: s + F.when(f > 0, f * 2.2 / (f + weight)).otherwise(0.0))
@@ -124,7 +145,8 @@ def inferred_filters(questions: DataFrame, sections: DataFrame, hints: list[tupl
     """(question_id, year, year_from, year_to, doctype, subject, studio) as the question's words suggest.
 
     One year asks for it, several for their span. The first hint phrase in the question whose document
-    kind the collection has decides the kind. The longest subject and the first studio named in the
+    kind the collection has (by that name, else as a part of a name, else as a longer one) decides the
+    kind; equal fits go to the smaller name. The longest subject and the first studio named in the
     question are taken; a year outside the known years of that subject is dropped.
     """
     low = F.lower("question")
@@ -134,8 +156,10 @@ def inferred_filters(questions: DataFrame, sections: DataFrame, hints: list[tupl
     spark = questions.sparkSession
     told = spark.createDataFrame([(i, p, d) for i, (p, d) in enumerate(hints or DOCTYPE_HINTS)], "place int, phrase string, wanted string")
     kinds = sections.where("doctype is not null").select("doctype").distinct()
-    offered = told.join(kinds, F.contains(F.lower("doctype"), F.col("wanted")))
-    kind = q.join(F.broadcast(offered), F.contains("q", F.col("phrase"))).groupBy("question_id").agg(F.min(F.struct("place", F.length("doctype").alias("l"), "doctype"))["doctype"].alias("doctype"))
+    own = F.lower("doctype")
+    fit = F.when(own == F.col("wanted"), 0).when(F.contains(own, F.col("wanted")), 1).when(F.contains(F.col("wanted"), own), 2)
+    offered = told.join(kinds, fit.isNotNull()).withColumn("fit", fit)
+    kind = q.join(offered, F.contains("q", F.col("phrase"))).groupBy("question_id").agg(F.min(F.struct("place", "fit", "doctype"))["doctype"].alias("doctype"))
     named = lambda c: q.join(sections.where(F.length(c) > 0).select(c).distinct(), F.contains("q", F.lower(c)))
     subject = named("subject").groupBy("question_id").agg(F.max_by("subject", F.struct(F.length("subject"), "subject")).alias("subject"))
     studio = named("studio").groupBy("question_id").agg(F.min("studio").alias("studio"))

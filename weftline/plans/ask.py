@@ -40,8 +40,8 @@ def stage_options(stage: int, base: AskOptions | None = None) -> AskOptions:
     return replace(
         base or AskOptions(),
         strategy="none" if stage == 0 else "fixed" if stage == 1 else "recursive" if stage < 7 else "contextual",
-        metadata_filter=stage >= 3, hybrid=stage >= 4, rerank=stage >= 5, rewrite=stage >= 6, citations=stage >= 8, agentic=stage == 9,
-        graph="expand" if stage >= 10 else "none", router=stage >= 11,
+        metadata_filter=stage >= 3, hybrid=stage >= 4, rerank=stage >= 5, rewrite=stage >= 6, citations=stage >= 8, agentic=stage >= 9,
+        graph="expand" if stage >= 10 else "none", router=stage >= 11, candidate_k=(base or AskOptions()).candidate_k if stage >= 5 else (base or AskOptions()).top_k,
     ).normal()
 
 

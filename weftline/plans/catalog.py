@@ -33,6 +33,10 @@ def tokens_sql(column: str) -> str:
     return rf"list_filter({found}, lambda x: length(x) > 0 and (regexp_matches(x, '^[$\p{{Nd}}]') or (length(x) > 1 and not list_contains([{STOP}], x))))"
 
 
+def basic_sql(column: str) -> str:
+    return f"regexp_extract_all(lower(strip_accents({column})), '{X.BASIC_TOKEN}')"
+
+
 def distinct_list_sql(column: str) -> str:
     return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)"
 
@@ -134,7 +138,7 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {HYBRID}, cand as (select question_id, question, id, row_number() over (partition by question_id order by score desc, id) as rank from fused join {Q_SQL} using (question_id)),
-t as (select c.*, list_filter({distinct_list_sql(tokens_sql('question'))}, lambda x: length(x) > 2) as qs, {tokens_sql('text')} as ts from cand c join src using (id) where rank <= 20),
+t as (select c.*, list_filter({distinct_list_sql(basic_sql('question'))}, lambda x: length(x) > 2) as qs, {basic_sql('text')} as ts from cand c join src using (id) where rank <= 20),
 f as (select question_id, id, rank, len(qs) as nq, list_sum(list_transform(qs, lambda q: len(list_filter(ts, lambda x: x = q)) * 2.2 / (len(list_filter(ts, lambda x: x = q)) + 1.2 * (0.25 + 0.75 * len(ts) / 180.0)))) as gained, len(list_filter(qs, lambda q: list_contains(ts, q))) as matched from t)
 select question_id, id, rank, rank_after, rank - rank_after as rank_change, rerank_score from (select *, row_number() over (partition by question_id order by rerank_score desc, rank) as rank_after from (select *, round(case when nq > 0 then gained * (0.5 + 0.5 * matched / nq) else 0 end, 6) as rerank_score from f))""")
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +160,8 @@ HINTS = ", ".join(f"({i}, '{p}', '{k}')" for i, (p, k) in enumerate(search.DOCTY
 
 
 @query(rf"""with q as (select question_id, lower(question) as q, list_sort(list_distinct(list_transform(regexp_extract_all(question, '\b(1[89]\d{{2}}|20\d{{2}})\b'), lambda y: y::int))) as ys from {Q_SQL}),
-kind as (select question_id, first(doctype order by place, length(doctype), doctype) as doctype from q, (values {HINTS}) as h(place, phrase, wanted), (select distinct doctype from sections where doctype is not null) s where contains(q, phrase) and contains(lower(doctype), wanted) group by question_id),
+kind as (select question_id, first(doctype order by place, case when lower(doctype) = wanted then 0 when contains(lower(doctype), wanted) then 1 else 2 end, doctype) as doctype from q, (values {HINTS}) as h(place, phrase, wanted), (select distinct doctype from sections where doctype is not null) s
+where contains(q, phrase) and (contains(lower(doctype), wanted) or contains(wanted, lower(doctype))) group by question_id),
 subj as (select question_id, first(subject order by length(subject) desc, subject desc) as subject from q, (select distinct subject from sections where length(subject) > 0) where contains(q, lower(subject)) group by question_id),
 stud as (select question_id, min(studio) as studio from q, (select distinct studio from sections where length(studio) > 0) where contains(q, lower(studio)) group by question_id),
 known as (select subject, list(distinct year) as known from sections where year is not null group by subject)
@@ -288,6 +293,16 @@ def decision_tally(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("decision").agg(F.count("*").alias("n"), F.sum((F.col("left_key") == F.col("right_key")).cast("int")).cast("bigint").alias("self_pairs"))
 
 
+@query(r"""with f as (select distinct doc_id, key, lower(strip_accents(name)) as t from graph_entities where type in ('Film', 'TVSeries') and name is not null),
+b as (select *, regexp_replace(regexp_replace(t, '^\s*(.*?),\s*(the|a|an)\s*$', '\1'), '^(the|a|an) ', '') as b from f),
+n as (select *, regexp_extract(b, '\b(part|chapter|volume|vol\.?)\s+([ivxlc]+)\b', 2) as r from b),
+v as (select n.*, m.v from n left join (values ('i', '1'), ('ii', '2'), ('iii', '3'), ('iv', '4'), ('v', '5'), ('vi', '6'), ('vii', '7'), ('viii', '8'), ('ix', '9'), ('x', '10')) m(r, v) using (r))
+select distinct doc_id, key, trim(regexp_replace(regexp_replace(case when v is null then b else regexp_replace(b, '\b(part|chapter|volume|vol\.?)\s+([ivxlc]+)\b', '\1 ' || v) end, '[:–—-]+', ' ', 'g'), '\s+', ' ', 'g')) as title from v""")
+def title_forms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "graph_entities").where("type in ('Film', 'TVSeries') and name is not null")
+    return rows.select("doc_id", "key", X.normal_title(X.folded(F.col("name"))).alias("title")).distinct()
+
+
 # Graph over the star schema: parts are works, suppliers studios, customers persons
 
 EDGES = """made as (select 'all' as doc_id, 'part:' || l_partkey as subject, 'PRODUCED_BY' as predicate, 'supplier:' || l_suppkey as object, count(*) as mentions, round(1 - min(l_discount), 2) as confidence from lineitem group by l_partkey, l_suppkey),
