@@ -60,7 +60,7 @@ def test_filters_follow_the_question(spark):
     s = spark.createDataFrame([("title-record", "Fantastic Four", 2005, None), ("title-record", "Fantastic Four", 2015, None), ("box-office-record", "Endgame", 2019, None)], "doctype string, subject string, year int, studio string")
     q = spark.createDataFrame([(1, "Who directed Fantastic Four (2015)?"), (2, "What was the box office of Endgame in 2005?")], "question_id int, question string")
     got = {r.question_id: r for r in search.inferred_filters(q, s).collect()}
-    assert (got[1].year, got[1].subject, got[1].doctype) == (2015, "Fantastic Four", "title-record")
+    assert (got[1].year, got[1].subject, got[1].doctype) == (2015, "Fantastic Four", None)
     assert (got[2].year, got[2].doctype) == (None, "box-office-record")
 
 
@@ -203,6 +203,18 @@ def test_stream_of_texts_is_chunked_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_windows_and_word_pieces(spark):
+    d = spark.createDataFrame([("a", [str(i) for i in range(600)]), ("b", ["x"]), ("c", [])], "id string, tokens array<string>")
+    got = [(r.id, r.start, r.end) for r in chunking.token_windows(d).orderBy("id", "start").collect()]
+    assert got == [("a", 0, 254), ("a", 190, 444), ("a", 380, 600), ("b", 0, 1)]
+    assert chunking.word_pieces(["unable", "xyz", "a" * 101], {"un", "##able", "x"}) == ["un", "##able", "[UNK]", "[UNK]"]
+
+
+def test_scores_without_a_model_are_halved(spark):
+    d = spark.createDataFrame([(1, "a", 4.0, None), (1, "b", 2.0, 0.9), (2, "c", 0.0, None)], "question_id int, id string, lexical double, model double")
+    assert {r.id: r.score for r in search.with_fallback(d).collect()} == {"a": 0.5, "b": 0.9, "c": 0.0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id string, text string")
     q = spark.createDataFrame([(1, "anything at all")], "question_id int, question string")

@@ -240,3 +240,26 @@ def spread(rows: DataFrame, cap: int, order: str, group: str | None = None) -> D
     hit = F.floor((F.col("__i") * cap + cap - 1) / F.col("__n"))
     chosen = (hit < cap) & (F.floor(hit * F.col("__n") / cap) == F.col("__i"))
     return numbered_.where((F.col("__n") <= cap) | chosen).drop("__i", "__n")
+
+
+def token_windows(texts: DataFrame, tokens: str = "tokens", budget: int = 254, overlap: float = 0.25) -> DataFrame:
+    """Windows (start, end) of at most ``budget`` tokens that overlap by a quarter and reach the end; none for empty arrays."""
+    step = max(1, int(budget * (1 - overlap)))
+    n = F.size(tokens)
+    last = F.when(n <= budget, 0).otherwise(F.ceil((n - budget) / F.lit(step)).cast("int"))
+    return texts.where(n > 0).withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: i * step))).withColumn("end", F.least(F.col("start") + budget, n))
+
+
+def word_pieces(words: list[str], vocabulary: set[str], longest: int = 100) -> list[str]:
+    """Greedy longest-match pieces of each word, ``##`` inside; a word that is too long or has no match is [UNK]."""
+    out: list[str] = []
+    for w in words:
+        pieces, at = [], 0
+        while at < len(w) <= longest:
+            end = next((e for e in range(len(w), at, -1) if ("##" if at else "") + w[at:e] in vocabulary), at)
+            if end == at:
+                break
+            pieces.append(("##" if at else "") + w[at:end])
+            at = end
+        out += pieces if at == len(w) and pieces else ["[UNK]"]
+    return out

@@ -172,3 +172,10 @@ def inferred_filters(questions: DataFrame, sections: DataFrame, hints: list[tupl
 def page(rows: DataFrame, order: list[str], skip: int = 0, take: int = 50) -> DataFrame:
     """``take`` (1 to 500) rows after the first ``skip`` in the given order."""
     return rows.orderBy(*order).offset(max(0, skip)).limit(min(500, max(1, take)))
+
+
+def with_fallback(scored: DataFrame) -> DataFrame:
+    """score from (question_id, lexical, model): the model's in 0..1, else half the lexical share of the question's best."""
+    best = F.max("lexical").over(Window.partitionBy("question_id"))
+    scaled = F.when(best > 0, F.col("lexical") / best * 0.5).otherwise(0.0)
+    return scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("model", scaled))))

@@ -303,6 +303,34 @@ def title_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "key", X.normal_title(X.folded(F.col("name"))).alias("title")).distinct()
 
 
+@query("select distinct chunk_id, payload->>'$.docId' as doc_id, (payload->>'$.page')::int as page, (payload->>'$.seq')::int as seq from vectors")
+def vector_payloads(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "vectors").select("chunk_id", F.from_json("payload", "docId string, page int, seq int").alias("p"))
+    return rows.select("chunk_id", F.col("p.docId").alias("doc_id"), "p.page", "p.seq").distinct()
+
+
+@query(f"""with t as (select doc_id, len({tokens_sql('text')}) as n from documents) select doc_id, (i * 190)::int as start, least(i * 190 + 254, n)::int as "end" from t, lateral (select unnest(range(0, case when n <= 254 then 1 else ceil((n - 254) / 190.0)::bigint + 1 end)) as i) where n > 0""")
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("tokens"))
+    return chunking.token_windows(rows).select("doc_id", "start", "end")
+
+
+@query(r"""with p as (select distinct doc_id, key, string_split(trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^\p{L}\p{Nd}.\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') as raw from graph_entities where type = 'Person' and name is not null),
+t as (select doc_id, key, list_transform(list_filter(raw, lambda w: not list_contains(['jr', 'sr', 'ii', 'iii', 'iv'], regexp_replace(w, '\.$', ''))), lambda w: replace(w, '.', '')) as w from p)
+select a.doc_id, a.key as left_key, b.key as right_key from t a join t b on a.doc_id = b.doc_id and a.key < b.key and len(a.w) = len(b.w) and len(a.w) >= 2 and a.w[-1] = b.w[-1]
+where len(list_filter(range(1, len(a.w)), lambda i: not (a.w[i] = b.w[i] or (length(a.w[i]) = 1 and starts_with(b.w[i], a.w[i])) or (length(b.w[i]) = 1 and starts_with(a.w[i], b.w[i]))))) = 0 and len(list_filter(range(1, len(a.w)), lambda i: a.w[i] <> b.w[i])) > 0""")
+def initials_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "graph_entities").where("type = 'Person' and name is not null").select("doc_id", "key", X.normal_person(X.folded(F.col("name")), {}).alias("n")).distinct()
+    rows = rows.withColumn("last", F.element_at(F.split(F.replace("n", F.lit("."), F.lit("")), " "), -1))
+    both = rows.alias("a").join(rows.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.last") == F.col("b.last")) & (F.col("a.key") < F.col("b.key")))
+    return both.where(X.initials_agree(F.col("a.n"), F.col("b.n"))).select("a.doc_id", F.col("a.key").alias("left_key"), F.col("b.key").alias("right_key"))
+
+
+@query("select lower(trim(status)) as status, count(*) as n, min(uploaded_utc) as first_upload from (select distinct * from dossiers) group by lower(trim(status))")
+def dossier_states(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dossiers").distinct().groupBy(F.lower(F.trim("status")).alias("status")).agg(F.count("*").alias("n"), F.min("uploaded_utc").alias("first_upload"))
+
+
 # Graph over the star schema: parts are works, suppliers studios, customers persons
 
 EDGES = """made as (select 'all' as doc_id, 'part:' || l_partkey as subject, 'PRODUCED_BY' as predicate, 'supplier:' || l_suppkey as object, count(*) as mentions, round(1 - min(l_discount), 2) as confidence from lineitem group by l_partkey, l_suppkey),
@@ -368,7 +396,7 @@ def graph_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return graph.snapshot(star_edges(spark, d, "made"), 400, 0.95).select("subject", "predicate", "object", "confidence", "mentions", "total", "truncated")
 
 
-ROADS = """e as (select 'region:' || n_regionkey as a, 'nation:' || n_nationkey as b from nation union select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier union select 'nation:' || c_nationkey, 'customer:' || c_custkey from customer),
+ROADS = """e as (select 'world' as a, 'region:' || r_regionkey as b from region union select 'region:' || n_regionkey, 'nation:' || n_nationkey from nation union select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier union select 'nation:' || c_nationkey, 'customer:' || c_custkey from customer),
 u as (select a, b from e union select b, a from e)"""
 
 
@@ -376,7 +404,8 @@ def roads(spark: SparkSession, d: str) -> DataFrame:
     tag = lambda prefix, c: F.concat(F.lit(prefix + ":"), F.col(c).cast("string"))
     one = table(spark, d, "nation").select(tag("region", "n_regionkey").alias("a"), tag("nation", "n_nationkey").alias("b"))
     two = table(spark, d, "supplier").select(tag("nation", "s_nationkey").alias("a"), tag("supplier", "s_suppkey").alias("b"))
-    return one.unionByName(two).unionByName(table(spark, d, "customer").select(tag("nation", "c_nationkey").alias("a"), tag("customer", "c_custkey").alias("b")))
+    top = table(spark, d, "region").select(F.lit("world").alias("a"), tag("region", "r_regionkey").alias("b"))
+    return top.unionByName(one).unionByName(two).unionByName(table(spark, d, "customer").select(tag("nation", "c_nationkey").alias("a"), tag("customer", "c_custkey").alias("b")))
 
 
 @query(f"""with recursive {ROADS}, walk as (select 'supplier:1' as key, 0 as hops union select u.b, hops + 1 from walk join u on walk.key = u.a where hops < 5), best as (select key, min(hops) as hops from walk group by key)
@@ -385,7 +414,7 @@ def hops_from_supplier(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(roads(spark, d), spark.createDataFrame([("supplier:1",)], "key string"), 5)
 
 
-@query(f"""with recursive {ROADS}, walk as (select 'supplier:1' as key, 0 as hops, ['supplier:1'] as path union all select u.b, hops + 1, list_append(path, u.b) from walk join u on walk.key = u.a where hops < 4 and not list_contains(path, u.b) and u.b not like 'customer:%' or (walk.key = u.a and u.b = 'customer:7' and hops < 4)),
+@query(f"""with recursive {ROADS}, walk as (select 'supplier:1' as key, 0 as hops, ['supplier:1'] as path union all select u.b, hops + 1, list_append(path, u.b) from walk join u on walk.key = u.a where hops < 6 and not list_contains(path, u.b) and (u.b not like 'customer:%' or u.b = 'customer:7') and u.b not like 'supplier:%'),
 best as (select path from walk where key = 'customer:7' order by hops, list_reverse(path) limit 1) select (i - 1)::int as hop, path[i] as key from best, range(1, 10) r(i) where i <= len(path)""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_path(roads(spark, d), "supplier:1", "customer:7")
@@ -446,6 +475,26 @@ def remapped_triples(spark: SparkSession, d: str) -> DataFrame:
     return extraction.remapped(proposals(spark, d), mapping).groupBy("subject").agg(F.count("*").alias("n"))
 
 
+@query(f"""with {PROPOSALS}, t as (select subject, predicate, object, min(chunk_id) as first from p group by subject, predicate, object), n as (select *, row_number() over (partition by first order by subject, predicate, object) - 1 as place from t)
+select subject, predicate, object, (place // 2)::int as batch, (place % 2)::int as index from n""")
+def verification_batches(spark: SparkSession, d: str) -> DataFrame:
+    batched = extraction.verification_batches(extraction.merged_triples(proposals(spark, d)), 2)
+    return batched.select("subject", "predicate", "object", "batch", F.col("index").cast("int").alias("index"))
+
+
+@query(f"""with {EDGES}, e as (select subject as key, predicate, object as other from made union all select object, predicate, subject from made), y as (select 'part:' || p_partkey as other, p_size from part)
+select key, array_to_string(list_sort(list(distinct role)), ' ') as roles from (select key, predicate as role from e union all select key, 'y:' || p_size from e join y using (other)) group by key""")
+def role_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.role_clusters(star_edges(spark, d, "made"), star_entities(spark, d)).select("key", F.array_join("roles", " ").alias("roles"))
+
+
+@query(f"""with {PROPOSALS}, t as (select distinct subject, predicate, object, chunk_id from p) select predicate, o_orderpriority as text, count(*) as n from t join orders on chunk_id = 'order:' || o_orderkey group by predicate, o_orderpriority""")
+def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
+    edges = extraction.merged_triples(proposals(spark, d)).withColumn("doc_id", F.lit("all"))
+    texts = table(spark, d, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("text"))
+    return graph.edge_evidence(edges, texts).groupBy("predicate", "text").agg(F.count("*").alias("n"))
+
+
 @query()
 def graded_relations(spark: SparkSession, d: str) -> DataFrame:
     """Neighbouring entity keys of a chunk proposed as related, the chunk's own sentence as evidence; counts by status."""
