@@ -14,14 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.runtime import cut_lineage
 
 FOREST = "scope string, child string, root string"
-#: Rows of one merged forest partition; 4 million rows of two short strings are about 500 MB.
-MAX_EDGES = 4_000_000
+#: Rows that one task holds; 2 million edges of short strings take about 500 MB.
+MAX_EDGES = 2_000_000
 
 
 def forest_arrays(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -44,22 +45,21 @@ def forest_arrays(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
 
 
 def _reduce(table: pa.Table) -> pa.Table:
-    """The star forest of the edges in ``table``; numbers follow the order of (scope, key), so roots are smallest keys."""
-    scope = np.concatenate([np.asarray(table["scope"].to_pylist(), dtype=object)] * 2)
-    key = np.concatenate([np.asarray(table[c].to_pylist(), dtype=object) for c in ("child", "root")])
-    nodes = sorted(set(zip(scope, key)))
-    number = {x: i for i, x in enumerate(nodes)}
-    codes = np.fromiter((number[x] for x in zip(scope, key)), dtype=np.int64, count=len(key))
-    half = len(codes) // 2
-    root = forest_arrays(codes[:half], codes[half:], len(nodes))
-    keep = np.flatnonzero(root != np.arange(len(nodes)))
-    return pa.table(
-        {
-            "scope": pa.array([nodes[i][0] for i in keep], pa.string()),
-            "child": pa.array([nodes[i][1] for i in keep], pa.string()),
-            "root": pa.array([nodes[root[i]][1] for i in keep], pa.string()),
-        }
-    )
+    """The star forest of the edges in ``table``; nodes are numbered in order of scope and key, so roots are smallest keys."""
+    scope, child, root = (table[c].combine_chunks() for c in ("scope", "child", "root"))
+    size = pc.cast(pc.binary_length(scope), pa.string())
+    node = pa.concat_arrays([pc.binary_join_element_wise(size, scope, k, "\0") for k in (child, root)]).dictionary_encode()
+    order = pc.sort_indices(node.dictionary).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    codes = number[node.indices.to_numpy()]
+    half = len(child)
+    tree = forest_arrays(codes[:half], codes[half:], len(order))
+    place = np.empty(len(order), np.int64)
+    place[codes[::-1]] = np.arange(2 * half)[::-1]
+    keep = np.flatnonzero(tree != np.arange(len(order)))
+    keys = pa.concat_arrays([child, root])
+    return pa.table({"scope": scope.take(pa.array(place[keep] % half)), "child": keys.take(pa.array(place[keep])), "root": keys.take(pa.array(place[tree[keep]]))})
 
 
 def _forests(block_rows: int):
@@ -98,13 +98,14 @@ def connected_groups(edges: DataFrame, scope: str, left: str, right: str, max_ed
     pairs = pairs.where("scope is not null and child is not null and root is not null and child <> root")
     forest = cut_lineage(_local(pairs, max_edges))
     parts, rows = max(1, forest.rdd.getNumPartitions()), forest.count()
-    while parts > 1 and rows <= max_edges * max(1, parts // fan_in):
+    bound = max_edges // 2  # a task that puts out fewer rows has passed nothing on unmerged
+    while parts > 1 and rows <= bound * max(1, parts // fan_in):
         parts = max(1, parts // fan_in)
         forest = forest.repartition(parts, "scope") if parts > 1 else forest.coalesce(1)
         forest = cut_lineage(_local(forest, max_edges))
         if parts > 1:
             rows = forest.count()
-    if parts > 1:
+    if parts > 1 or rows > bound:
         forest = _alternate(forest, max_edges)
     members = forest.select("scope", F.col("child").alias("item_key"), F.col("root").alias("group_key"))
     roots = forest.select("scope", F.col("root").alias("item_key"), F.col("root").alias("group_key")).distinct()
