@@ -206,11 +206,13 @@ def near_duplicate_contents(texts: DataFrame, least_words: int = 60, num: int =
     """(links between contents, members of contents) of ``texts`` (kind, id, text).
 
     A content is a distinct lower-cased text within a kind. Links are (a, b, likeness), a < b for
-    different contents and a = b for a content that several ids share; members are (uid, kind, id).
+    different contents and a = b for a content that several ids share; members are (uid, kind, id,
+    proof). uid and proof are 64-bit hashes of the content, taken differently: ids are copies only if
+    both agree.
     """
     rows = texts.where("kind is not null and id is not null and text is not null").select("kind", "id", "text")
     rows = rows.withColumn("uid", F.xxhash64("kind", F.lower("text")))
-    members = rows.select("uid", "kind", "id").distinct()
+    members = rows.select("uid", "kind", "id", F.xxhash64(F.lower("text"), "kind").alias("proof")).distinct()
     common = common_words(rows)
     buckets = rows.select("uid", "text", "kind").mapInArrow(_buckets(common, least_words), "bucket bigint, uid bigint")
     partners = buckets.repartition("bucket").mapInArrow(_partners, "these array<bigint>, those array<bigint>")
@@ -234,9 +236,9 @@ def near_duplicates(texts: DataFrame, least_words: int = 60, num: int = 4, den:
     pair checked exactly.
     """
     links, members = near_duplicate_contents(texts, least_words, num, den)
-    left = members.select(F.col("uid").alias("a"), "kind", F.col("id").alias("x"))
-    right = members.select(F.col("uid").alias("b"), F.col("id").alias("y"))
-    pairs = links.join(left, "a").join(right, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).where("x <> y")
+    left = members.select(F.col("uid").alias("a"), "kind", F.col("id").alias("x"), F.col("proof").alias("p"))
+    right = members.select(F.col("uid").alias("b"), F.col("id").alias("y"), F.col("proof").alias("q"))
+    pairs = links.join(left, "a").join(right, "b").where("(a <> b or (p = q and x < y)) and x <> y")
     return pairs.select("kind", F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "likeness").distinct()
 
 
