@@ -102,6 +102,21 @@ def test_copies_nulls_and_widths(spark):
     assert knn.nearest(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_every_copy_has_neighbours(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(knn, "BROADCAST_COPIED", broadcast)
+    rng = np.random.default_rng(3)
+    same, few = ([float(x) for x in rng.normal(size=8)] for _ in range(2))
+    rows = [("s", f"c{i:03d}", same) for i in range(40)] + [("s", f"f{i}", few) for i in range(3)] + [("s", f"r{i}", [float(x) for x in rng.normal(size=8)]) for i in range(20)]
+    rows += [("s", "a", [2.0 * x for x in same[:7]] + [2.0 * same[7] + 1e-4]), ("s", "c039", same)]
+    got = defaultdict(list)
+    for r in knn.nearest(spark.createDataFrame(rows, "space string, id string, vector array<double>")).orderBy("rank").collect():
+        got[r.space, r.id].append(r.other)
+    want = neighbours_by_hand(rows, 5)
+    assert {x: got[x] for x in want if x[1][0] == "c"} == {x: w for x, w in want.items() if x[1][0] == "c"}
+    assert set(got) == set(want) and all(len(w) == 5 for w in got.values())
+
+
 def test_abandoned_pairs_are_the_far_ones():
     rng = np.random.default_rng(1)
     x = knn.unit_rows(rng.normal(size=(500, 64))) @ knn.rotation(64)

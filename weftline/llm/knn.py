@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.runtime import cut_lineage
+
 #: Rows a list should hold, rows sampled per list to fit its centre, and the most lists of one space (bounds sample and broadcast).
 LIST_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 256, 16, 4096
 #: Significance of the test: a partial distance over d columns counts as sqrt(dim / d) / (1 + EPSILON / sqrt(d)) of the whole.
@@ -24,6 +26,8 @@ EPSILON = 2.1
 SIGMAS = 2.0
 #: Rows of a list that one task compares; longer lists are dealt to several.
 BLOCK_ROWS = 2048
+#: Vectors with more copies than are searched, up to which they are broadcast; parts each is dealt to beyond it.
+BROADCAST_COPIED, COPY_SALTS = 10_000, 16
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -202,14 +206,14 @@ def _search(k: int, least: float):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 12, list_rows: int = LIST_ROWS, most_lists: int = MOST_LISTS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 12, list_rows: int = LIST_ROWS, most_lists: int = MOST_LISTS, copies: bool = True) -> DataFrame:
     """(space, id, other, cosine, rank): up to k most similar other ids of the same space for every id.
 
     ``vectors`` has (space, id, vector). Null, all-zero and empty vectors and null ids are left out,
     not finite entries count 0, rows with the same space and id count once (one of them, where the
     vectors differ). Ties (cosines equal to six digits) go to the smaller id. Of identical vectors
-    only the k + 1 smallest ids are neighbours or have neighbours here: a further copy is nobody's
-    neighbour, and its own neighbours are those k ids. ``least`` leaves out smaller cosines. The
+    only the k + 1 smallest ids are searched: a further copy is nobody's neighbour, and its own
+    neighbours are those of the last one searched, which it gets unless ``copies`` is false. ``least`` leaves out smaller cosines. The
     lists are fitted to a sample of at most ``SAMPLE_PER_LIST * most_lists`` rows per space; every
     row is indexed. See README for the recall measured against brute force.
     """
@@ -217,7 +221,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
     rows = vectors.select(F.col("space").cast("string"), F.col("id").cast("string"), "vector").where("space is not null and id is not null and vector is not null")
     ready = rows.mapInArrow(_usable, "space string, id string, vec binary").withColumn("h", F.abs(F.xxhash64("space", "vec") % 1000000007))
     same = Window.partitionBy("space", "h", "vec").orderBy("id")
-    once = ready.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).dropDuplicates(["space", "h", "vec", "id"]).drop("r")
+    first = ready.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).dropDuplicates(["space", "h", "vec", "id"])
+    once = first.drop("r")
     counts = {r[0]: r[1] for r in rows.groupBy("space").count().collect()}
     if not counts:
         return spark.createDataFrame([], "space string, id string, other string, cosine double, rank int")
@@ -241,16 +246,35 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
     found = sent.groupBy("space", "list", "block").applyInArrow(_search(k, least), "space string, id string, other string, cosine double")
     best = found.groupBy("space", "id", "other").agg(F.max("cosine").alias("cosine"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "other")))
-    return ranked.where(F.col("rank") <= k)
+    ranked = ranked.where(F.col("rank") <= k)
+    return _with_copies(ranked, ready, first.where(F.col("r") == k + 1)) if copies else ranked
+
+
+def _with_copies(ranked: DataFrame, ready: DataFrame, last: DataFrame) -> DataFrame:
+    """``ranked`` with the ids that were not searched; each has the neighbours of ``last``, the largest searched id of its vector."""
+    ranked = cut_lineage(ranked)
+    near = last.select("space", "h", "vec", F.col("id").alias("searched")).join(ranked.withColumnRenamed("id", "searched"), ["space", "searched"])
+    near = cut_lineage(near.groupBy("space", "h", "vec", "searched").agg(F.collect_list(F.struct("other", "cosine", "rank")).alias("near")))
+    found = near.limit(BROADCAST_COPIED + 1).count()
+    if not found:
+        return ranked
+    if found <= BROADCAST_COPIED:
+        more = ready.join(F.broadcast(near), ["space", "h", "vec"])
+    else:
+        dealt = ready.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(COPY_SALTS)).cast("int"))
+        more = dealt.join(near.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(COPY_SALTS - 1)))), ["space", "h", "vec", "salt"])
+    more = more.where(F.col("id") > F.col("searched")).select("space", "id", "near").dropDuplicates(["space", "id"])
+    more = more.join(ranked.where(F.col("rank") == 1).select("space", "id"), ["space", "id"], "left_anti")
+    return ranked.unionByName(more.select("space", "id", F.inline("near")))
 
 
 def mutual_pairs(vectors: DataFrame, k: int = 5, least: float = 0.9, probes: int = 12) -> DataFrame:
     """(space, left_id, right_id): pairs where each is among the k most similar of the other and the cosine is ``least`` or more.
 
-    Leaving out smaller cosines changes no rank of a pair that is kept. Ties, copies, nulls and
+    Leaving out smaller cosines changes no rank of a pair that is kept, and further copies are nobody's neighbours. Ties, copies, nulls and
     repeated rows as in :func:`nearest`.
     """
-    near = nearest(vectors, k, least, probes).select("space", F.least("id", "other").alias("left_id"), F.greatest("id", "other").alias("right_id"))
+    near = nearest(vectors, k, least, probes, copies=False).select("space", F.least("id", "other").alias("left_id"), F.greatest("id", "other").alias("right_id"))
     return near.groupBy("space", "left_id", "right_id").agg(F.count("*").alias("n")).where("n = 2").drop("n")
 
 
