@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import chunking, evaluation, extraction, graph, resolve, search
-from weftline.plans.ask import AskOptions, cached_answers, merged_searches, prompts, rewritten, routed, stage_options
+from weftline.plans.ask import AskOptions, Inputs, cached_answers, compare, merged_searches, prompts, retrieve, rewritten, routed, stage_options
 from weftline.sources import files
 from weftline.streaming import ingest
 
@@ -164,6 +164,37 @@ def test_ask_helpers(spark):
     assert cached_answers(q, spark.createDataFrame([], "key string, answer string, warning string"), ["question"]).first().cached is False
 
 
+def test_every_stage_does_what_its_options_say(spark):
+    rows = [(f"{s[0]}{i}", "d", s, i, i * 100, i * 100 + 100, t, y) for s in ("recursive", "contextual") for i, (t, y) in enumerate([("alpha film report", 2005), ("alpha film alpha film report", 2011), ("composer of the harbour", 2005), ("harbour bells", 2005), ("far away", 2005), ("linked tale", 1990)])]
+    c = spark.createDataFrame(rows, "id string, doc_id string, strategy string, strategy_ordinal int, start_char int, end_char int, text string, year int")
+    c = c.withColumns({n: F.lit(None).cast("string") for n in ("doctype", "subject", "studio")})
+    q = spark.createDataFrame([(1, "alpha film 2005"), (2, "who wrote the music"), (3, "alpha report or bells")], "question_id int, question string")
+    given = Inputs(
+        sections=c.select("doctype", "subject", "studio", "year"), glossary=spark.createDataFrame([("music", "composer")], "phrase string, expansion string"),
+        mentions=spark.createDataFrame([("d", "r2", "x"), ("d", "r5", "y")], "doc_id string, chunk_id string, entity_key string"),
+        edges=spark.createDataFrame([("d", "x", "MERGE", "y", 1.0, False)], "doc_id string, subject string, predicate string, object string, confidence double, derived boolean"),
+        searches=spark.createDataFrame([(3, 1, "bells"), (3, 2, "alpha report")], "question_id int, iteration int, question string"), kinds=spark.createDataFrame([(2, "simple"), (3, "multi_part")], "question_id int, kind string"),
+    )
+    got = {}
+    for r in compare(q, c, None, [0, 2, 3, 5, 6, 9, 10, 11], given).orderBy("rank").collect():
+        got.setdefault((r.stage, r.question_id), []).append(r.chunk_id)
+    assert set(got[2, 1]) == {"r0", "r1"} and got[3, 1] == got[5, 1] == ["r0"] and got[9, 1] == ["c0"]
+    assert (5, 2) not in got and got[6, 2] == ["r2"] and got[9, 2] == ["c2"]
+    assert got[6, 3][0] != "r3" and got[9, 3][0] == "c3" and sorted(got[9, 3]) == ["c0", "c1", "c3"]
+    assert got[10, 2] == ["c2", "r1", "r3", "r5"] and got[11, 2] == ["c2"] and got[11, 3] == got[10, 3] and (0, 1) not in got
+    with pytest.raises(ValueError):
+        retrieve(q, c, None, stage_options(3))
+
+
+def test_figures_within_a_filter_are_those_of_the_filtered_texts(spark):
+    c = spark.createDataFrame([("a", "red fox"), ("b", "red red hen house"), ("c", "blue fox"), ("d", None)], "id string, text string")
+    q = spark.createDataFrame([(1, "red fox", "s"), (2, "red fox", "t")], "question_id int, question string, scope string")
+    scopes = spark.createDataFrame([("s", x) for x in "abd"] + [("t", x) for x in "abcd"], "scope string, id string")
+    got = {(r[0], r[1]): round(r[2], 9) for r in search.bm25(c, q, scopes=scopes).collect()}
+    want = {(n, r[1]): round(r[2], 9) for n, part in ((1, c.where("id <> 'c'")), (2, c)) for r in search.bm25(part, q.where(f"question_id = {n}")).collect()}
+    assert got == want and len(got) == 5
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "o.json").write_text('{"relationTypes": [{"predicate": "DIRECTED", "from": ["Person"], "to": ["Film", "TVSeries"]}]}')
     (tmp_path / "n.json").write_text('{"Bob": "Robert"}')

@@ -15,6 +15,7 @@ K1, B, RRF_K = 1.5, 0.75, 60
 BROADCAST_TERMS = 100_000
 #: Query vectors up to which they are broadcast.
 BROADCAST_QUERIES = 10_000
+FILTER_FIELDS = ("year", "year_from", "year_to", "doctype", "subject", "studio")
 #: Phrases of a question that point to a kind of document, most telling first.
 DOCTYPE_HINTS = [
     ("box office", "box-office"), ("opening weekend", "box-office"), ("gross", "box-office"), ("cast announcement", "casting"), ("casting", "casting"), ("recast", "casting-history"),
@@ -65,24 +66,33 @@ def postings(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame
     return term_rows(texts, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(texts: DataFrame, questions: DataFrame, key: str = "id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+def bm25(texts: DataFrame, questions: DataFrame, key: str = "id", text: str = "text", k1: float = K1, b: float = B, scopes: DataFrame | None = None) -> DataFrame:
     """(question_id, key, score) for texts that share a term with the question; scores above 0 only.
 
     ``questions`` has (question_id, question), ``texts`` one row per key. N, document frequencies and
     the mean length cover the texts given, so a filter applied before changes them. One pass over the
     texts counts, per text, its tokens and those of the questions' terms; only the latter are rows.
+    With ``scopes`` (scope, key), each question sees the texts of its own ``scope`` only, and the
+    figures are those of the scope.
     """
-    asked = questions.select("question_id", F.explode(query_tokens(F.col("question"))).alias("term"))
+    asked = questions.select("question_id", *(["scope"] if scopes is not None else []), F.explode(query_tokens(F.col("question"))).alias("term"))
     wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
     small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # a batch of questions may be any size
     flagged = term_rows(texts, key, text).join(F.broadcast(wanted) if small else wanted, "term", "left")
     per = flagged.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
     whole = F.sum("tf").over(Window.partitionBy(key)).alias("length")
     tf = per.select(key, "term", "tf", whole).where("term is not null")
-    counted = per.agg(F.sum("tf")).scalar()
-    size = texts.agg(F.struct(F.count("*").alias("n"), F.count(text).alias("known"))).scalar()
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(asked, "term").join(df, "term").withColumn("size", size).withColumn("n", F.col("size.n")).withColumn("mean", counted / F.col("size.known"))
+    if scopes is None:
+        counted = per.agg(F.sum("tf")).scalar()
+        size = texts.agg(F.struct(F.count("*").alias("n"), F.count(text).alias("known"))).scalar()
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
+        scored = tf.join(asked, "term").join(df, "term").withColumn("size", size).withColumn("n", F.col("size.n")).withColumn("mean", counted / F.col("size.known"))
+    else:
+        known = texts.select(key, F.col(text).isNotNull().alias("known")).join(per.groupBy(key).agg(F.sum("tf").alias("length")), key, "left")
+        size = scopes.join(known, key).groupBy("scope").agg(F.count("*").alias("n"), (F.sum("length") / F.count_if("known")).alias("mean"))
+        inside = tf.join(scopes, key)
+        df = inside.groupBy("scope", "term").agg(F.count("*").alias("df"))
+        scored = inside.join(asked, ["scope", "term"]).join(df, ["scope", "term"]).join(size, "scope")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     return scored.groupBy("question_id", key).agg(F.sum(part).alias("score")).where("score > 0")
@@ -169,6 +179,22 @@ def inferred_filters(questions: DataFrame, sections: DataFrame, hints: list[tupl
     return out.select("question_id", F.when(fits, F.col("year")).alias("year"), "year_from", "year_to", "doctype", "subject", "studio")
 
 
+def within_filters(filters: DataFrame, rows: DataFrame) -> DataFrame:
+    """(scope, id): the rows (id, year, doctype, subject, studio) that meet each distinct filter of :func:`scoped`; a null field of a row meets none."""
+    wanted = filters.select("scope", *[F.col(c).alias(f"__{c}") for c in FILTER_FIELDS]).distinct()
+    fits = F.lit(True)
+    for c in ("doctype", "subject", "studio"):
+        fits = fits & (F.col(f"__{c}").isNull() | (F.lower(c) == F.lower(f"__{c}")))
+    fits = fits & (F.col("__year").isNull() | (F.col("year") == F.col("__year")))
+    fits = fits & (F.col("__year_from").isNull() | F.col("year").between(F.col("__year_from"), F.col("__year_to")))
+    return rows.select("id", "year", "doctype", "subject", "studio").join(wanted, fits).select("scope", "id")
+
+
+def scoped(filters: DataFrame) -> DataFrame:
+    """Filters of :func:`inferred_filters` with a ``scope``, the same for equal filters."""
+    return filters.withColumn("scope", F.to_json(F.struct(*FILTER_FIELDS)))
+
+
 def page(rows: DataFrame, order: list[str], skip: int = 0, take: int = 50) -> DataFrame:
     """``take`` (1 to 500) rows after the first ``skip`` in the given order."""
     return rows.orderBy(*order).offset(max(0, skip)).limit(min(500, max(1, take)))

@@ -1,4 +1,4 @@
-"""A batch of questions through the stages of retrieval, as one lazy plan."""
+"""A batch of questions through the stages of retrieval, lazy but for the few rows per question that several steps read."""
 
 from __future__ import annotations
 
@@ -7,7 +7,24 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.search import bm25, fuse, lexical_rerank, top_k, vector_scores
+from weftline.operators.chunking import overlapping
+from weftline.operators.graph import expand
+from weftline.operators.search import bm25, fuse, inferred_filters, lexical_rerank, scoped, top_k, vector_scores, within_filters
+from weftline.plans.runtime import cut_lineage
+
+#: Searches of one question at most, and the strategy whose chunks the graph was extracted from.
+MOST_SEARCHES, GRAPH_STRATEGY = 4, "recursive"
+#: Words of viewers and the words of press kits for them.
+GLOSSARY = [
+    (phrase, formal)
+    for phrases, formal in (
+        ("music/soundtrack/theme", "original score composed by composer"), ("filmed by/shot by/camera", "cinematographer director of photography"),
+        ("the guy who made it/made by", "directed by director"), ("made money/earnings/took", "box office gross opening weekend domestic worldwide"),
+        ("starred/was in/played in", "cast credited as principal role"), ("the studio behind it", "produced by distributed by production company"),
+        ("episode where/the one where", "episode guide synopsis"), ("won/picked up", "award category nominated for ceremony"), ("writer/script", "screenplay by story by"),
+    )
+    for phrase in phrases.split("/")
+]
 
 
 @dataclass(frozen=True)
@@ -49,8 +66,9 @@ def stage_options(stage: int, base: AskOptions | None = None) -> AskOptions:
 ROUTES = {
     "simple": {"agentic": False, "graph": "none"},
     "figure": {"hybrid": True, "rerank": False, "graph": "none"},
-    "multi_part": {"agentic": True, "graph": "none"},
-    "path": {"graph": "path", "agentic": False},
+    "relational": {"graph": "expand", "agentic": False},
+    "multi_part": {"agentic": True, "graph": "expand"},
+    "path": {"graph": "path", "agentic": False, "rerank": False, "hybrid": False},
     "aggregate": {"graph": "aggregate", "agentic": False},
 }
 
@@ -67,41 +85,132 @@ def rewritten(questions: DataFrame, glossary: DataFrame) -> DataFrame:
     return questions.join(extra, "question_id", "left").withColumn("question", F.concat_ws(" ", "question", "__x")).drop("__x")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, options: AskOptions) -> DataFrame:
-    """(question_id, chunk_id, rank, score, ...) for questions (question_id, question[, vector]).
+@dataclass(frozen=True)
+class Inputs:
+    """What the options beyond strategy, hybrid and rerank read; an option whose table is missing is an error.
+
+    ``sections`` (doctype, subject, studio, year) and ``glossary`` (phrase, expansion) serve the filter
+    and the rewriting, ``mentions`` (doc_id, chunk_id, entity_key) and ``edges`` the graph. ``searches``
+    (question_id, iteration, question) and ``kinds`` (question_id, kind) are replayed answers of the
+    planner and of the router; a question without them is searched once, with every layer left on.
+    ``filters`` are those that ``search.scoped`` gives, if they are known already.
+    """
 
-    ``chunks`` has (id, strategy, text), ``vectors`` (id, vector). Without vectors the keyword arm
-    alone ranks; without hybrid the vector arm alone. Candidates are narrowed to top_k after reranking.
+    sections: DataFrame | None = None
+    glossary: DataFrame | None = None
+    mentions: DataFrame | None = None
+    edges: DataFrame | None = None
+    searches: DataFrame | None = None
+    kinds: DataFrame | None = None
+    filters: DataFrame | None = None
+
+    def need(self, name: str) -> DataFrame:
+        got = getattr(self, name)
+        if got is None:
+            raise ValueError(f"this stage needs {name}")
+        return got
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, options: AskOptions, inputs: Inputs = Inputs()) -> DataFrame:
+    """(question_id, chunk_id, rank, score) for questions (question_id, question[, vector]).
+
+    ``chunks`` has (id, strategy, text), for the filter also (year, doctype, subject, studio), for the
+    graph (doc_id, strategy_ordinal, start_char, end_char). ``vectors`` is (id, vector). Without vectors
+    the keyword arm alone ranks; without hybrid the vector arm alone. Candidates are narrowed to top_k
+    after reranking; several searches are merged, and chunks reached through the graph (score null)
+    follow last. A rewritten or planned text changes the words, the vector stays the question's.
+    ``citations`` is a matter of the answers and changes no retrieval.
     """
     o = options.normal()
+    if not o.router or inputs.kinds is None:
+        return _retrieved(questions, chunks, vectors, o, inputs)
+    told = inputs.kinds.groupBy("question_id").agg(F.min("kind").alias("__kind"))
+    q = questions.join(told, "question_id", "left")
+    q = q.withColumn("__kind", F.when(F.col("__kind").isin(list(ROUTES)), F.col("__kind")).otherwise(""))
+    out = None
+    for k in sorted(r[0] for r in q.select("__kind").distinct().collect()):
+        got = cut_lineage(_retrieved(q.where(F.col("__kind") == k).drop("__kind"), chunks, vectors, routed(o, k), inputs))
+        out = got if out is None else out.unionByName(got)
+    return out if out is not None else _retrieved(questions, chunks, vectors, o, inputs)
+
+
+def _retrieved(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, o: AskOptions, inputs: Inputs) -> DataFrame:
     own = chunks.where(F.col("strategy") == o.strategy)
+    runs = rewritten(questions, inputs.need("glossary")) if o.rewrite else questions
+    members = None
+    if o.metadata_filter:
+        filters = inputs.filters if inputs.filters is not None else scoped(inferred_filters(questions, inputs.need("sections")))
+        members = within_filters(filters, own)
+        runs = runs.join(filters.select("question_id", "scope"), "question_id")
+    if o.agentic and inputs.searches is not None:
+        planned = inputs.searches.where(F.col("iteration") <= MOST_SEARCHES).select("question_id", "iteration", F.col("question").alias("__planned"))
+        runs = runs.join(planned, "question_id", "left").withColumn("question", F.coalesce("__planned", "question")).drop("__planned")
+        runs = runs.withColumn("iteration", F.coalesce("iteration", F.lit(1)))
+    else:
+        runs = runs.withColumn("iteration", F.lit(1))
+    hits = _ranked(runs.withColumn("question_id", F.struct("question_id", "iteration")).drop("iteration"), own, vectors, o, members)
+    hits = hits.select("question_id.question_id", "question_id.iteration", F.col("id").alias("chunk_id"), "rank", "score")
+    if o.agentic:
+        hits = merged_searches(hits).withColumn("rank", F.col("place"))
+    hits = hits.select("question_id", "chunk_id", "rank", "score")
+    if o.graph != "expand":
+        return hits
+    hits = cut_lineage(hits)  # a few rows per question, read several times
+    return hits.unionByName(_through_graph(hits, chunks, o, inputs))
+
+
+def _ranked(runs: DataFrame, own: DataFrame, vectors: DataFrame | None, o: AskOptions, members: DataFrame | None) -> DataFrame:
+    """The top_k of every search: (question_id, id, rank, score)."""
     wide = o.candidate_k if o.rerank or o.hybrid else o.top_k
-    keyword = top_k(bm25(own, questions), wide) if o.hybrid or vectors is None else None
+    keyword = top_k(bm25(own, runs, scopes=members), wide) if o.hybrid or vectors is None else None
     near = None
     if vectors is not None:
-        near = top_k(vector_scores(vectors.join(own.select("id"), "id", "left_semi"), questions), wide)
+        near = vector_scores(vectors.join(own.select("id"), "id", "left_semi"), runs)
+        if members is not None:
+            near = near.join(runs.select("question_id", "scope"), "question_id").join(members, ["scope", "id"], "left_semi").drop("scope")
+        near = top_k(near, wide)
     if keyword is not None and near is not None:
-        ranked = fuse(near, keyword)
-        ranked = top_k(ranked, wide)
+        ranked = top_k(fuse(near, keyword), wide)
     else:
         ranked = near if near is not None else keyword
     if o.rerank:
-        texts = ranked.join(own.select("id", "text"), "id").join(questions.select("question_id", "question"), "question_id")
-        done = lexical_rerank(texts).drop("text", "question")
-        return done.where(F.col("rank_after") <= o.top_k).withColumnRenamed("id", "chunk_id")
-    return ranked.where(F.col("rank") <= o.top_k).withColumnRenamed("id", "chunk_id")
+        texts = ranked.join(own.select("id", "text"), "id").join(runs.select("question_id", "question"), "question_id")
+        ranked = lexical_rerank(texts).withColumn("rank", F.col("rank_after")).withColumn("score", F.col("rerank_score"))
+    return ranked.where(F.col("rank") <= o.top_k).select("question_id", "id", "rank", "score")
 
 
-def compare(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, stages: list[int]) -> DataFrame:
-    """Every question at several stages: (stage, question_id, chunk_id, rank)."""
-    parts = []
+def _through_graph(hits: DataFrame, chunks: DataFrame, o: AskOptions, inputs: Inputs) -> DataFrame:
+    """What the graph adds to each question's chunks: of each, in order, the chunk before, the one after and three related ones.
+
+    Chunks of another strategy than the graph's stand for the two of its strategy that they overlap most.
+    """
+    base = chunks.where(F.col("strategy") == GRAPH_STRATEGY)
+    seeds = hits.select("question_id", F.col("chunk_id").alias("id"), "rank")
+    if o.strategy == GRAPH_STRATEGY:
+        mapped = seeds.select("question_id", F.col("id").alias("chunk_id"), "rank", F.lit(1).alias("near"))
+    else:
+        spans = chunks.join(seeds.select("id").distinct(), "id", "left_semi")
+        near = overlapping(spans, base, 2).select("id", F.col("other").alias("chunk_id"), F.col("rank").alias("near"))
+        mapped = cut_lineage(seeds.join(near, "id").drop("id"))
+    met = expand(mapped.select("chunk_id"), base, inputs.need("mentions"), inputs.need("edges"), o.min_confidence)
+    related = F.slice(F.split(F.coalesce("related_ids", F.lit("")), " "), 1, 3)
+    added = F.concat(F.array("previous_id", "next_id"), related)
+    rows = mapped.join(met.select("chunk_id", added.alias("added")), "chunk_id").select("question_id", "rank", "near", F.posexplode("added").alias("place", "chunk_id"))
+    rows = rows.where("chunk_id is not null and chunk_id <> ''").join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
+    first = rows.groupBy("question_id", "chunk_id").agg(F.min(F.struct("rank", "near", "place")).alias("at"))
+    order = F.row_number().over(Window.partitionBy("question_id").orderBy("at", "chunk_id"))
+    last = hits.groupBy("question_id").agg(F.max("rank").alias("last"))
+    return first.join(last, "question_id").select("question_id", "chunk_id", (F.col("last") + order).alias("rank"), F.lit(None).cast("double").alias("score"))
+
+
+def compare(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None, stages: list[int], inputs: Inputs = Inputs()) -> DataFrame:
+    """Every question at several stages: (stage, question_id, chunk_id, rank); one stage runs after another, else the plan outgrows the driver."""
+    if inputs.filters is None and any(stage_options(s).metadata_filter for s in stages):
+        inputs = replace(inputs, filters=cut_lineage(scoped(inferred_filters(questions, inputs.need("sections")))))
+    out = None
     for s in stages:
-        got = retrieve(questions, chunks, vectors, stage_options(s))
-        rank = "rank_after" if "rank_after" in got.columns else "rank"
-        parts.append(got.select(F.lit(s).alias("stage"), "question_id", "chunk_id", F.col(rank).alias("rank")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        got = cut_lineage(retrieve(questions, chunks, vectors, stage_options(s), inputs)).select(F.lit(s).alias("stage"), "question_id", "chunk_id", "rank")
+        out = got if out is None else out.unionByName(got)
     return out
 
 

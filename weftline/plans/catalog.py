@@ -24,6 +24,9 @@ QUESTIONS = [
     (3, "Who directed the silent lighthouse and won the Orrin Medal for editing?", 200),
     (4, "What was the title record of 2005 and 2011 by the studio?", 300),
 ]
+#: Written for the questions above in place of what a model would answer as planner and as router.
+SEARCHES = [(3, 1, "Who directed the silent lighthouse?"), (3, 2, "Who won the Orrin Medal for editing?"), (4, 1, "title record of 2005 by the studio"), (4, 2, "title record of 2011 by the studio")]
+KINDS = [(1, "relational"), (2, "simple"), (3, "multi_part"), (4, "multi_part")]
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 Q_SQL = "(values " + ", ".join(f"({i}, '{q}', {v})" for i, q, v in QUESTIONS) + ") as t(question_id, question, vec_id)"
 
@@ -572,4 +575,12 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
 def compared_stages(spark: SparkSession, d: str) -> DataFrame:
     asked = questions(spark).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     vectors = table(spark, d, "vectors").where("vector is not null").select(F.col("chunk_id").alias("id"), "vector").dropDuplicates(["id"])
-    return ask.compare(asked, chunks(spark, d, "strategy", "text"), vectors, [2, 4, 5, 7])
+    held = chunks(spark, d, "doc_id", "strategy", "strategy_ordinal", "start_char", "end_char", "text", "year", "doctype", "subject", "studio", "entity_keys")
+    said = table(spark, d, "merge_decisions").where("lower(trim(decision)) = 'merge'").select("doc_id", F.col("left_key").alias("subject"), F.upper(F.trim("decision")).alias("predicate"), F.col("right_key").alias("object")).distinct()
+    inputs = ask.Inputs(
+        sections=table(spark, d, "sections"), glossary=spark.createDataFrame(ask.GLOSSARY, "phrase string, expansion string"),
+        mentions=held.where(F.col("strategy") == ask.GRAPH_STRATEGY).select("doc_id", F.col("id").alias("chunk_id"), F.explode("entity_keys").alias("entity_key")),
+        edges=said.withColumn("confidence", F.lit(1.0)).withColumn("derived", F.lit(False)),
+        searches=spark.createDataFrame(SEARCHES, "question_id int, iteration int, question string"), kinds=spark.createDataFrame(KINDS, "question_id int, kind string"),
+    )
+    return ask.compare(asked, held.drop("entity_keys"), vectors, list(range(1, 12)), inputs)
