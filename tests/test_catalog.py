@@ -15,6 +15,12 @@ def test_query_without_sql_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 
 
+def test_whole_graph_queries_count_every_edge(spark, data):
+    made = catalog.star_edges(spark, data, "made").count()
+    films = catalog.QUERIES["all_works_by_studio"](spark, data).agg({"films": "sum"}).first()[0]
+    assert films == made > catalog.QUERIES["works_by_studio"](spark, data).agg({"films": "sum"}).first()[0]
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -384,6 +384,25 @@ def members_of_several(spark: SparkSession, d: str) -> DataFrame:
     return graph.members_of_several(star_edges(spark, d, "acted").unionByName(star_edges(spark, d, "brand")), "ACTED_IN", "PART_OF_FRANCHISE", 0.95)
 
 
+# The three above with every edge (0.6, the operators' own confidence) and every year
+
+
+@query(f"""with {EDGES} select s_name as studio, count(distinct subject) as films, array_to_string(list_sort(list(distinct p_name))[1:8], ' · ') as titles from made join part on subject = 'part:' || p_partkey join supplier on object = 'supplier:' || s_suppkey
+where confidence >= 0.6 group by s_name""")
+def all_works_by_studio(spark: SparkSession, d: str) -> DataFrame:
+    return graph.works_by_studio(star_edges(spark, d, "made"), star_entities(spark, d))
+
+
+@query(f"with {EDGES} select a.subject as first_key, b.object as second_key, count(distinct a.object) as works from acted a join made b on a.object = b.subject where a.confidence >= 0.6 and b.confidence >= 0.6 group by all")
+def all_shared_credits(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shared_credits(star_edges(spark, d, "acted").unionByName(star_edges(spark, d, "made")), "ACTED_IN", "PRODUCED_BY")
+
+
+@query(f"""with {EDGES} select key, count(*) as groups, array_to_string(list_sort(list(grp)), ' · ') as names from (select distinct a.subject as key, b.object as grp from acted a join brand b on a.object = b.subject where a.confidence >= 0.6) group by key having count(*) > 1""")
+def all_members_of_several(spark: SparkSession, d: str) -> DataFrame:
+    return graph.members_of_several(star_edges(spark, d, "acted").unionByName(star_edges(spark, d, "brand")), "ACTED_IN", "PART_OF_FRANCHISE")
+
+
 @query(f"""with {EDGES}, f as (select subject, min(object) as key from made where confidence >= 0.9 group by subject) select key, count(*) as awards from won join f using (subject) where confidence >= 0.9 group by key""")
 def award_tally(spark: SparkSession, d: str) -> DataFrame:
     return graph.tally_by_first(star_edges(spark, d, "made").unionByName(star_edges(spark, d, "won")), "WON", "PRODUCED_BY", 0.9)
