@@ -244,6 +244,17 @@ def test_weights_keep_reachable_targets_and_limits():
     assert got == pytest.approx({"a": 500, "b": 300, "c": 20, "d": 0}, abs=1e-6)
 
 
+def test_what_capped_sources_leave_is_refilled(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(3000)], "doc_id bigint, source string")
+    counts = docs.select("doc_id", F.when(F.col("source") == "c", 1).otherwise(10).cast("bigint").alias("tokens"))
+    targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.2, 3), ("c", 0.4, 2)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.mix(docs, targets, counts, block_tokens=500)[1].collect()}
+    assert got["c"].tokens == 2000 and 21000 - 30 <= sum(r.tokens for r in got.values()) <= 21000
+    assert got["a"].wanted_tokens == pytest.approx(2 * got["b"].wanted_tokens, abs=0.01) and all(r.tokens <= r.max_repeats * r.available_tokens for r in got.values())
+    limits = {"a": 500.0, "b": 400.0, "c": 20.0}
+    assert mixing.refilled({"a": 500.0, "b": 300.0, "c": 20.0, "d": 0.0}, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.1}, limits, 1000) == pytest.approx({**limits, "d": 0}, abs=1e-3)
+
+
 def test_mix_reaches_shares_without_breaking_limits(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, "big" if i < 2000 else "small") for i in range(2100)] + [(None, "big"), (9000, None)], "doc_id bigint, source string")

@@ -59,12 +59,30 @@ def fit_weights(tokens: dict[str, int], targets: dict[str, float], repeats: dict
     return out
 
 
+def refilled(draw: dict[str, float], targets: dict[str, float], limits: dict[str, float], budget: float, steps: int = 200) -> dict[str, float]:
+    """``draw`` raised to the budget: what sources at their limits leave goes to the others in proportion to their targets.
+
+    All sources share one factor, found by bisection, on their targets; each stops at its limit. Falls
+    short of the budget only if every source with a target is at its limit.
+    """
+    if sum(draw.values()) >= budget:
+        return draw
+    able = {s: t for s, t in targets.items() if t > 0 and limits.get(s, 0) > 0}
+    at = lambda f: {s: min(float(limits[s]), f * t) for s, t in able.items()}
+    low, high = 0.0, 2 * max((limits[s] / t for s, t in able.items()), default=0.0)
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(at(mid).values()) <= budget else (low, mid)
+    return {s: 0.0 for s in draw} | at(high)
+
+
 def mix(documents: DataFrame, targets: DataFrame, counts: DataFrame, budget: float | None = None, seed: int = 17, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(drawn documents, shares reached).
 
     ``documents`` has (doc_id, source), ``targets`` (source, target_share, max_repeats) and ``counts``
     (doc_id, tokens). ``budget`` is the size of the mix in tokens; by default that of all documents
-    of the target sources, once. A source takes whole passes over its documents and then, for the
+    of the target sources, once; what sources at their limits cannot supply, the others do in
+    proportion to their targets. A source takes whole passes over its documents and then, for the
     rest of its budget, blocks in a seeded random order and the documents of the last block in
     random order while they fit. Drawn documents are (doc_id, source, tokens, repeats), repeats from
     1 to max_repeats. Shares are one row per target: a source without documents, or with a null or
@@ -78,7 +96,8 @@ def mix(documents: DataFrame, targets: DataFrame, counts: DataFrame, budget: flo
     held = {r[0]: (r[1], r[2]) for r in sized.groupBy("source").agg(F.sum("tokens"), F.count("*")).collect()}
     tokens = {s: n for s, (n, _) in held.items()}
     size = float(sum(tokens.values())) if budget is None else float(budget)
-    draw = fit_weights(tokens, {s: t for s, (t, _) in goal.items()}, {s: r for s, (_, r) in goal.items()}, size)
+    share, repeats = {s: t for s, (t, _) in goal.items()}, {s: r for s, (_, r) in goal.items()}
+    draw = refilled(fit_weights(tokens, share, repeats, size), share, {s: float(n * repeats[s]) for s, n in tokens.items()}, size)
     plan = [(s, float(draw[s]), int(draw[s] // tokens[s]), float(draw[s] % tokens[s]), max(1, tokens[s] // block_tokens)) for s in tokens]
     spark = documents.sparkSession
     rules = spark.createDataFrame(plan, "source string, want double, passes int, rest double, blocks bigint")
@@ -98,5 +117,5 @@ def mix(documents: DataFrame, targets: DataFrame, counts: DataFrame, budget: flo
     known = spark.createDataFrame([(s, float(t), r, int(tokens.get(s, 0)), float(round(draw[s], 3))) for s, (t, r) in sorted(goal.items())], "source string, target_share double, max_repeats int, available_tokens bigint, wanted_tokens double")
     shares = known.join(reached, "source", "left").withColumn("all_tokens", total.scalar())
     fill = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    share = F.round(F.coalesce(F.col("tokens") / F.nullif(F.col("all_tokens"), F.lit(0)), F.lit(0.0)), 6).alias("actual_share")
-    return drawn, shares.select("source", "target_share", "max_repeats", "available_tokens", "wanted_tokens", fill("tokens"), fill("documents"), fill("most_repeats"), share)
+    actual = F.round(F.coalesce(F.col("tokens") / F.nullif(F.col("all_tokens"), F.lit(0)), F.lit(0.0)), 6).alias("actual_share")
+    return drawn, shares.select("source", "target_share", "max_repeats", "available_tokens", "wanted_tokens", fill("tokens"), fill("documents"), fill("most_repeats"), actual)
