@@ -232,40 +232,45 @@ def test_vocabulary_tells_fragments_from_words(spark):
 # Mixing
 
 
-def test_exponent_meets_entropy():
-    shares = {"a": 0.7, "b": 0.2, "c": 0.1}
-    e = mixing.exponent_for_entropy(shares, 1.0)
-    assert mixing.entropy(mixing.tempered(shares, e)) == pytest.approx(1.0, abs=1e-6)
-
-
 def test_weights_keep_reachable_targets_and_limits():
     tokens, repeats = {"a": 900, "b": 90, "c": 10}, {"a": 1, "b": 4, "c": 2, "d": 1}
-    got = mixing.fit_weights(tokens, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.1}, repeats, 1000)
-    assert got == pytest.approx({"a": 500, "b": 300, "c": 20, "d": 0}, abs=1e-6)
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.1}
+    got, exponent = mixing.fit_weights(tokens, targets, repeats, 1000)
+    assert sum(got.values()) == pytest.approx(1000) and got["c"] == 20 and got["d"] == 0
+    assert got["a"] >= 500 / 1.1 and 300 / 1.1 <= got["b"] <= 360 and 0 <= exponent <= 1
+    assert mixing.fit_weights(tokens, {"a": 0.7, "b": 0.29, "c": 0.01}, repeats, 1000) == ({"a": 700, "b": 290, "c": 10}, None)
+    everything, _ = mixing.fit_weights(tokens, targets, repeats, 5000)
+    assert everything == pytest.approx({"a": 900, "b": 360, "c": 20, "d": 0})
+
+
+def test_exponent_keeps_the_entropy_of_the_targets_among_sources_with_room():
+    targets = {"a": 0.45, "b": 0.25, "c": 0.15, "d": 0.15}
+    draw, exponent = mixing.fit_weights({"a": 9000, "b": 2000, "c": 900, "d": 100}, targets, {"a": 1, "b": 2, "c": 5, "d": 1}, 9000)
+    among = lambda w: mixing.entropy({s: w[s] for s in "abc"})
+    assert 0 < exponent < 1 and among(draw) == pytest.approx(among(targets), abs=1e-9)
+    assert draw["d"] == 100 and sum(draw.values()) == pytest.approx(9000) and all(draw[s] >= 9000 * targets[s] for s in "abc")
+    assert mixing.tempered({"a": 0.7, "b": 0.3}, 0) == {"a": 0.5, "b": 0.5} and mixing.tempered({"a": 0.7, "b": 0.3}, 1) == pytest.approx({"a": 0.7, "b": 0.3})
 
 
 def test_what_capped_sources_leave_is_refilled(spark):
-    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(3000)], "doc_id bigint, source string")
-    counts = docs.select("doc_id", F.when(F.col("source") == "c", 1).otherwise(10).cast("bigint").alias("tokens"))
+    docs = spark.createDataFrame([(i, "abc"[i % 3], 1 if i % 3 == 2 else 10) for i in range(3000)], "doc_id bigint, source string, tokens bigint")
     targets = spark.createDataFrame([("a", 0.4, 2), ("b", 0.2, 3), ("c", 0.4, 2)], "source string, target_share double, max_repeats int")
-    got = {r.source: r for r in mixing.mix(docs, targets, counts, block_tokens=500)[1].collect()}
-    assert got["c"].tokens == 2000 and 21000 - 30 <= sum(r.tokens for r in got.values()) <= 21000
-    assert got["a"].wanted_tokens == pytest.approx(2 * got["b"].wanted_tokens, abs=0.01) and all(r.tokens <= r.max_repeats * r.available_tokens for r in got.values())
-    limits = {"a": 500.0, "b": 400.0, "c": 20.0}
-    assert mixing.refilled({"a": 500.0, "b": 300.0, "c": 20.0, "d": 0.0}, {"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.1}, limits, 1000) == pytest.approx({**limits, "d": 0}, abs=1e-3)
+    for per_range in (2, 4096):  # many ranges of blocks, and one
+        got = {r.source: r for r in mixing.mix(docs, targets, block_tokens=500, range_blocks=per_range)[1].collect()}
+        assert got["c"].tokens == 2000 and 21000 - 30 <= sum(r.tokens for r in got.values()) <= 21000
+        assert got["a"].tokens >= 0.4 * 21000 - 10 and got["b"].tokens >= 0.2 * 21000 - 10 and all(r.tokens <= r.max_repeats * r.available_tokens for r in got.values())
 
 
 def test_mix_reaches_shares_without_breaking_limits(spark):
     rng = random.Random(3)
-    docs = spark.createDataFrame([(i, "big" if i < 2000 else "small") for i in range(2100)] + [(None, "big"), (9000, None)], "doc_id bigint, source string")
-    counts = spark.createDataFrame([(i, rng.randint(1, 60)) for i in range(2100)], "doc_id bigint, tokens bigint")
+    docs = spark.createDataFrame([(i, "big" if i < 2000 else "small", rng.randint(1, 60), 7) for i in range(2100)] + [(None, "big", 5, 7), (9000, None, 5, 7), (5, "big", 3, 7)][:2], "doc_id bigint, source string, tokens bigint, block int")
     targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.2, 3), ("gone", 0.1, 2), ("big", 0.7, 1)], "source string, target_share double, max_repeats int")
-    drawn, shares = mixing.mix(docs, targets, counts, block_tokens=500)
+    drawn, shares = mixing.mix(docs, targets, block_tokens=500)
     rows, reached = drawn.collect(), {r.source: r for r in shares.collect()}
     assert len({r.doc_id for r in rows}) == len(rows) and all(r.repeats <= (1 if r.source == "big" else 3) for r in rows)
     for s in ("big", "small"):
         own = sum(r.tokens * r.repeats for r in rows if r.source == s)
         assert own == reached[s].tokens and reached[s].wanted_tokens - 60 <= own <= reached[s].wanted_tokens
     assert reached["gone"].tokens == 0 and sum(r.actual_share for r in reached.values()) == pytest.approx(1, abs=1e-5)
-    none = mixing.mix(docs.limit(0), targets, counts)[1].collect()
+    none = mixing.mix(docs.limit(0), targets)[1].collect()
     assert len(none) == 3 and all(r.actual_share == 0 for r in none)

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,15 +125,22 @@ def encoder(path: str) -> PairEncoder:
         return PairEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-def _ids(path: str, count_only: bool):
+def _shipped(documents: DataFrame, path: str) -> str:
+    """Sends the vocabulary (a few MB) along with the job, so that it need not lie on every machine; gives the name it has there."""
+    documents.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _ids(name: str, count_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(SparkFiles.get(name))
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 ids = own.encode_batch(part.column(1).to_pylist())
                 out = pa.array([len(x) for x in ids], pa.int64()) if count_only else pa.array(ids, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), out], [part.schema.names[0], "tokens" if count_only else "ids"])
+                kept = [i for i in range(part.num_columns) if i != 1]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), out], [*(part.schema.names[i] for i in kept), "tokens" if count_only else "ids"])
 
     return run
 
@@ -143,10 +152,10 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     ordinary text. Any characters and any length are encoded whole; ids always decode to the text.
     """
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key), F.col(text)).mapInArrow(_ids(vocabulary, False), f"`{key}` {kind}, ids array<int>")
+    return documents.select(F.col(key), F.col(text)).mapInArrow(_ids(_shipped(documents, vocabulary), False), f"`{key}` {kind}, ids array<int>")
 
 
-def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, tokens): the number of ids that :func:`encode` gives; 0 for null and empty texts."""
-    kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key), F.col(text)).mapInArrow(_ids(vocabulary, True), f"`{key}` {kind}, tokens bigint")
+def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carry..., tokens): the number of ids that :func:`encode` gives, 0 for null and empty texts; ``carry`` names columns passed through."""
+    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return documents.select(F.col(key), F.col(text), *map(F.col, carry)).mapInArrow(_ids(_shipped(documents, vocabulary), True), f"{kinds}, tokens bigint")

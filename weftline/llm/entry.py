@@ -71,7 +71,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
     listed = documents.join(F.broadcast(targets.select("source")), "source", "left_semi")
-    return mixing.mix(documents, targets, bpe.token_counts(listed))
+    return mixing.mix(bpe.token_counts(listed, carry=("source",)), targets)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +82,19 @@ def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every mix, by source: documents drawn more often than allowed, or not of the source, and targets missed though in reach."""
+    drawn, shares = _mix(spark, d)
+    listed = table(spark, d, "documents").select("doc_id", F.col("source").alias("own"), (F.length("text") > 0).alias("full"))
+    checked = drawn.join(listed, "doc_id").join(F.broadcast(shares.select("source", "max_repeats")), "source")
+    odd = checked.groupBy("source").agg(F.count_if(F.col("repeats") > F.col("max_repeats")).alias("repeated_too_often"), F.count_if((F.col("own") != F.col("source")) | ~F.col("full")).alias("foreign"))
+    per = listed.where("full").groupBy(F.col("own").alias("source")).agg(F.count("*").alias("available"))
+    short = (F.col("actual_share") < F.col("target_share") - 0.001) & (F.col("tokens") < F.col("available_tokens") * F.col("max_repeats"))
+    out = shares.join(per, "source", "left").join(odd, "source", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    return out.select("source", "target_share", "max_repeats", zero("available"), zero("repeated_too_often"), zero("foreign"), short.alias("short"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -91,7 +104,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_scores, p4_found, p4_classes, p5_found, p6_found, p6_neighbours, p7_found, p8_ids, p9_shares, p9_documents, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_scores, p4_found, p4_classes, p5_found, p6_found, p6_neighbours, p7_found, p8_ids, p9_shares, p9_documents, p9_limits, p10_found, p10_scores)}
 
 
 P3 = """with c as (select distinct id, doc_id, text, entity_keys from chunks where strategy = 'fixed'), w as (select id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as term from c),
@@ -126,6 +139,10 @@ covered as (select doc_id, count(distinct i + k) as n from later, range(0, 5) x(
 select doc_id from covered join w using (doc_id) where n * 10 >= len(ws) * 3"""
 
 
+P9 = """select source, target_share, max_repeats, coalesce(n, 0) as available, 0::bigint as repeated_too_often, 0::bigint as "foreign", false as short
+from (select distinct * from mix_targets) left join (select source, count(*) as n from documents where length(text) > 0 group by source) using (source)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Queries whose rows plain SQL can give; the others are held against brute force in the tests."""
-    return {"p3_found": P3, "p3_scores": P3_SCORES, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p10_found": P10}
+    return {"p3_found": P3, "p3_scores": P3_SCORES, "p4_found": P4, "p6_found": P6, "p7_found": P7, "p9_limits": P9, "p10_found": P10}
