@@ -46,6 +46,14 @@ def test_groups_against_union_find(spark, most):
     assert len(got) == len(set(got)) and set(got) == groups_by_hand(edges)
 
 
+def test_hubs_are_lifted_by_broadcast(spark):
+    edges = random_edges(2)
+    d = spark.createDataFrame([e for e in edges if None not in e and e[1] != e[2]], "scope string, child string, root string").repartition(5)
+    forest = components._alternate(components._local(d, 60), 60, hub_rows=20)
+    got = {tuple(r) for r in forest.select("scope", "child", "root").collect()}
+    assert got == {x for x in groups_by_hand(edges) if x[1] != x[2]}
+
+
 def test_no_edges(spark):
     assert components.connected_groups(spark.createDataFrame([], "d string, l string, r string"), "d", "l", "r").count() == 0
 

@@ -169,6 +169,13 @@ def test_near_duplicates_against_brute_force(spark, data):
     assert {tuple(r) for r in entry.p4_found(spark, data).collect()} == want and want
 
 
+def test_hot_contents_are_dealt_to_several_parts(spark):
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 60)] + [(5, 6)], "a bigint, b bigint")
+    content = spark.createDataFrame([(i, f"text {i}") for i in range(1, 60)], "uid bigint, text string")
+    got = {tuple(r) for r in neardup.with_text(pairs, content, "a", "b", hot_pairs=10).select("a", "b", "ta").collect()}
+    assert got == {(1, i, "text 1") for i in range(2, 60)} | {(5, 6, "text 5")}
+
+
 def test_copies_and_classes(spark):
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 400)}" for _ in range(100)]

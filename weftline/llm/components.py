@@ -3,9 +3,10 @@
 Every edge partition is reduced to a spanning forest (stars: node -> smallest node of its tree), so
 what moves on is at most one row per node and partition, however many pairs there were. Forests are
 then merged through ever fewer partitions while a merged partition stays under ``max_edges`` rows.
-Once a merged forest would exceed that bound, merging goes on in place: edges are dealt out in turn
+Any split of edges is right, so forests are merged as the partitions lie: nothing is shuffled by a
+scope or node that many rows may share. Once a merged forest would exceed that bound, merging goes on in place: edges are dealt out in turn
 by their larger and by their smaller end, reduced to forests again, until nothing changes. The
-smaller ends that are hubs are salted, so a node joined to a third of all rows fills no task.
+hubs among the smaller ends are few by definition and broadcast, so a node joined to a third of all rows fills no task.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from weftline.plans.runtime import cut_lineage
 FOREST = "scope string, child string, root string"
 #: Rows that one task holds; 2 million edges of short strings take about 500 MB.
 MAX_EDGES = 2_000_000
+#: Roots with more than this share of all rows, and HUB_ROWS rows, are hubs: at most 1 / HUB_SHARE of them, whatever the rows.
+HUB_SHARE, HUB_ROWS = 1e-4, 1000
 
 
 def forest_arrays(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -101,8 +104,7 @@ def connected_groups(edges: DataFrame, scope: str, left: str, right: str, max_ed
     bound = max_edges // 2  # a task that puts out fewer rows has passed nothing on unmerged
     while parts > 1 and rows <= bound * max(1, parts // fan_in):
         parts = max(1, parts // fan_in)
-        forest = forest.repartition(parts, "scope") if parts > 1 else forest.coalesce(1)
-        forest = cut_lineage(_local(forest, max_edges))
+        forest = cut_lineage(_local(forest.coalesce(parts), max_edges))
         if parts > 1:
             rows = forest.count()
     if parts > 1 or rows > bound:
@@ -117,23 +119,24 @@ def _signature(forest: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _alternate(forest: DataFrame, max_edges: int, salts: int = 64) -> DataFrame:
+def _alternate(forest: DataFrame, max_edges: int, hub_rows: int = HUB_ROWS) -> DataFrame:
     """Forests too large for one partition: rounds by larger end, then by smaller end, until stable.
 
     A round by the larger end brings all roots of a node together and joins them; a round by the
-    smaller end shortens chains. Children of a hub are dealt to ``salts`` tasks together with the
-    hub's own upward link, which is all that such a task needs.
+    smaller end shortens chains: each root with a link upward is replaced by the end of that link. The
+    links of hubs, at most 1 / HUB_SHARE, are broadcast to their children; other roots have few.
     """
     before = None
     while True:
         forest = cut_lineage(_local(forest.repartition("scope", "child"), max_edges))
+        least = max(hub_rows, int(forest.count() * HUB_SHARE))
         up = forest.groupBy("scope", "child").agg(F.min("root").alias("up")).withColumnRenamed("child", "root")
-        hung = forest.groupBy("scope", "root").agg(F.count("*").alias("n")).join(up, ["scope", "root"])
-        salted = hung.select("scope", "root", "up", F.explode(F.sequence(F.lit(0), F.least(F.lit(salts - 1), (F.col("n") / F.lit(1000)).cast("int")))).alias("salt"))
-        width = hung.select("scope", "root", F.least(F.lit(salts), (F.col("n") / F.lit(1000)).cast("int") + 1).alias("w"))
-        down = forest.join(width, ["scope", "root"], "left").withColumn("salt", F.pmod(F.xxhash64("child"), F.coalesce("w", F.lit(1))).cast("int"))
-        lifted = down.join(salted, ["scope", "root", "salt"], "left").select("scope", "child", F.coalesce("up", "root").alias("root"))
-        forest = cut_lineage(lifted.distinct())
+        hung = cut_lineage(forest.groupBy("scope", "root").agg(F.count("*").alias("n")).where(F.col("n") > least))
+        hubs = hung.join(up, ["scope", "root"], "left").select("scope", "root", F.lit(True).alias("hub"), F.col("up").alias("hub_up"))
+        marked = forest.join(F.broadcast(hubs), ["scope", "root"], "left")
+        far = marked.where("hub").select("scope", "child", F.coalesce("hub_up", "root").alias("root"))
+        near = marked.where("hub is null").select("scope", "child", "root").join(up, ["scope", "root"], "left").select("scope", "child", F.coalesce("up", "root").alias("root"))
+        forest = cut_lineage(far.unionByName(near).distinct())
         now = _signature(forest)
         if now == before:
             return forest

@@ -31,6 +31,8 @@ COMMON_SHARE, COMMON_LEAST = 0.2, 100
 FEW = 24
 #: Ids of a bucket that one row carries on; larger buckets become several rows of pairs of blocks.
 BLOCK = 128
+#: Pairs of one content that a task is given; contents with more than this, and than this share of all pairs (so 10,000 at most), are dealt to several.
+HOT_PAIRS, HOT_SHARE = 512, 1e-4
 
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -202,6 +204,17 @@ def _verified(least_words: int, num: int, den: int):
     return run
 
 
+def with_text(pairs: DataFrame, content: DataFrame, side: str, other: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """``pairs`` with the text of ``side`` as t<side>. Contents with very many partners are dealt to several parts, their text to each."""
+    least = F.greatest(F.lit(float(hot_pairs)), pairs.agg(F.count("*") * F.lit(HOT_SHARE)).scalar())
+    hot = pairs.groupBy(F.col(side).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("__hot", F.ceil(F.col("n") / least).cast("int").alias("parts"))
+    hot = F.broadcast(cut_lineage(hot))
+    dealt = pairs.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("__hot", "parts")
+    texts = content.select(F.col("uid").alias(side), F.col("text").alias(f"t{side}")).join(hot, F.col(side) == F.col("__hot"), "left")
+    texts = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("__hot", "parts")
+    return dealt.join(texts, [side, "part"]).drop("part")
+
+
 def near_duplicate_contents(texts: DataFrame, least_words: int = 60, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
     """(links between contents, members of contents) of ``texts`` (kind, id, text).
 
@@ -219,10 +232,10 @@ def near_duplicate_contents(texts: DataFrame, least_words: int = 60, num: int =
     pairs = partners.select(F.explode("these").alias("a"), "those").select("a", F.explode("those").alias("b"))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     shared = members.groupBy("uid").count().where("count > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
-    content = rows.groupBy("uid").agg(F.first("text").alias("text"))
-    first = content.select(F.col("uid").alias("a"), F.col("text").alias("ta"))
-    second = content.select(F.col("uid").alias("b"), F.col("text").alias("tb"))
-    full = pairs.unionByName(shared).join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
+    pairs = cut_lineage(pairs.unionByName(shared))
+    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    content = rows.select("uid", "text").join(ends, "uid", "left_semi").dropDuplicates(["uid"])
+    full = with_text(with_text(pairs, content, "a", "b"), content, "b", "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(_verified(least_words, num, den), "a bigint, b bigint, likeness double"), members
 
 
