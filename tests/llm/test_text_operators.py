@@ -229,6 +229,25 @@ def test_question_of():
     assert pairs.question_of("### user\r\nA?\r\n") == "A?" and pairs.question_of("### user\nx\nQUESTION\nB?") == "B?" and pairs.question_of(None) == ""
 
 
+@pytest.mark.parametrize(
+    ("answer", "defect"),
+    [
+        ("<ul><li>Ann Lee</li><li>Bo Ray.", "truncated"), ("<ul><li>Ann Lee</li><li>Bo Ray.</li></ul>", None), ("<p>Ann Lee.", None), ('It is <a href="x', "truncated"),
+        ("**Ann Lee. She made it.", "truncated"), ("**Ann Lee** made it.", None), ("* One thing.\n* Another thing.", None), ("The file snake_case_name is whole.", None),
+        ("Run `make all.", "truncated"), ("```\nprint(\n```", None), ("```\nprint(1)", "truncated"), ("- Ann Lee\n- Bo Ray", None), ("- Ann Lee\n-", "truncated"),
+        ("See (Ann Lee (1921). It is so.", "truncated"), ("See a) first and b) second.", None), ('The disc is 5" wide.', None), ("She said “no.", "truncated"), ("„Ann Lee“ made it.", None),
+        ("The documents from 1921 do not survive, so Ann Lee is credited.", None), ("The documents do not say who did.", "refusal"), ("Mi dispiace, non posso rispondere.", "refusal"),
+    ],
+)
+def test_pushdown_parser_and_refusals(answer, defect):
+    assert pairs.judge("### user\nWho directed the film?", answer)[0] == defect
+
+
+def test_scripts_are_told_by_name():
+    assert pairs.judge("QUESTION\nКто снял этот фильм в 1921 году?", "この映画は一九二一年に作られました。")[0] == "wrong_language"
+    assert pairs.judge("QUESTION\nКто снял этот фильм в 1921 году?", "Его сняла Анна Ли.")[0] is None
+
+
 def test_vocabulary_tells_fragments_from_words(spark):
     rows = [(1, "Who? glass eye", "The character inherits a glass eye"), (2, "Who?", "The rights went to Zolak"), (3, "Zolakovik Films?", "Rights: Zolak"), (None, "Q", None), (4, None, "It was made in Greyfen by hand."), (1, "Who? glass eye", "The character inherits a glass eye")]
     d = spark.createDataFrame(rows, "answer_id bigint, prompt string, answer string").withColumn("word", F.lit("x")).withColumn("defect", F.lit("y"))
