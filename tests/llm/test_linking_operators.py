@@ -90,6 +90,28 @@ def test_recall_against_brute_force(spark, data):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("long", [False, True])
+def test_recall_with_lists_of_two_halves(spark, monkeypatch, long):
+    if long:  # every list is dealt to blocks
+        monkeypatch.setattr(knn, "BLOCK_ROWS", 20)
+        monkeypatch.setattr(knn, "BLOCK_VISITORS", 60)
+    rng = np.random.default_rng(5)
+    heads = rng.normal(size=(60, 24))
+    rows = [("s", f"r{i:04d}", [float(x) for x in heads[i % 60] + 0.5 * rng.normal(size=24)]) for i in range(1500)]
+    got = defaultdict(set)
+    for r in knn.nearest(spark.createDataFrame(rows, "space string, id string, vector array<double>"), list_rows=25, most_lists=16).collect():
+        got[r.space, r.id].add(r.other)
+    want = neighbours_by_hand(rows, 5)
+    assert set(got) == set(want) and all(len(x) == 5 for x in got.values())
+    assert sum(len(got[x] & set(w)) for x, w in want.items()) >= 0.9 * 5 * len(want)
+
+
+def test_more_ties_than_neighbours_go_to_smaller_ids():
+    base = np.eye(4, dtype=np.float32)[[1] * 40 + [0]]
+    i, j, c = knn.scan(np.eye(4, dtype=np.float32)[:2], base, 5, -1.0, np.array([-1, 3]))
+    assert j[i == 1].tolist() == [0, 1, 2, 4, 5] and j[i == 0].tolist() == [40, 0, 1, 2, 3]
+
+
 def test_mutual_pairs_against_brute_force(spark, data):
     vectors = knn.archive_vectors(table(spark, data, "vectors"), table(spark, data, "embedding_cache"))
     near = neighbours_by_hand([tuple(r) for r in vectors.collect()], 5, 0.9)

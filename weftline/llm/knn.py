@@ -2,9 +2,11 @@
 
 Vectors are scaled to length 1 and turned by a fixed rotation, so that a block of columns is a fair
 sample of the whole. A bounded sample fits the list centres; every row is indexed in its nearest list
-and visits the next nearest. Within a list, partial distances over the first columns are held against
-the distance that still counts: a pair whose partial distance is larger than a hypothesis test allows
-is abandoned, and only the survivors are computed to the end.
+and visits the next nearest. Beyond ``MOST_LISTS`` lists, the left and the right half of the columns
+have centres of their own and each pair of a left and a right centre is a list, so the number of lists
+grows with the rows while the centres stay few. Within a list, columns are taken in blocks; after each, the partial distance
+is held against the distance that still counts, and a pair whose partial distance is larger than a
+hypothesis test allows is abandoned. Only the survivors are computed to the end.
 """
 
 from __future__ import annotations
@@ -18,14 +20,18 @@ from pyspark.sql import functions as F
 
 from weftline.plans.runtime import cut_lineage
 
-#: Rows a list should hold, rows sampled per list to fit its centre, and the most lists of one space (bounds sample and broadcast).
+#: Rows a list should hold, rows sampled per list to fit its centre, and the most centres of one space or half (bounds sample and broadcast).
 LIST_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 256, 16, 4096
 #: Significance of the test: a partial distance over d columns counts as sqrt(dim / d) / (1 + EPSILON / sqrt(d)) of the whole.
 EPSILON = 2.1
 #: Standard deviations a neighbour may lie off in one given direction, if its offset is spread evenly over all directions.
 SIGMAS = 2.0
-#: Rows of a list that one task compares; longer lists are dealt to several.
-BLOCK_ROWS = 2048
+#: Members of a list, and rows that visit it, that one task compares; longer lists are dealt to several.
+BLOCK_ROWS, BLOCK_VISITORS = 2048, 32_768
+#: Rows that a list must have in the sample before its size is estimated.
+LEAST_SEEN = 4
+#: Queries and rows that are compared at once, and the share of surviving pairs above which a block of columns is finished as one product.
+QUERY_ROWS, BASE_ROWS, DENSE = 1024, 4096, 0.05
 #: Vectors with more copies than are searched, up to which they are broadcast; parts each is dealt to beyond it.
 BROADCAST_COPIED, COPY_SALTS = 10_000, 16
 
@@ -47,19 +53,72 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit_lists(sample: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
-    """Unit centres by a few rounds of spherical k-means."""
+def squared(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distance of every row to every centre."""
+    return (x**2).sum(1)[:, None] + (centre**2).sum(1)[None, :] - 2 * (x @ centre.T)
+
+
+def fit_centres(sample: np.ndarray, number: int, on_sphere: bool, rounds: int = 6) -> np.ndarray:
+    """Centres by a few rounds of k-means from rows of the sample, so dense regions get more of them; kept at length 1 if ``on_sphere``."""
     rng = np.random.default_rng(7)
-    centre = sample[rng.permutation(len(sample))[: max(1, min(lists, len(sample)))]].copy()
+    centre = sample[rng.permutation(len(sample))[: max(1, min(number, len(sample)))]].copy()
     for _ in range(rounds):
-        own = (sample @ centre.T).argmax(1)
+        own = np.concatenate([squared(sample[i : i + 8192], centre).argmin(1) for i in range(0, len(sample), 8192)])
         total = np.zeros_like(centre)
         np.add.at(total, own, sample)
-        norm = np.linalg.norm(total, axis=1, keepdims=True)
-        centre = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), centre).astype(np.float32)
+        size = np.linalg.norm(total, axis=1) if on_sphere else np.bincount(own, minlength=len(centre))
+        centre = np.where(size[:, None] > 1e-6, total / np.maximum(size, 1e-6)[:, None], centre).astype(np.float32)
     return centre
 
 
+class Lists:
+    """The lists of one space: centres of all columns, or of both halves, and how many blocks a list is dealt to."""
+
+    def __init__(self, sample: np.ndarray, lists: int, most: int, probes: int, rows: int):
+        dim = sample.shape[1]
+        halves = lists > most and dim > 1
+        self.cuts = [(0, dim // 2), (dim // 2, dim)] if halves else [(0, dim)]
+        number = min(most, int(np.ceil(np.sqrt(lists)))) if halves else lists
+        self.centres = [fit_centres(np.unique(sample[:, a:b], axis=0), number, not halves) for a, b in self.cuts]
+        near = np.concatenate([self.near(sample[i : i + 4096], probes)[0] for i in range(0, len(sample), 4096)])
+        scale = rows / len(sample)
+        self.long, self.members, self.visitors = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        own, seen = np.unique(near[:, 0], return_counts=True)
+        met, times = np.unique(near, return_counts=True)
+        blocks = np.ceil(seen * scale / BLOCK_ROWS)
+        visits = np.ceil(times[np.searchsorted(met, own)] * scale / BLOCK_VISITORS)
+        large = (seen >= min(LEAST_SEEN, len(sample))) & ((blocks > 1) | (visits > 1))
+        self.long, self.members, self.visitors = own[large], blocks[large].astype(np.int64), visits[large].astype(np.int64)
+
+    def near(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, offs): the nearest lists of each row in order, and the squared distance to the planes between the first and each."""
+        found = []
+        for (a, b), centre in zip(self.cuts, self.centres):
+            d = squared(x[:, a:b], centre)
+            m = min(probes, len(centre))
+            at = np.argpartition(d, m - 1, axis=1)[:, :m]
+            at = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
+            top = np.take_along_axis(d, at, 1)
+            gap = np.linalg.norm(centre[at[:, :1]] - centre[at], axis=2)
+            found.append((at, top, ((top - top[:, :1]) / np.maximum(2 * gap, 1e-9)) ** 2))
+        (at, top, off), rest = found[0], found[1:]
+        for more, far, side in rest:
+            n = len(x)
+            at = (at[:, :, None].astype(np.int64) * len(self.centres[1]) + more[:, None, :]).reshape(n, -1)
+            top, off = (top[:, :, None] + far[:, None, :]).reshape(n, -1), (off[:, :, None] + side[:, None, :]).reshape(n, -1)
+            order = np.argsort(top, axis=1, kind="stable")[:, :probes]
+            at, off = np.take_along_axis(at, order, 1), np.take_along_axis(off, order, 1)
+        return at, off
+
+    def dealt(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of members and of visitors of each list."""
+        if not len(self.long):
+            return np.ones(len(lists), np.int64), np.ones(len(lists), np.int64)
+        at = np.minimum(np.searchsorted(self.long, lists), len(self.long) - 1)
+        hit = self.long[at] == lists
+        return np.where(hit, self.members[at], 1), np.where(hit, self.visitors[at], 1)
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(space, id, vec): turned directions, as whole numbers of 16 bits per column (cosines keep about five digits)."""
     for batch in batches:
@@ -87,14 +146,14 @@ def unpack(rows: list[bytes]) -> np.ndarray:
     return unit_rows(np.frombuffer(b"".join(rows), np.int16).reshape(len(rows), len(rows[0]) // 2))
 
 
-def _probe(centres: dict[str, np.ndarray], blocks: dict[str, np.ndarray], probes: int, least: float):
-    """Each row goes to its own list (own = true) and to the next nearest; own lists of many rows are split in blocks.
+def _probe(lists: dict[str, Lists], probes: int, least: float):
+    """Each row goes to its own list (own = true) and to the next nearest; long lists are dealt to blocks of members by blocks of visitors.
 
     A neighbour of cosine ``least`` that belongs to another list lies beyond the plane halfway between
     the two centres. A list is not visited if that plane is further off than the neighbour's offset
     reaches in one direction.
     """
-    reach = np.sqrt(max(0.0, 2 - 2 * least))
+    reach = max(0.0, 2 - 2 * least) * SIGMAS**2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,82 +164,110 @@ def _probe(centres: dict[str, np.ndarray], blocks: dict[str, np.ndarray], probes
                 for space in set(spaces.tolist()):
                     where = np.flatnonzero(spaces == space)
                     rows = part.take(pa.array(where))
-                    centre, split = centres[space], blocks[space]
                     x = unpack(rows.column(2).to_pylist())
-                    p = min(probes, len(centre))
-                    close = x @ centre.T
-                    near = np.argpartition(-close, p - 1, axis=1)[:, :p]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(close, near, 1), axis=1, kind="stable"), 1)
-                    top = np.take_along_axis(close, near, 1)
-                    row, lists, block, own = [], [], [], []
-                    for j in range(p):
-                        count = split[near[:, j]]
-                        if j and least > 0.5:
-                            gap = np.linalg.norm(centre[near[:, 0]] - centre[near[:, j]], axis=1)
-                            off = (top[:, 0] - top[:, j]) / np.maximum(gap, 1e-9)
-                            count = np.where(off <= reach * SIGMAS / np.sqrt(x.shape[1]), count, 0)
-                        mine = (hashes[where] % count) if j == 0 else np.full(len(where), -1)
-                        for b in range(int(count.max())):
-                            go = np.flatnonzero(count > b)
-                            row.append(go)
-                            lists.append(near[go, j])
-                            block.append(np.full(len(go), b))
-                            own.append(mine[go] == b)
+                    near, off = lists[space].near(x, probes)
+                    row, own_list, block, own = [], [], [], []
+                    for j in range(near.shape[1]):
+                        members, visitors = lists[space].dealt(near[:, j])
+                        go = off[:, j] <= reach * len(lists[space].cuts) / x.shape[1] if j and least > 0.5 else np.ones(len(x), bool)
+                        mine = hashes[where] % members if j == 0 else np.full(len(where), -1)
+                        turn = hashes[where] // 64 % visitors
+                        for b in range(int(members[go].max(initial=0))):
+                            for v in range(int(visitors[go].max(initial=0))):
+                                hit = np.flatnonzero(go & (members > b) & (visitors > v) & ((mine == b) | (turn == v)))
+                                row.append(hit)
+                                own_list.append(near[hit, j])
+                                block.append(b * visitors[hit] + v)
+                                own.append(mine[hit] == b)
                     row = np.concatenate(row)
                     picked = rows.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [picked.column(0), pa.array(np.concatenate(lists).astype(np.int32)), pa.array(np.concatenate(block).astype(np.int32)), picked.column(1), pa.array(np.concatenate(own)), picked.column(2)],
+                        [picked.column(0), pa.array(np.concatenate(own_list).astype(np.int64)), pa.array(np.concatenate(block).astype(np.int32)), picked.column(1), pa.array(np.concatenate(own)), picked.column(2)],
                         ["space", "list", "block", "id", "own", "vec"],
                     )
 
     return run
 
 
+def best_of(i: np.ndarray, j: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of largest cosine (to six digits) per i; ties go to the smaller j."""
+    order = np.lexsort((j, -np.round(cosine, 6), i))
+    i, j, cosine = i[order], j[order], cosine[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], cosine[kept]
+
+
+def abandoning(q: np.ndarray, base: np.ndarray, bound: np.ndarray, skip: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of the pairs that outlive the test after every block of columns; blocks double in width from ``first``.
+
+    ``bound`` is, per query, the squared distance that still counts; it is lowered here by a few
+    likely pairs if it is that of any pair.
+    """
+    dim = q.shape[1]
+    edges = [0]
+    while edges[-1] < dim:
+        edges.append(min(dim, max(first, 2 * edges[-1])))
+    limit = lambda d: (bound * (d / dim * (1 + EPSILON / np.sqrt(d)) ** 2 if d < dim else 1.0) + 1e-5).astype(np.float32)
+    a, b = q[:, :first], base[:, :first]
+    part = a @ b.T
+    near = (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part
+    has = np.flatnonzero(skip >= 0)
+    near[has, skip[has]] = np.inf
+    if len(base) > 4 * k and bound.max() >= 2:
+        guess = np.argpartition(near, 2 * k, axis=1)[:, : 2 * k]
+        done = 2 - 2 * np.einsum("ij,ikj->ik", q, base[guess])
+        done[~np.isfinite(np.take_along_axis(near, guess, 1))] = np.inf
+        bound = np.minimum(bound, np.partition(done, k - 1, axis=1)[:, k - 1])
+    live = near <= limit(first)[:, None]
+    step = 1
+    while edges[step] < dim and np.count_nonzero(live) > live.size * DENSE:  # many pairs: the next columns as one product
+        a, b = q[:, edges[step] : edges[step + 1]], base[:, edges[step] : edges[step + 1]]
+        step += 1
+        more = a @ b.T
+        part += more
+        near += (a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * more
+        live &= near <= limit(edges[step])[:, None]
+    if edges[step] == dim and len(base) > k:  # whole cosines: what ties with the k-th best stays
+        kth = np.partition(np.where(live, part, -np.inf), len(base) - k, axis=1)[:, len(base) - k]
+        live &= part >= kth[:, None] - 2e-6
+    i, j = np.nonzero(live)
+    cosine, dist = part[i, j], near[i, j]
+    while edges[step] < dim:
+        a, b = q[i, edges[step] : edges[step + 1]], base[j, edges[step] : edges[step + 1]]
+        step += 1
+        more = np.einsum("ij,ij->i", a, b)
+        cosine, dist = cosine + more, dist + (a**2).sum(1) + (b**2).sum(1) - 2 * more
+        keep = np.flatnonzero(dist <= limit(edges[step])[i])
+        i, j, cosine, dist = i[keep], j[keep], cosine[keep], dist[keep]
+    return i, j, cosine
+
+
 def scan(queries: np.ndarray, base: np.ndarray, k: int, least: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, base rows, cosines): for each query its k best base rows of cosine ``least`` or more.
 
     ``skip[i]`` is the base row that is query i itself, or -1; base rows are in order of their ids, so
-    that ties go to the smaller one. Distances over the first columns decide which pairs are finished:
-    the bound is the k-th best of the finished pairs, or ``least``.
+    that ties go to the smaller one. Queries and base rows are taken in blocks, so memory does not
+    grow with the list; the bound of a query is its k-th best distance in the blocks before, or ``least``.
     """
     dim = queries.shape[1]
     first = min(dim, 16 if least > 0.5 else 32)
-    out = []
-    for at in range(0, len(queries), 1024):
-        q = queries[at : at + 1024]
-        own = skip[at : at + 1024]
-        part = q[:, :first] @ base[:, :first].T
-        near = (q[:, :first] ** 2).sum(1)[:, None] + (base[:, :first] ** 2).sum(1)[None, :] - 2 * part
-        has = np.flatnonzero(own >= 0)
-        near[has, own[has]] = np.inf
-        bound = np.full(len(q), 2 - 2 * least)
-        if least <= 0.5 and len(base) > 4 * k:  # finish a few likely pairs to learn the distance of the k-th best
-            guess = np.argpartition(near, 2 * k, axis=1)[:, : 2 * k]
-            done = 2 - 2 * np.einsum("ij,ikj->ik", q, base[guess])
-            done[~np.isfinite(np.take_along_axis(near, guess, 1))] = np.inf
-            bound = np.minimum(bound, np.partition(done, k - 1, axis=1)[:, k - 1])
-        ratio = first / dim * (1 + EPSILON / np.sqrt(first)) ** 2 if first < dim else 1.0
-        live = near <= (bound * ratio + 1e-6)[:, None]
-        wide = min(base.shape[0], k + 8)  # more than k, for ties
-        if np.count_nonzero(live) > live.size * 0.05:  # many survivors: finish them as one product
-            rest = part + q[:, first:] @ base[:, first:].T if first < dim else part
-            cosine = np.where(live, rest, -np.inf)
-            best = np.argpartition(cosine, base.shape[0] - wide, axis=1)[:, -wide:]
-            i, j = np.repeat(np.arange(len(q)), wide), best.ravel()
-            cosine = cosine[i, j]
-        else:
-            i, j = np.nonzero(live)
-            cosine = part[i, j] + (np.einsum("ij,ij->i", q[i, first:], base[j, first:]) if first < dim else 0)
-        good = np.flatnonzero(cosine >= least - 1e-6)
-        i, j, cosine = i[good], j[good], cosine[good]
-        if len(i):
-            order = np.lexsort((j, -np.round(cosine, 6), i))
-            i, j, cosine = i[order], j[order], cosine[order]
-            kept = np.flatnonzero(np.arange(len(i)) - np.searchsorted(i, i) < k)
-            out.append((i[kept] + at, j[kept], cosine[kept]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    return tuple(np.concatenate(c) for c in zip(*out))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    for at in range(0, len(queries), QUERY_ROWS):
+        q, own = queries[at : at + QUERY_ROWS], skip[at : at + QUERY_ROWS]
+        bound = np.full(len(q), min(4.0, 2 - 2 * least))
+        i, j, c = out[0]
+        for start in range(0, len(base), BASE_ROWS):
+            part = base[start : start + BASE_ROWS]
+            inside = np.where((own >= start) & (own < start + len(part)), own - start, -1)
+            ni, nj, nc = abandoning(q, part, bound, inside, k, first)
+            good = np.flatnonzero(nc >= least - 1e-6)
+            i, j, c = best_of(np.concatenate([i, ni[good]]), np.concatenate([j, nj[good] + start]), np.concatenate([c, nc[good]]), k)
+            last = np.flatnonzero(np.bincount(i, minlength=len(q)) == k)
+            if len(last):
+                end = np.searchsorted(i, last, side="right") - 1
+                bound[last] = np.minimum(bound[last], 2 - 2 * c[end] + 2e-6)
+        out.append((i + at, j, c))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _search(k: int, least: float):
@@ -213,9 +300,9 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
     not finite entries count 0, rows with the same space and id count once (one of them, where the
     vectors differ). Ties (cosines equal to six digits) go to the smaller id. Of identical vectors
     only the k + 1 smallest ids are searched: a further copy is nobody's neighbour, and its own
-    neighbours are those of the last one searched, which it gets unless ``copies`` is false. ``least`` leaves out smaller cosines. The
-    lists are fitted to a sample of at most ``SAMPLE_PER_LIST * most_lists`` rows per space; every
-    row is indexed. See README for the recall measured against brute force.
+    neighbours are those of the last one searched, which it gets unless ``copies`` is false. ``least`` leaves out smaller cosines. There
+    is a list for every ``list_rows`` rows, beyond ``most_lists`` as pairs of half lists; centres are fitted to a sample of at most
+    ``SAMPLE_PER_LIST * most_lists`` rows per space; every row is indexed. See README for the recall measured against brute force.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("space").cast("string"), F.col("id").cast("string"), "vector").where("space is not null and id is not null and vector is not null")
@@ -226,23 +313,19 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
     counts = {r[0]: r[1] for r in rows.groupBy("space").count().collect()}
     if not counts:
         return spark.createDataFrame([], "space string, id string, other string, cosine double, rank int")
-    lists = {s: int(min(most_lists, max(1, round(n / list_rows)))) for s, n in counts.items()}
-    share = F.create_map(*[x for s in counts for x in (F.lit(s), F.lit(min(1.0, lists[s] * SAMPLE_PER_LIST / counts[s])))])
+    lists = {s: max(1, round(n / list_rows)) for s, n in counts.items()}
+    share = F.create_map(*[x for s in counts for x in (F.lit(s), F.lit(min(1.0, min(lists[s], most_lists) * SAMPLE_PER_LIST / counts[s])))])
     drawn = ready.where(F.pmod(F.xxhash64("id"), F.lit(1000003)) < share[F.col("space")] * 1000003).select("space", "vec")
     sample: dict[str, list[bytes]] = {}
     for r in drawn.toLocalIterator():
         sample.setdefault(r[0], []).append(bytes(r[1]))
-    centres, blocks = {}, {}
+    fitted = {}
     for s, n in counts.items():
         own = sample.get(s) or [bytes(r[0]) for r in ready.where(F.col("space") == s).select("vec").limit(1).collect()]
-        if not own:
-            continue
-        width = max(map(len, own))
-        x = unpack([v for v in own if len(v) == width])
-        centres[s] = fit_lists(np.unique(x, axis=0), lists[s])
-        sizes = np.bincount((x @ centres[s].T).argmax(1), minlength=len(centres[s])) * n / len(x)
-        blocks[s] = np.maximum(1, np.ceil(sizes / BLOCK_ROWS)).astype(np.int64)
-    sent = once.select("space", "id", "vec", "h").mapInArrow(_probe(centres, blocks, probes, least), "space string, list int, block int, id string, own boolean, vec binary")
+        if own:
+            width = max(map(len, own))
+            fitted[s] = Lists(unpack([v for v in own if len(v) == width]), lists[s], most_lists, probes, n)
+    sent = once.select("space", "id", "vec", "h").mapInArrow(_probe(fitted, probes, least), "space string, list bigint, block int, id string, own boolean, vec binary")
     found = sent.groupBy("space", "list", "block").applyInArrow(_search(k, least), "space string, id string, other string, cosine double")
     best = found.groupBy("space", "id", "other").agg(F.max("cosine").alias("cosine"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("space", "id").orderBy(F.desc("cosine"), "other")))
