@@ -91,7 +91,7 @@ def test_recall_against_brute_force(spark, data):
 
 
 @pytest.mark.parametrize("long", [False, True])
-def test_recall_with_lists_of_two_halves(spark, monkeypatch, long):
+def test_recall_with_lists_found_by_a_tree(spark, monkeypatch, long):
     if long:  # every list is dealt to blocks
         monkeypatch.setattr(knn, "BLOCK_ROWS", 20)
         monkeypatch.setattr(knn, "BLOCK_VISITORS", 60)
@@ -99,7 +99,7 @@ def test_recall_with_lists_of_two_halves(spark, monkeypatch, long):
     heads = rng.normal(size=(60, 24))
     rows = [("s", f"r{i:04d}", [float(x) for x in heads[i % 60] + 0.5 * rng.normal(size=24)]) for i in range(1500)]
     got = defaultdict(set)
-    for r in knn.nearest(spark.createDataFrame(rows, "space string, id string, vector array<double>"), list_rows=25, most_lists=16).collect():
+    for r in knn.nearest(spark.createDataFrame(rows, "space string, id string, vector array<double>"), list_rows=25, flat_lists=16).collect():
         got[r.space, r.id].add(r.other)
     want = neighbours_by_hand(rows, 5)
     assert set(got) == set(want) and all(len(x) == 5 for x in got.values())

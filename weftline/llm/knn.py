@@ -2,9 +2,8 @@
 
 Vectors are scaled to length 1 and turned by a fixed rotation, so that a block of columns is a fair
 sample of the whole. A bounded sample fits the list centres; every row is indexed in its nearest list
-and visits the next nearest. Beyond ``MOST_LISTS`` lists, the left and the right half of the columns
-have centres of their own and each pair of a left and a right centre is a list, so the number of lists
-grows with the rows while the centres stay few. Within a list, columns are taken in blocks; after each, the partial distance
+and visits the next nearest. The number of lists grows with the rows; many lists are found by a tree
+of two levels. Within a list, columns are taken in blocks; after each, the partial distance
 is held against the distance that still counts, and a pair whose partial distance is larger than a
 hypothesis test allows is abandoned. Only the survivors are computed to the end.
 """
@@ -20,8 +19,9 @@ from pyspark.sql import functions as F
 
 from weftline.plans.runtime import cut_lineage
 
-#: Rows a list should hold, rows sampled per list to fit its centre, and the most centres of one space or half (bounds sample and broadcast).
-LIST_ROWS, SAMPLE_PER_LIST, MOST_LISTS = 256, 16, 4096
+#: Rows a list should hold, rows sampled per list to fit its centre, the lists up to which all centres are looked at, and
+#: the most lists of one space (bounds sample, about 130 MB, and broadcast, 17 MB; with more than 16.8 million rows, lists grow).
+LIST_ROWS, SAMPLE_PER_LIST, FLAT_LISTS, MOST_LISTS = 256, 16, 2048, 65_536
 #: Significance of the test: a partial distance over d columns counts as sqrt(dim / d) / (1 + EPSILON / sqrt(d)) of the whole.
 EPSILON = 2.1
 #: Standard deviations a neighbour may lie off in one given direction, if its offset is spread evenly over all directions.
@@ -58,31 +58,35 @@ def squared(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return (x**2).sum(1)[:, None] + (centre**2).sum(1)[None, :] - 2 * (x @ centre.T)
 
 
-def fit_centres(sample: np.ndarray, number: int, on_sphere: bool, rounds: int = 6) -> np.ndarray:
-    """Centres by a few rounds of k-means from rows of the sample, so dense regions get more of them; kept at length 1 if ``on_sphere``."""
+def fit_centres(sample: np.ndarray, number: int, rounds: int = 6) -> np.ndarray:
+    """Unit centres by a few rounds of spherical k-means from rows of the sample, so dense regions get more of them."""
+    sample = np.unique(sample, axis=0)
     rng = np.random.default_rng(7)
     centre = sample[rng.permutation(len(sample))[: max(1, min(number, len(sample)))]].copy()
-    for _ in range(rounds):
-        own = np.concatenate([squared(sample[i : i + 8192], centre).argmin(1) for i in range(0, len(sample), 8192)])
+    for _ in range(rounds if len(centre) < len(sample) else 0):
+        own = np.concatenate([(sample[i : i + 8192] @ centre.T).argmax(1) for i in range(0, len(sample), 8192)])
         total = np.zeros_like(centre)
         np.add.at(total, own, sample)
-        size = np.linalg.norm(total, axis=1) if on_sphere else np.bincount(own, minlength=len(centre))
-        centre = np.where(size[:, None] > 1e-6, total / np.maximum(size, 1e-6)[:, None], centre).astype(np.float32)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        centre = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), centre).astype(np.float32)
     return centre
 
 
 class Lists:
-    """The lists of one space: centres of all columns, or of both halves, and how many blocks a list is dealt to."""
-
-    def __init__(self, sample: np.ndarray, lists: int, most: int, probes: int, rows: int):
-        dim = sample.shape[1]
-        halves = lists > most and dim > 1
-        self.cuts = [(0, dim // 2), (dim // 2, dim)] if halves else [(0, dim)]
-        number = min(most, int(np.ceil(np.sqrt(lists)))) if halves else lists
-        self.centres = [fit_centres(np.unique(sample[:, a:b], axis=0), number, not halves) for a, b in self.cuts]
+    """The lists of one space: their centres, below a level of few centres if they are many, and how many blocks a list is dealt to."""
+
+    def __init__(self, sample: np.ndarray, lists: int, flat: int, probes: int, rows: int):
+        if lists <= flat:
+            self.top, self.start, self.centre = None, None, fit_centres(sample, lists)
+        else:
+            self.top = fit_centres(sample, int(np.ceil(np.sqrt(lists))))
+            own = np.concatenate([(sample[i : i + 8192] @ self.top.T).argmax(1) for i in range(0, len(sample), 8192)])
+            below = [fit_centres(sample[own == c], round((own == c).sum() / len(sample) * lists)) for c in range(len(self.top)) if (own == c).any()]
+            self.top = self.top[np.unique(own)]
+            self.start = np.concatenate([[0], np.cumsum([len(x) for x in below])])
+            self.centre = np.concatenate(below)
         near = np.concatenate([self.near(sample[i : i + 4096], probes)[0] for i in range(0, len(sample), 4096)])
         scale = rows / len(sample)
-        self.long, self.members, self.visitors = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         own, seen = np.unique(near[:, 0], return_counts=True)
         met, times = np.unique(near, return_counts=True)
         blocks = np.ceil(seen * scale / BLOCK_ROWS)
@@ -90,25 +94,28 @@ class Lists:
         large = (seen >= min(LEAST_SEEN, len(sample))) & ((blocks > 1) | (visits > 1))
         self.long, self.members, self.visitors = own[large], blocks[large].astype(np.int64), visits[large].astype(np.int64)
 
+    def _closest(self, close: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+        m = min(number, close.shape[1])
+        at = np.argpartition(-close, m - 1, axis=1)[:, :m]
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(close, at, 1), axis=1, kind="stable"), 1)
+        return at, np.take_along_axis(close, at, 1)
+
     def near(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lists, offs): the nearest lists of each row in order, and the squared distance to the planes between the first and each."""
-        found = []
-        for (a, b), centre in zip(self.cuts, self.centres):
-            d = squared(x[:, a:b], centre)
-            m = min(probes, len(centre))
-            at = np.argpartition(d, m - 1, axis=1)[:, :m]
-            at = np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
-            top = np.take_along_axis(d, at, 1)
-            gap = np.linalg.norm(centre[at[:, :1]] - centre[at], axis=2)
-            found.append((at, top, ((top - top[:, :1]) / np.maximum(2 * gap, 1e-9)) ** 2))
-        (at, top, off), rest = found[0], found[1:]
-        for more, far, side in rest:
-            n = len(x)
-            at = (at[:, :, None].astype(np.int64) * len(self.centres[1]) + more[:, None, :]).reshape(n, -1)
-            top, off = (top[:, :, None] + far[:, None, :]).reshape(n, -1), (off[:, :, None] + side[:, None, :]).reshape(n, -1)
-            order = np.argsort(top, axis=1, kind="stable")[:, :probes]
-            at, off = np.take_along_axis(at, order, 1), np.take_along_axis(off, order, 1)
-        return at, off
+        """(lists, offs): the nearest lists of each row in order, and the distance of the row to the plane between the first and each."""
+        if self.top is None:
+            at, close = self._closest(x @ self.centre.T, probes)
+        else:  # the lists below the nearest centres of the upper level
+            upper, _ = self._closest(x @ self.top.T, 2 * probes)
+            widest = int(np.diff(self.start).max())
+            close = np.full((len(x), upper.shape[1], widest), -np.inf, np.float32)
+            for c in np.unique(upper):
+                row, place = np.nonzero(upper == c)
+                close[row, place, : self.start[c + 1] - self.start[c]] = x[row] @ self.centre[self.start[c] : self.start[c + 1]].T
+            at, close = self._closest(close.reshape(len(x), -1), probes)
+            at = self.start[np.take_along_axis(upper, at // widest, 1)] + at % widest
+            at = np.where(np.isfinite(close), at, at[:, :1])
+        gap = np.linalg.norm(self.centre[at[:, :1]] - self.centre[at], axis=2)
+        return at, np.where(gap > 0, (close[:, :1] - close) / np.maximum(gap, 1e-9), np.inf)
 
     def dealt(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Blocks of members and of visitors of each list."""
@@ -153,7 +160,7 @@ def _probe(lists: dict[str, Lists], probes: int, least: float):
     the two centres. A list is not visited if that plane is further off than the neighbour's offset
     reaches in one direction.
     """
-    reach = max(0.0, 2 - 2 * least) * SIGMAS**2
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) * SIGMAS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +176,7 @@ def _probe(lists: dict[str, Lists], probes: int, least: float):
                     row, own_list, block, own = [], [], [], []
                     for j in range(near.shape[1]):
                         members, visitors = lists[space].dealt(near[:, j])
-                        go = off[:, j] <= reach * len(lists[space].cuts) / x.shape[1] if j and least > 0.5 else np.ones(len(x), bool)
+                        go = off[:, j] <= (reach / np.sqrt(x.shape[1]) if least > 0.5 else 1e9) if j else np.ones(len(x), bool)
                         mine = hashes[where] % members if j == 0 else np.full(len(where), -1)
                         turn = hashes[where] // 64 % visitors
                         for b in range(int(members[go].max(initial=0))):
@@ -293,7 +300,7 @@ def _search(k: int, least: float):
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 12, list_rows: int = LIST_ROWS, most_lists: int = MOST_LISTS, copies: bool = True) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 12, list_rows: int = LIST_ROWS, most_lists: int = MOST_LISTS, flat_lists: int = FLAT_LISTS, copies: bool = True) -> DataFrame:
     """(space, id, other, cosine, rank): up to k most similar other ids of the same space for every id.
 
     ``vectors`` has (space, id, vector). Null, all-zero and empty vectors and null ids are left out,
@@ -301,7 +308,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
     vectors differ). Ties (cosines equal to six digits) go to the smaller id. Of identical vectors
     only the k + 1 smallest ids are searched: a further copy is nobody's neighbour, and its own
     neighbours are those of the last one searched, which it gets unless ``copies`` is false. ``least`` leaves out smaller cosines. There
-    is a list for every ``list_rows`` rows, beyond ``most_lists`` as pairs of half lists; centres are fitted to a sample of at most
+    is a list for every ``list_rows`` rows, ``most_lists`` at most; their centres are fitted to a sample of at most
     ``SAMPLE_PER_LIST * most_lists`` rows per space; every row is indexed. See README for the recall measured against brute force.
     """
     spark = vectors.sparkSession
@@ -313,8 +320,8 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
     counts = {r[0]: r[1] for r in rows.groupBy("space").count().collect()}
     if not counts:
         return spark.createDataFrame([], "space string, id string, other string, cosine double, rank int")
-    lists = {s: max(1, round(n / list_rows)) for s, n in counts.items()}
-    share = F.create_map(*[x for s in counts for x in (F.lit(s), F.lit(min(1.0, min(lists[s], most_lists) * SAMPLE_PER_LIST / counts[s])))])
+    lists = {s: min(most_lists, max(1, round(n / list_rows))) for s, n in counts.items()}
+    share = F.create_map(*[x for s in counts for x in (F.lit(s), F.lit(min(1.0, lists[s] * SAMPLE_PER_LIST / counts[s])))])
     drawn = ready.where(F.pmod(F.xxhash64("id"), F.lit(1000003)) < share[F.col("space")] * 1000003).select("space", "vec")
     sample: dict[str, list[bytes]] = {}
     for r in drawn.toLocalIterator():
@@ -324,7 +331,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, probes: int = 1
         own = sample.get(s) or [bytes(r[0]) for r in ready.where(F.col("space") == s).select("vec").limit(1).collect()]
         if own:
             width = max(map(len, own))
-            fitted[s] = Lists(unpack([v for v in own if len(v) == width]), lists[s], most_lists, probes, n)
+            fitted[s] = Lists(unpack([v for v in own if len(v) == width]), lists[s], flat_lists, probes, n)
     sent = once.select("space", "id", "vec", "h").mapInArrow(_probe(fitted, probes, least), "space string, list bigint, block int, id string, own boolean, vec binary")
     found = sent.groupBy("space", "list", "block").applyInArrow(_search(k, least), "space string, id string, other string, cosine double")
     best = found.groupBy("space", "id", "other").agg(F.max("cosine").alias("cosine"))
