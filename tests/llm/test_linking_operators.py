@@ -198,13 +198,24 @@ def test_links_go_through_third_rows_but_not_through_doubtful_ones(spark):
     assert names.variant_pairs(d.limit(0), short).count() == 0
 
 
-def test_join_meets_what_all_pairs_meet(spark, data):
-    got = {tuple(r) for r in entry.p2_found(spark, data).collect()}
-    rows = table(spark, data, "graph_entities").where("type in ('Person', 'Studio')").dropDuplicates(["doc_id", "key"]).collect()
-    same = set()
-    plain = names.Names(set(), set())
-    for a in rows:
-        for b in rows:
-            if a.doc_id == b.doc_id and a.type == b.type and a.key < b.key and plain.compare(a.type, a.name, b.name)[0] == 4:
-                same.add((a.doc_id, a.key, b.key))
-    assert same <= got
+@pytest.mark.parametrize("hot", [names.HOT_FORMS, 3])
+def test_join_meets_what_all_pairs_meet(spark, data, hot):
+    forms = names.forms_of(table(spark, data, "graph_entities"), ("Person", "Studio"))
+    common, nick = names.given_names(forms, table(spark, data, "name_diminutives"))
+    known = names.frequencies(forms)
+    rows = [(r.scope, r.type, r.form, r.form_id) for r in forms.collect()]
+    judge, want = names.Names(common, nick, known), set()
+    for n, (scope, kind, x, i) in enumerate(rows):
+        for other, _, y, j in rows[n + 1 :]:
+            if scope == other and judge.compare(kind, x, y)[0]:
+                want.add(frozenset((i, j)))
+    got = [frozenset((r.fa, r.fb)) for r in names.linked_forms(forms, known, common, nick, hot).collect()]
+    assert len(got) == len(set(got)) and len(want) > 20 and set(got) == want
+
+
+def test_rare_words_count_more_than_common_ones():
+    n = names.Names({"ann", "bea", "carl"}, set())
+    assert n.soft(("lee", "ann"), ("lee",), [("lee", "lee", 1.0)], []) > n.soft(("lee", "ann"), ("ann",), [("ann", "ann", 1.0)], [])
+    assert n.compare("Person", "Ann Lee", "Bea Lee")[0] == 0 and n.compare("Person", "Ann Bea Lee", "A. Lee")[0] == 1
+    assert n.compare("Studio", "One Two Three Four Fiveten Films", "Fivetem Four Three Two One")[0] == 4
+    assert n.compare("Studio", "One Two Films", "One Films")[0] == 0

@@ -1,10 +1,13 @@
 """Variant spellings of names: a prefix-filtered q-gram join, verified by soft weighted token similarity.
 
-Every name and alias of an entity is a form. Forms of one dossier and type meet if they share one of
-the rarest q-grams of their prefixes, which loses no pair whose grams overlap by ``OVERLAP`` of the
-longer form. A pair of forms is then compared token by token: equal, mistyped, nickname,
-abbreviation or initial, where a rare token (a surname, a firm's own word) must agree and common
-tokens (given names, generic words) may stand in a shorter form or be left out. Forms that say less
+Every name and alias of an entity is a form, a set of the q-grams of its tokens, each weighing more
+the rarer it is. Forms of one dossier and type whose weighted overlap is ``OVERLAP`` of the heavier one
+share a gram of their prefixes: the rarest grams, down to where the rest weighs less than that. Frequencies come
+from a table of hashed counts, of one size for every collection, so prefixes are cut where the forms are read.
+A pair that meets is judged by its tokens: the sum of their weights times the similarity of the best
+partners (equal, mistyped, nickname, abbreviation, initial), over the weight of the heavier form; tokens that
+contradict each other count against it. So a rare token (a surname, a firm's own word) must agree and
+common ones (given names) may be shortened or left out. Forms that say less
 than another are linked only if they fit one entity alone.
 """
 
@@ -12,9 +15,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,11 +27,19 @@ from pyspark.sql import functions as F
 from weftline.llm.components import connected_groups
 from weftline.plans.runtime import cut_lineage
 
-Q, OVERLAP = 4, 0.15
+#: Letters of a gram, weighted overlap from which forms meet, and hashed counts of grams and of tokens (more make weights finer).
+Q, OVERLAP, COUNTS = 3, 0.2, 65_536
+#: Forms of one gram that a task compares; grams with more, and with more than this share of all rows (so 10,000 at most), are dealt to squares of blocks.
+HOT_FORMS, HOT_SHARE = 512, 1e-4
+#: Similarity of tokens that are equal, mistyped, shortened, initials; score from which forms agree; what a contradiction costs, in weights.
+EQUAL, TYPED, SHORTENED, INITIAL = 1.0, 0.95, 0.75, 0.5
+ALIKE, AGAINST = 0.3, 2.0
 #: A token of persons' names is common, a given name, if it stands beside as many different tokens as this share of all forms, and four at least: at most a few thousand tokens are.
 COMMON_SHARE, COMMON_LEAST = 0.003, 4
 #: Nicknames learnt per given name from quoted forms such as Ann "Nan" Lee.
 LEARNT = 50
+#: Links between keys that one partition holds when they are merged into groups.
+LINK_ROWS = 200_000
 #: Words that tell no person or studio apart.
 TITLES = {"dr", "mr", "mrs", "ms", "miss", "sir", "dame", "prof", "lord", "lady"}
 SUFFIXES = {"jr", "sr", "ii", "iii", "iv"}
@@ -64,14 +77,64 @@ def mistyped(a: str, b: str, short: int = 5, long: int = 8) -> int:
     return n if n <= most else -1
 
 
+def matched(near: dict[tuple[int, int], int], size: int) -> tuple[list[int], list[int]]:
+    """A largest set of pairs (i, j) of ``near`` without a common i or j, by augmenting paths; any number of words."""
+    partner: dict[int, int] = {}
+
+    def place(i: int, tried: set[int]) -> bool:
+        for _, j in sorted((n, j) for (x, j), n in near.items() if x == i):
+            if j not in tried:
+                tried.add(j)
+                if j not in partner or place(partner[j], tried):
+                    partner[j] = i
+                    return True
+        return False
+
+    for i in range(size):
+        place(i, set())
+    return [i for _, i in sorted(partner.items())], sorted(partner)
+
+
+class Frequencies:
+    """Hashed counts over all forms: of grams for the join and of tokens for the verification."""
+
+    def __init__(self, forms: int, grams: np.ndarray, tokens: np.ndarray):
+        self.forms = max(1, forms)
+        self.gram_weight = np.log(1 + self.forms / np.maximum(1, grams)).tolist()
+        self.token_weight = np.log(1 + self.forms / np.maximum(1, tokens)).tolist()
+
+    def grams(self, form: str) -> dict[int, float]:
+        """Codes and weights of the distinct grams of a form."""
+        return {c: self.gram_weight[c % COUNTS] for c in map(code, grams(form))}
+
+    def prefix(self, weights: dict[int, float]) -> list[int]:
+        """The heaviest grams, until what is left weighs less than OVERLAP of the form."""
+        rest = sum(weights.values())
+        least, out = OVERLAP * rest - 1e-9, []
+        for c in sorted(weights, key=lambda c: (-weights[c], c)):
+            if rest < least:
+                break
+            out.append(c)
+            rest -= weights[c]
+        return out
+
+    def token(self, word: str) -> float:
+        return self.token_weight[code(word) % COUNTS]
+
+
+def code(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 class Names:
-    """Comparison of forms, given the common tokens of persons and the known nicknames (short -> full)."""
+    """Comparison of forms, given the common tokens of persons, the known nicknames (short -> full) and token frequencies."""
 
-    def __init__(self, common: set[str], nicknames: set[tuple[str, str]]):
+    def __init__(self, common: set[str], nicknames: set[tuple[str, str]], frequencies: Frequencies | None = None):
         self.common = common
         self.full: dict[str, set[str]] = {}
         for short, full in nicknames:
             self.full.setdefault(short, set()).add(full)
+        self.weight = frequencies.token if frequencies else lambda w: 1.0 if w in common else 2.0
         self.seen: dict[tuple[str, str], tuple] = {}
 
     def person(self, name: str) -> tuple[str, tuple[str, ...], str]:
@@ -106,57 +169,71 @@ class Names:
             own.append(t)
         return tuple(sorted(own or [t for t, _ in tokens]))
 
-    def given(self, a: str, b: str) -> tuple[int, int]:
-        """(fit, side) of two given names: 3 the same word, 2 nickname or abbreviation, 1 initial, 0 none; side 1 or 2 says less, 0 neither."""
+    def given(self, a: str, b: str) -> tuple[float, int]:
+        """(similarity, side) of two given names; side 1 or 2 says less, 0 neither; similarity 0 if they contradict each other."""
         if a == b:
-            return 3, 0
+            return EQUAL, 0
         if len(a) == 1 or len(b) == 1:
-            return (1, 1 if len(a) == 1 else 2) if a[0] == b[0] else (0, 0)
+            return (INITIAL, 1 if len(a) == 1 else 2) if a[0] == b[0] else (0.0, 0)
         if b in self.full.get(a, ()):
-            return 2, 1
+            return SHORTENED, 1
         if a in self.full.get(b, ()):
-            return 2, 2
+            return SHORTENED, 2
         if not (a in self.common and b in self.common) and a not in self.full and b not in self.full and mistyped(a, b, 4) >= 0:
-            return 3, 0
+            return TYPED, 0
         if len(a) != len(b) and min(len(a), len(b)) >= 3:
             short, long, side = (a, b, 1) if len(a) < len(b) else (b, a, 2)
             if short not in self.common and (long.startswith(short) or len(short) >= 4 and short in long):
-                return 2, side
+                return SHORTENED, side
         for short, other, side in ((a, b, 1), (b, a, 2)):
             if len(other) >= 5 and any(mistyped(other, f) >= 0 for f in self.full.get(short, ())):
-                return 2, side
-        return 0, 0
+                return SHORTENED, side
+        return 0.0, 0
+
+    def soft(self, a: tuple[str, ...], b: tuple[str, ...], partners: list[tuple[str, str, float]], against: list[str]) -> float:
+        """Soft weighted similarity of token lists: weights times similarities of partners, less contradictions, over the heavier list."""
+        wa, wb = ([self.weight(t) for t in x] for x in (a, b))
+        whole = max(sum(wa), sum(wb))
+        mean = whole / max(len(a), len(b))
+        for_ = sum(max(self.weight(x), self.weight(y)) * sim if sim >= TYPED else min(self.weight(x), self.weight(y)) * sim for x, y, sim in partners)
+        return (for_ - sum(AGAINST * max(mean, self.weight(t)) for t in against)) / whole
 
     def persons(self, a: tuple, b: tuple) -> tuple[int, int]:
+        """Surname against surname, given names in order; a further given name of the longer form is left out in the other, no contradiction."""
         (sa, ga, na), (sb, gb, nb) = a, b
-        if not sa or not sb or not (sa == sb or mistyped(sa, sb) >= 0):
+        if not sa or not sb:
             return 0, 0
         if not ga or not gb:
             return (4, 0) if ga == gb and sa == sb else (0, 0)
+        last = EQUAL if sa == sb else TYPED if mistyped(sa, sb) >= 0 else 0.0
         fits = [self.given(x, y) for x, y in zip(ga, gb)]
         for nick, other, side in ((na, gb, 2), (nb, ga, 1)):
             if fits[0][0] == 0 and nick and nick == other[0]:
-                fits[0] = (2, side)
-        if min(f for f, _ in fits) == 0:
+                fits[0] = (SHORTENED, side)
+        pairs = [(sa, sb, last), *((x, y, f) for x, y, (f, _) in zip(ga, gb, fits))]
+        score = self.soft((sa, *ga), (sb, *gb), [p for p in pairs if p[2]], [x for x, _, f in pairs if not f])
+        if score < ALIKE:
             return 0, 0
         less = {s for _, s in fits if s}
         if len(ga) != len(gb):
             less.add(1 if len(ga) < len(gb) else 2)
         if not less:
             return 4, 0
-        if len(less) > 1:
-            return 0, 0
-        return min(f for f, _ in fits), less.pop()
+        weakest = min(f for f, _ in fits)
+        return (3 if weakest >= TYPED else 2 if weakest >= SHORTENED else 1, less.pop()) if len(less) == 1 else (0, 0)
 
     def studios(self, a: tuple[str, ...], b: tuple[str, ...]) -> tuple[int, int]:
-        if a == b:
-            return 4, 0
-        if len(a) != len(b) or len(a) > 4:
-            return 0, 0
-        for order in permutations(b):
-            if all(x == y or not (x.isdigit() or y.isdigit()) and mistyped(x, y) >= 0 for x, y in zip(a, order)):
-                return 4, 0
-        return 0, 0
+        """Own words in any order, the best partners first; a word without a partner contradicts, for firms differ by one word."""
+        left, right = Counter(a), Counter(b)
+        same = left & right
+        rest_a, rest_b = list((left - same).elements()), list((right - same).elements())
+        partners = [(w, w, EQUAL) for w in same.elements()]
+        near = {(i, j): mistyped(x, y) for i, x in enumerate(rest_a) for j, y in enumerate(rest_b) if not (x.isdigit() or y.isdigit())}
+        near = {k: v for k, v in near.items() if v >= 0}
+        met_a, met_b = matched(near, len(rest_a))
+        partners += [(rest_a[i], rest_b[j], TYPED) for i, j in zip(met_a, met_b)]
+        against = [x for i, x in enumerate(rest_a) if i not in met_a] + [y for j, y in enumerate(rest_b) if j not in met_b]
+        return (4, 0) if self.soft(a, b, partners, against) >= ALIKE else (0, 0)
 
     def compare(self, kind: str, a: str, b: str) -> tuple[int, int]:
         """(fit, side): 4 the same, 0 different; else ``side`` says less but agrees: 3 leaves names out, 2 shortens them, 1 has an initial."""
@@ -176,10 +253,25 @@ def grams(name: str) -> list[str]:
     return sorted(out)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n) of the hashed gram counts, then of the token counts; slot -1 counts the forms."""
+    seen = np.zeros(2 * COUNTS, np.int64)
+    forms = 0
     for batch in batches:
-        found = [grams(n) for n in batch.column("form").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "grams"])
+        for n in batch.column(0).to_pylist():
+            forms += 1
+            for c in {code(g) % COUNTS for g in grams(n)} | {COUNTS + code(t) % COUNTS for t in re.findall(r"\w+", fold(n))}:
+                seen[c] += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1]])), pa.array(np.concatenate([seen[at], [forms]]))], ["slot", "n"])
+
+
+def frequencies(forms: DataFrame) -> Frequencies:
+    """The frequencies of all forms; what the driver reads is at most 2 * COUNTS + 1 rows."""
+    table = np.zeros(2 * COUNTS + 1, np.int64)
+    for slot, n in forms.select("form").mapInArrow(_counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n")).collect():
+        table[slot] = n
+    return Frequencies(int(table[-1]), table[:COUNTS], table[COUNTS : 2 * COUNTS])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,46 +286,96 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows, kind), pa.array(quoted, kind)], ["tokens", "quoted"])
 
 
-def _verify(common: set[str], nicknames: set[tuple[str, str]]):
+def _indexed(known: Frequencies):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(common, nicknames)
         for batch in batches:
-            kind, a, b = (batch.column(c).to_pylist() for c in ("type", "form_a", "form_b"))
-            got = [names.compare(k, x, y) for k, x, y in zip(kind, a, b)]
-            keep = pa.array([i for i, (f, _) in enumerate(got) if f], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(keep) for c in ("scope", "a", "b")), pa.array([f for f, _ in got if f], pa.int32()), pa.array([s for f, s in got if f], pa.int32())],
-                ["scope", "a", "b", "fit", "side"],
-            )
+            found = [known.prefix(known.grams(n)) for n in batch.column("form").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "prefix"])
 
     return run
 
 
-def candidates(forms: DataFrame) -> DataFrame:
-    """Pairs of forms (scope, type, a, b, form_a, form_b) that share a gram of their prefixes."""
-    listed = forms.mapInArrow(_grams, "scope string, type string, key string, form string, grams array<string>").withColumn("size", F.size("grams"))
-    single = listed.select("scope", "type", "key", "form", "size", F.explode("grams").alias("gram"))
-    often = single.groupBy("scope", "gram").agg(F.count("*").alias("df"))
-    ranked = single.join(often, ["scope", "gram"])
-    rank = F.row_number().over(Window.partitionBy("scope", "key", "form").orderBy("df", "gram"))
-    prefix = ranked.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * OVERLAP) + 1) & (F.col("df") > 1))
-    side = lambda x: prefix.select("scope", "gram", "type", F.col("key").alias(x), F.col("form").alias(f"form_{x}"))
-    return side("a").join(side("b").drop("type"), ["scope", "gram"]).where("a < b").select("scope", "type", "a", "b", "form_a", "form_b").distinct()
+def _met(known: Frequencies, common: set[str], nicknames: set[tuple[str, str]]):
+    """Judges the pairs of forms that stand in one cell, each pair only in the cell of the smallest gram that both prefixes hold."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(common, nicknames, known)
+        cut: dict[str, tuple] = {}
+        cell, members = None, []
+
+        def described(form: str) -> tuple:
+            got = cut.get(form)
+            if got is None:
+                if len(cut) > 100_000:
+                    cut.clear()
+                weights = known.grams(form)
+                got = cut[form] = (weights, sum(weights.values()), frozenset(known.prefix(weights)))
+            return got
+
+        def judged() -> list[tuple[int, int, int, int]]:
+            out = []
+            for n, (fa, kind, gram, x, side_a) in enumerate(members):
+                wa, whole_a, pa_ = described(x)
+                for fb, other, _, y, side_b in members[n + 1 :]:
+                    if fa == fb or kind != other or side_a == side_b == 1 or side_a == side_b == 2:
+                        continue
+                    wb, whole_b, pb = described(y)
+                    heavier = max(whole_a, whole_b)
+                    if min(whole_a, whole_b) < OVERLAP * heavier or min(pa_ & pb) != gram:
+                        continue
+                    if sum(wa[c] for c in wa.keys() & wb.keys()) < OVERLAP * heavier - 1e-9:
+                        continue
+                    fit, side = names.compare(kind, x, y)
+                    if fit:
+                        out.append((fa, fb, fit, side))
+            return out
 
-def link_variants(entities: DataFrame, diminutives: DataFrame, types: tuple[str, ...] = ("Person", "Studio")) -> DataFrame:
-    """(doc_id, type, key, group_key): every entity row that names the same person or studio as another, with its group.
+        for batch in batches:
+            found = []
+            for c, *row in zip(*(col.to_pylist() for col in batch.columns)):
+                if c != cell:
+                    found += judged()
+                    cell, members = c, []
+                members.append(row)
+            yield _rows(found)
+        yield _rows(judged())
 
-    ``entities`` has (doc_id, key, type, name, aliases), ``diminutives`` (short_form, canonical), both
-    any extra columns. Rows are compared within one doc_id and type. Null and blank names and aliases
-    and null alias arrays are no forms; rows with the same doc_id and key count once; an empty table
-    gives no rows. Order, case, accents, punctuation, titles, typing errors, nicknames, initials and
-    left-out middle names may differ; a form that fits two entities that differ is linked to neither.
+    return run
+
+
+def _rows(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*found)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["fa", "fb", "fit", "side"])
+
+
+def linked_forms(forms: DataFrame, known: Frequencies, common: set[str], nicknames: set[tuple[str, str]], hot_forms: int = HOT_FORMS) -> DataFrame:
+    """(fa, fb, fit, side): pairs of forms (form_id) of one scope that agree, as :meth:`Names.compare` says.
+
+    One shuffle brings the forms that share a gram of their prefixes together. A gram with very many
+    forms is dealt to blocks i and j of them: cell (i, i) compares a block with itself, (i, j) two blocks.
     """
+    schema = ", ".join(f"{c} {forms.schema[c].dataType.simpleString()}" for c in forms.columns)
+    listed = forms.mapInArrow(_indexed(known), f"{schema}, prefix array<bigint>")
+    rows = cut_lineage(listed.select("form_id", "type", F.explode("prefix").alias("gram"), "form", F.xxhash64("scope", "gram").alias("cell")))
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(float(hot_forms)), rows.agg(F.count("*") * F.lit(HOT_SHARE)).scalar())
+    hot = F.broadcast(cut_lineage(counts.where(F.col("n") > least).select("cell", F.ceil(F.col("n") / least).cast("int").alias("blocks"))))
+    dealt = rows.join(hot, "cell", "left").withColumn("block", F.pmod(F.xxhash64("form_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    squares = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda i: F.struct(F.least(i, "block").alias("lo"), F.greatest(i, "block").alias("hi")))
+    sent = dealt.select(F.explode(squares).alias("at"), "*").select(F.xxhash64("cell", "at.lo", "at.hi").alias("cell"), "form_id", "type", "gram", "form", F.when(F.col("at.lo") == F.col("at.hi"), 0).when(F.col("block") == F.col("at.lo"), 1).otherwise(2).alias("half"))
+    return sent.repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(known, common, nicknames), "fa bigint, fb bigint, fit int, side int")
+
+
+def forms_of(entities: DataFrame, types: tuple[str, ...]) -> DataFrame:
+    """(scope, type, key, form, form_id): the names and aliases of the rows of these types; a scope is a doc_id and a type."""
     rows = entities.where(F.col("type").isin(*types) & F.col("doc_id").isNotNull() & F.col("key").isNotNull()).select("doc_id", "key", "type", "name", "aliases").dropDuplicates(["doc_id", "key"])
     every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     forms = rows.select(F.concat_ws("\u0001", "doc_id", "type").alias("scope"), "type", "key", F.explode(every).alias("form")).where("form is not null and trim(form) <> ''").distinct()
-    forms = cut_lineage(forms)
+    return forms.withColumn("form_id", F.xxhash64("scope", "key", "form"))
+
+
+def given_names(forms: DataFrame, diminutives: DataFrame) -> tuple[set[str], set[tuple[str, str]]]:
+    """(common tokens of persons, nicknames (short, full)): both bounded, the latter by LEARNT a common token and the table of diminutives."""
     persons = forms.where("type = 'Person'").mapInArrow(_tokens, "tokens array<string>, quoted array<string>")
     total = forms.where("type = 'Person'").count()
     beside = persons.select(F.explode("tokens").alias("t"), "tokens").select("t", F.explode("tokens").alias("o")).where("t <> o")
@@ -242,9 +384,28 @@ def link_variants(entities: DataFrame, diminutives: DataFrame, types: tuple[str,
     learnt = persons.where("quoted is not null").select(F.col("quoted")[0].alias("short"), F.col("quoted")[1].alias("full")).where(F.col("full").isin(list(common)))
     learnt = learnt.groupBy("short", "full").count().withColumn("r", F.row_number().over(Window.partitionBy("full").orderBy(F.desc("count"), "short"))).where(F.col("r") <= LEARNT)
     nicknames = {(r[0], r[1]) for r in learnt.select("short", "full").collect()}
-    nicknames |= {(r[0], r[1]) for r in diminutives.where("short_form is not null and canonical is not null").select(F.lower(F.trim("short_form")), F.lower(F.trim("canonical"))).distinct().collect()}
-    found = candidates(forms).mapInArrow(_verify(common, nicknames), "scope string, a string, b string, fit int, side int")
+    told = diminutives.where("short_form is not null and canonical is not null").select(F.lower(F.trim("short_form")), F.lower(F.trim("canonical"))).distinct()
+    return common, nicknames | {(r[0], r[1]) for r in told.collect()}
+
+
+def link_variants(entities: DataFrame, diminutives: DataFrame, types: tuple[str, ...] = ("Person", "Studio")) -> DataFrame:
+    """(doc_id, type, key, group_key): every entity row that names the same person or studio as another, with its group.
+
+    ``entities`` has (doc_id, key, type, name, aliases), ``diminutives`` (short_form, canonical), both
+    any extra columns. Rows are compared within one doc_id and type. Null and blank names and aliases
+    and null alias arrays are no forms; rows with the same doc_id and key count once; an empty table
+    gives no rows. Order, case, accents, punctuation, titles, typing errors, nicknames, initials and
+    left-out middle names may differ; a form that fits two entities that differ is linked to neither.
+    """
+    forms = cut_lineage(forms_of(entities, types))
+    common, nicknames = given_names(forms, diminutives)
+    found = linked_forms(forms, frequencies(forms), common, nicknames)
+    end = lambda c: forms.select(F.col("form_id").alias(f"f{c}"), F.col("scope").alias(f"scope_{c}"), F.col("key").alias(c))
+    found = found.join(end("a"), "fa").join(end("b"), "fb").where("scope_a = scope_b and a <> b")
+    turned = F.when(F.col("a") < F.col("b"), F.col("side")).otherwise(F.when(F.col("side") > 0, 3 - F.col("side")).otherwise(0))
+    found = found.select(F.col("scope_a").alias("scope"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "fit", turned.alias("side"))
     links = cut_lineage(found.groupBy("scope", "a", "b").agg(F.max(F.struct("fit", "side")).alias("m")).select("scope", "a", "b", "m.fit", "m.side"))
+    links = links.coalesce(max(1, links.count() // LINK_ROWS))
     sure = links.where("fit = 4").select("scope", "a", "b")
     for fit in (3, 2, 1):
         groups = connected_groups(sure, "scope", "a", "b")
@@ -253,7 +414,9 @@ def link_variants(entities: DataFrame, diminutives: DataFrame, types: tuple[str,
         weak = weak.select("scope", F.coalesce("ga", "a").alias("x"), F.coalesce("gb", "b").alias("y"), "side")
         lean = weak.select("scope", F.when(F.col("side") == 1, F.col("x")).otherwise(F.col("y")).alias("less"), F.when(F.col("side") == 1, F.col("y")).otherwise(F.col("x")).alias("more")).where("less <> more")
         fitting = lean.groupBy("scope", "less").agg(F.min("more").alias("more"), F.max("more").alias("other")).where("more = other")
-        sure = cut_lineage(sure.unionByName(fitting.select("scope", F.col("less").alias("a"), F.col("more").alias("b"))))
+        more = fitting.select("scope", F.col("less").alias("a"), F.col("more").alias("b"))
+        sure = cut_lineage(sure.unionByName(more.coalesce(links.rdd.getNumPartitions())))
+        sure = sure.coalesce(links.rdd.getNumPartitions())
     groups = connected_groups(sure, "scope", "a", "b")
     part = F.split("scope", "\u0001")
     return groups.select(part[0].alias("doc_id"), part[1].alias("type"), F.col("item_key").alias("key"), "group_key")
