@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 LIMIT, LEAST, OVERLAP = 1600, 800, (80, 320)
 #: Words on either side of a position whose vocabularies are compared.
 BLOCK = 32
+#: Positions whose blocks are compared at once; a bound on memory, not on the text.
+PLACES = 1024
 WORD = re.compile(r"\w+")
 
 
@@ -60,10 +62,12 @@ class Boundaries:
         starts = np.fromiter((s for s, _ in spans), np.int64, len(spans))
         padded = np.concatenate([np.full(block, -1), ids, np.full(block, -2)])
         gap = np.searchsorted(starts, at)
-        take = gap[:, None] + np.arange(block)
-        left, right = padded[take], padded[take + block]
         same = lambda a, b: (a[:, :, None] == b[:, None, :]).sum((1, 2)).astype(float)
-        cosine = same(left, right) / np.sqrt(np.maximum(1, same(left, left) * same(right, right)))
+        cosine = np.empty(len(at))
+        for i in range(0, len(at), PLACES):
+            take = gap[i : i + PLACES, None] + np.arange(block)
+            left, right = padded[take], padded[take + block]
+            cosine[i : i + PLACES] = same(left, right) / np.sqrt(np.maximum(1, same(left, left) * same(right, right)))
         up_left = np.maximum.accumulate(cosine)
         up_right = np.maximum.accumulate(cosine[::-1])[::-1]
         depth = (up_left - cosine) + (up_right - cosine)
@@ -154,14 +158,9 @@ def _split(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start_char": s, "end_char": e} for s, e in split(t)])
 
 
-@F.pandas_udf(T.StructType([T.StructField("faulty", T.BooleanType()), T.StructField("pieces", PIECES)]))
-def _recut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-    faulty, pieces = [], []
-    for t, s, e in zip(texts, starts, ends):
-        bad = not proper(t, list(zip(s.tolist(), e.tolist())) if s is not None else [])
-        faulty.append(bad)
-        pieces.append([{"start_char": a, "end_char": b} for a, b in split(t)] if bad else [])
-    return pd.DataFrame({"faulty": faulty, "pieces": pieces})
+@F.pandas_udf(T.BooleanType())
+def _faulty(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([not proper(t, list(zip(s.tolist(), e.tolist())) if s is not None else []) for t, s, e in zip(texts, starts, ends)], dtype=bool)
 
 
 def split_texts(sections: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -176,12 +175,12 @@ def split_texts(sections: DataFrame, key: str = "id", text: str = "text") -> Dat
     return pieces.select(key, "__p.start_char", "__p.end_char", F.lit("recursive").alias("strategy")).distinct()
 
 
-def recut(sections: DataFrame, chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(section_id, faulty, pieces) for the sections longer than the limit.
+def audited(sections: DataFrame, chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(section_id, text, faulty) for the sections longer than the limit.
 
     ``faulty`` says that the stored recursive chunks are no proper cut of the text (none stored,
     too long, a character left out, overlap outside 80 to 320, a start inside a word, an end at no
-    natural place though one was in reach); ``pieces`` is then the new cut, else empty. Stored
+    natural place though one was in reach). Stored
     positions count from the section's start_char. Null texts are left out; chunks without a section
     and stored cuts with a null position are ignored; repeated rows count once.
     """
@@ -190,4 +189,10 @@ def recut(sections: DataFrame, chunks: DataFrame, limit: int = LIMIT) -> DataFra
     cuts = stored.groupBy("id").agg(F.array_sort(F.collect_set("__c")).alias("__cuts"))
     both = long.dropDuplicates(["id"]).join(cuts, "id", "left")
     at = lambda f: F.transform("__cuts", lambda c: (c[f] - F.col("__from")).cast("int"))
-    return both.select(F.col("id").alias("section_id"), _recut("text", at("s"), at("e")).alias("r")).select("section_id", "r.faulty", "r.pieces")
+    return both.select(F.col("id").alias("section_id"), "text", _faulty("text", at("s"), at("e")).alias("faulty"))
+
+
+def recut(sections: DataFrame, chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(section_id, faulty, pieces) as :func:`audited` says; ``pieces`` is the new cut of a faulty one, else empty."""
+    none = F.array().cast("array<struct<start_char:int,end_char:int>>")
+    return audited(sections, chunks, limit).select("section_id", "faulty", F.when(F.col("faulty"), _split(F.when(F.col("faulty"), F.col("text")))).otherwise(none).alias("pieces"))
