@@ -47,8 +47,13 @@ LEGAL = {"ltd", "limited", "inc", "llc", "llp", "gmbh", "pvt", "plc", "co", "cor
 GENERIC = {"pictures", "picture", "films", "film", "cinema", "cinemas", "entertainment", "entertainments", "studios", "studio", "media", "works", "productions", "production", "company", "group", "house", "international", "the", "and", "of"}
 
 
+TOKEN = re.compile(r"\w+").findall
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
@@ -100,26 +105,42 @@ class Frequencies:
 
     def __init__(self, forms: int, grams: np.ndarray, tokens: np.ndarray):
         self.forms = max(1, forms)
+        self.known: dict[str, float] = {}
+        self.coded: dict[str, tuple[int, float]] = {}
         self.gram_weight = np.log(1 + self.forms / np.maximum(1, grams)).tolist()
         self.token_weight = np.log(1 + self.forms / np.maximum(1, tokens)).tolist()
 
     def grams(self, form: str) -> dict[int, float]:
         """Codes and weights of the distinct grams of a form."""
-        return {c: self.gram_weight[c % COUNTS] for c in map(code, grams(form))}
+        out = {}
+        for g in grams(form):
+            got = self.coded.get(g)
+            if got is None:
+                if len(self.coded) > 200_000:
+                    self.coded.clear()
+                c = code(g)
+                got = self.coded[g] = (c, self.gram_weight[c % COUNTS])
+            out[got[0]] = got[1]
+        return out
 
     def prefix(self, weights: dict[int, float]) -> list[int]:
         """The heaviest grams, until what is left weighs less than OVERLAP of the form."""
         rest = sum(weights.values())
         least, out = OVERLAP * rest - 1e-9, []
-        for c in sorted(weights, key=lambda c: (-weights[c], c)):
+        for w, c in sorted(zip(weights.values(), weights), reverse=True):
             if rest < least:
                 break
             out.append(c)
-            rest -= weights[c]
+            rest -= w
         return out
 
     def token(self, word: str) -> float:
-        return self.token_weight[code(word) % COUNTS]
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[word] = self.token_weight[code(word) % COUNTS]
+        return got
 
 
 def code(text: str) -> int:
@@ -199,13 +220,18 @@ class Names:
         return (for_ - sum(AGAINST * max(mean, self.weight(t)) for t in against)) / whole
 
     def persons(self, a: tuple, b: tuple) -> tuple[int, int]:
-        """Surname against surname, given names in order; a further given name of the longer form is left out in the other, no contradiction."""
+        """Surname against surname, given names in order; a further given name of the longer form is left out in the other, no contradiction.
+
+        A surname that contradicts outweighs all the rest, so nothing else is looked at then.
+        """
         (sa, ga, na), (sb, gb, nb) = a, b
         if not sa or not sb:
             return 0, 0
         if not ga or not gb:
             return (4, 0) if ga == gb and sa == sb else (0, 0)
         last = EQUAL if sa == sb else TYPED if mistyped(sa, sb) >= 0 else 0.0
+        if not last:
+            return 0, 0
         fits = [self.given(x, y) for x, y in zip(ga, gb)]
         for nick, other, side in ((na, gb, 2), (nb, ga, 1)):
             if fits[0][0] == 0 and nick and nick == other[0]:
@@ -244,13 +270,13 @@ class Names:
         return self.persons(x, y) if kind == "Person" else self.studios(x, y)
 
 
-def grams(name: str) -> list[str]:
+def grams(name: str) -> set[str]:
     """Distinct padded q-grams of the folded tokens."""
     out = set()
-    for t in re.findall(r"\w+", fold(name)):
+    for t in TOKEN(fold(name)):
         padded = f"^{t}$"
-        out.update(padded[i : i + Q] for i in range(max(1, len(padded) - Q + 1)))
-    return sorted(out)
+        out.update([padded[i : i + Q] for i in range(max(1, len(padded) - Q + 1))])
+    return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +286,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n in batch.column(0).to_pylist():
             forms += 1
-            for c in {code(g) % COUNTS for g in grams(n)} | {COUNTS + code(t) % COUNTS for t in re.findall(r"\w+", fold(n))}:
+            for c in {code(g) % COUNTS for g in grams(n)} | {COUNTS + code(t) % COUNTS for t in TOKEN(fold(n))}:
                 seen[c] += 1
     at = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1]])), pa.array(np.concatenate([seen[at], [forms]]))], ["slot", "n"])
@@ -314,20 +340,17 @@ def _met(known: Frequencies, common: set[str], nicknames: set[tuple[str, str]]):
 
         def judged() -> list[tuple[int, int, int, int]]:
             out = []
-            for n, (fa, kind, gram, x, side_a) in enumerate(members):
-                wa, whole_a, pa_ = described(x)
-                for fb, other, _, y, side_b in members[n + 1 :]:
-                    if fa == fb or kind != other or side_a == side_b == 1 or side_a == side_b == 2:
-                        continue
-                    wb, whole_b, pb = described(y)
-                    heavier = max(whole_a, whole_b)
-                    if min(whole_a, whole_b) < OVERLAP * heavier or min(pa_ & pb) != gram:
+            told = [(*m, *described(m[3])) for m in members] if len(members) > 1 else []
+            for n, (fa, kind, gram, x, half, wa, whole_a, pa_) in enumerate(told):
+                for fb, other, _, y, side, wb, whole_b, pb in told[n + 1 :]:
+                    if min(pa_ & pb) != gram or kind != other or half == side > 0 or fa == fb:
                         continue
-                    if sum(wa[c] for c in wa.keys() & wb.keys()) < OVERLAP * heavier - 1e-9:
+                    least = OVERLAP * (whole_a if whole_a > whole_b else whole_b) - 1e-9
+                    if sum([wa[c] for c in wa.keys() & wb.keys()]) < least:
                         continue
-                    fit, side = names.compare(kind, x, y)
+                    fit, less = names.compare(kind, x, y)
                     if fit:
-                        out.append((fa, fb, fit, side))
+                        out.append((fa, fb, fit, less))
             return out
 
         for batch in batches:
