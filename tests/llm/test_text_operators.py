@@ -2,6 +2,8 @@ import base64
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -169,6 +171,24 @@ def test_near_duplicates_against_brute_force(spark, data):
     assert {tuple(r) for r in entry.p4_found(spark, data).collect()} == want and want
 
 
+def test_sketches_tell_alike_from_unlike():
+    rng = np.random.default_rng(11)
+    for share, low, high in ((0.53, neardup.AGREEING, 480), (0.2, 0, neardup.AGREEING - 1)):
+        for _ in range(20):
+            both = round(2 * 200 * share / (1 + share))
+            x = rng.integers(0, 2**32, 400 - both, dtype=np.uint64).astype(np.uint32)
+            a, b = (pa.array([neardup.sketch(neardup.elements(s))], pa.binary()) for s in (x[:200], x[200 - both :]))
+            assert low <= neardup.agreeing(a, b)[0] <= high
+    assert neardup.agreeing(pa.array([None], pa.binary()), a).tolist() == [-1]
+
+
+def test_hot_sketches_are_broadcast(spark):
+    pairs = spark.createDataFrame([(1, i) for i in range(2, 60)] + [(5, 6)], "a bigint, b bigint")
+    sketches = spark.createDataFrame([(i, bytes([i]), None) for i in range(1, 60)], "uid bigint, rare binary, every binary")
+    got = {(r.a, r.b, bytes(r.ra)) for r in neardup.with_sketch(pairs, sketches, "a", hot_pairs=10).collect()}
+    assert got == {(1, i, b"\x01") for i in range(2, 60)} | {(5, 6, b"\x05")}
+
+
 def test_hot_contents_are_dealt_to_several_parts(spark):
     pairs = spark.createDataFrame([(1, i) for i in range(2, 60)] + [(5, 6)], "a bigint, b bigint")
     content = spark.createDataFrame([(i, f"text {i}") for i in range(1, 60)], "uid bigint, text string")

@@ -4,7 +4,8 @@ The elements of a text are its words with their running number (the second "the"
 its own), without the words that a fifth of all texts hold: those are what unlike texts share. Half
 as many permutations as signature values are evaluated; bands of five values are buckets. Texts are
 known by the hash of their content from the start, and each task sends a content once, so copies
-collapse before anything is shuffled. Pairs out of buckets are checked exactly.
+collapse before anything is shuffled. Pairs out of buckets are first held against sketches, two bits of
+each value of the signature, and what is likely alike is checked exactly on the texts.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ COMMON_SHARE, COMMON_LEAST = 0.2, 100
 FEW = 24
 #: Ids of a bucket that one row carries on; larger buckets become several rows of pairs of blocks.
 BLOCK = 128
+#: Values of the signature of which two bits must agree: 0.4 of the elements in common are expected to give these. Pairs that
+#: count have 0.53 at the least, 311 agreeing values expected with a standard deviation of 10.
+AGREEING = 264
+#: Contents of likely pairs up to which their hashes (8 MB) are broadcast; beyond it their texts are found by a shuffle.
+BROADCAST_ENDS = 1_000_000
 #: Pairs of one content that a task is given; contents with more than this, and than this share of all pairs (so 10,000 at most), are dealt to several.
 HOT_PAIRS, HOT_SHARE = 512, 1e-4
 
@@ -77,63 +83,126 @@ def elements(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint32(16))
 
 
-def signature(x: np.ndarray) -> np.ndarray:
-    """BANDS bucket numbers of a set of elements: minima and maxima under each permutation, five to a band."""
+def extremes(x: np.ndarray) -> np.ndarray:
+    """Minima, then maxima, of a set of elements under each permutation."""
     low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
     high = np.zeros(PERMUTATIONS, np.uint32)
     for at in range(0, len(x), 4096):
         h = x[at : at + 4096, None] * _A + _B
         np.minimum(low, h.min(0), out=low)
         np.maximum(high, h.max(0), out=high)
-    values = np.concatenate([low, high]).astype(np.uint64).reshape(ROWS, BANDS)
+    return np.concatenate([low, high])
+
+
+def signature(x: np.ndarray) -> np.ndarray:
+    """BANDS bucket numbers of a set of elements, five extremes to a band."""
     out = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for row in values:
+    for row in extremes(x).astype(np.uint64).reshape(ROWS, BANDS):
         out = (out ^ row) * np.uint64(0x9FB21C651E98DF25)
         out ^= out >> np.uint64(28)
     return out
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Two bits of every extreme of a set of elements."""
+    two = (extremes(x) * np.uint32(0x9E3779B1)) >> np.uint32(30)
+    return np.packbits(np.stack([two >> 1, two & 1], 1).astype(np.uint8).ravel()).tobytes()
+
+
+#: Number of pairs of bits that are 0 in a byte.
+_EQUAL = np.array([sum((v >> i) & 3 == 0 for i in (0, 2, 4, 6)) for v in range(256)], np.int64)
+
+
+def agreeing(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Number of extremes on whose two bits the sketches of each pair agree; -1 where one is missing."""
+    out = np.full(len(a), -1, np.int64)
+    both = np.flatnonzero(a.is_valid().to_numpy(zero_copy_only=False) & b.is_valid().to_numpy(zero_copy_only=False))
+    if len(both):
+        x, y = (np.frombuffer(b"".join(c.take(pa.array(both)).to_pylist()), np.uint8).reshape(len(both), -1) for c in (a, b))
+        out[both] = _EQUAL[x ^ y].sum(1)
+    return out
+
+
+def _described(batches: Iterator[pa.RecordBatch], common: list[str], least_words: int, describe) -> Iterator[tuple[list[int], list]]:
+    """(uids, descriptions) per batch (uid, text, kind); ``describe`` gets kind, uncommon elements and, if those are few, all; a task describes a content once."""
+    known: dict[str, tuple[int, bool]] = {}
+    skip = set(common)
+    sent: set[int] = set()
+    for batch in batches:
+        uids: list[int] = []
+        found: list = []
+        for uid, t, kind in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if uid in sent:
+                continue
+            if len(sent) >= 2_000_000:
+                sent = set()
+            sent.add(uid)
+            words = WORD.findall(t.lower())
+            if len(words) < least_words:
+                continue
+            if len(known) > 500_000:
+                known = {}
+            pairs = []
+            for w in words:
+                k = known.get(w)
+                if k is None:
+                    k = known[w] = (_code(w), w not in skip)
+                pairs.append(k)
+            codes = np.fromiter((c for c, _ in pairs), np.uint32, len(pairs))
+            rare = np.fromiter((r for _, r in pairs), bool, len(pairs))
+            n = int(rare.sum())
+            uids.append(uid)
+            found.append(describe(kind, elements(codes[rare]) if n else None, elements(codes) if n < FEW or n * 5 < len(words) else None))
+        if uids:
+            yield uids, found
+
+
 def _buckets(common: list[str], least_words: int):
+    def describe(kind: str, rare: np.ndarray | None, every: np.ndarray | None) -> np.ndarray:
+        apart = np.uint64(zlib.crc32(kind.encode()))  # kinds share no bucket
+        return np.concatenate(([signature(rare) ^ apart] if rare is not None else []) + ([~signature(every) ^ apart] if every is not None else []))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, bool]] = {}
-        skip = set(common)
-        sent: set[int] = set()
-        for batch in batches:
-            uids: list[int] = []
-            buckets: list[np.ndarray] = []
-            for uid, t, kind in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if uid in sent:
-                    continue
-                if len(sent) >= 2_000_000:
-                    sent = set()
-                sent.add(uid)
-                words = WORD.findall(t.lower())
-                if len(words) < least_words:
-                    continue
-                if len(known) > 500_000:
-                    known = {}
-                pairs = []
-                for w in words:
-                    k = known.get(w)
-                    if k is None:
-                        k = known[w] = (_code(w), w not in skip)
-                    pairs.append(k)
-                codes = np.fromiter((c for c, _ in pairs), np.uint32, len(pairs))
-                rare = np.fromiter((r for _, r in pairs), bool, len(pairs))
-                apart = np.uint64(zlib.crc32(kind.encode()))  # kinds share no bucket
-                n = int(rare.sum())
-                if n:
-                    uids.append(uid)
-                    buckets.append(signature(elements(codes[rare])) ^ apart)
-                if n < FEW or n * 5 < len(words):
-                    uids.append(uid)
-                    buckets.append(~signature(elements(codes)) ^ apart)
-            if uids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.repeat(np.array(uids, np.int64), BANDS))], ["bucket", "uid"])
+        for uids, buckets in _described(batches, common, least_words, describe):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets).view(np.int64)), pa.array(np.repeat(np.array(uids, np.int64), [len(b) for b in buckets]))], ["bucket", "uid"])
+
+    return run
+
+
+def _sketches(common: list[str], least_words: int):
+    def describe(_: str, rare: np.ndarray | None, every: np.ndarray | None) -> tuple[bytes | None, bytes | None]:
+        return tuple(None if x is None else sketch(x) for x in (rare, every))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uids, found in _described(batches, common, least_words, describe):
+            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), *(pa.array(c, pa.binary()) for c in zip(*found))], ["uid", "rare", "every"])
 
     return run
 
 
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches agree, of uncommon or of all elements."""
+    for b in batches:
+        keep = pa.array(np.flatnonzero((agreeing(b.column(2), b.column(4)) >= AGREEING) | (agreeing(b.column(3), b.column(5)) >= AGREEING)))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep)], ["a", "b"])
+
+
+def hot_contents(pairs: DataFrame, side: str, hot_pairs: int) -> DataFrame:
+    """(__hot, parts): contents with more than ``hot_pairs`` pairs on a side, and HOT_SHARE of all pairs, and the parts their pairs are dealt to; few enough to broadcast."""
+    least = F.greatest(F.lit(float(hot_pairs)), pairs.agg(F.count("*") * F.lit(HOT_SHARE)).scalar())
+    return pairs.groupBy(F.col(side).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("__hot", F.ceil(F.col("n") / least).cast("int").alias("parts"))
+
+
+def with_sketch(pairs: DataFrame, sketches: DataFrame, side: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """``pairs`` with the sketches (one row per uid) of ``side`` as r<side> and e<side>; those of contents with very many partners are broadcast."""
+    own = sketches.select(F.col("uid").alias(side), F.col("rare").alias(f"r{side}"), F.col("every").alias(f"e{side}"))
+    hot = cut_lineage(hot_contents(pairs, side, hot_pairs).select(F.col("__hot").alias(side)))
+    if hot.isEmpty():
+        return pairs.join(own, side)
+    rest = pairs.join(F.broadcast(hot), side, "left_anti").join(own, side)
+    return rest.unionByName(pairs.join(F.broadcast(own.join(F.broadcast(hot), side, "left_semi")), side))
+
+
 def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket of two contents or more: rows (these, those) whose elements are to be paired."""
     held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
@@ -206,9 +275,7 @@ def _verified(least_words: int, num: int, den: int):
 
 def with_text(pairs: DataFrame, content: DataFrame, side: str, other: str, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """``pairs`` with the text of ``side`` as t<side>. Contents with very many partners are dealt to several parts, their text to each."""
-    least = F.greatest(F.lit(float(hot_pairs)), pairs.agg(F.count("*") * F.lit(HOT_SHARE)).scalar())
-    hot = pairs.groupBy(F.col(side).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > least).select("__hot", F.ceil(F.col("n") / least).cast("int").alias("parts"))
-    hot = F.broadcast(cut_lineage(hot))
+    hot = F.broadcast(cut_lineage(hot_contents(pairs, side, hot_pairs)))
     dealt = pairs.join(hot, F.col(side) == F.col("__hot"), "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("__hot", "parts")
     texts = content.select(F.col("uid").alias(side), F.col("text").alias(f"t{side}")).join(hot, F.col(side) == F.col("__hot"), "left")
     texts = texts.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("__hot", "parts")
@@ -232,9 +299,13 @@ def near_duplicate_contents(texts: DataFrame, least_words: int = 60, num: int =
     pairs = partners.select(F.explode("these").alias("a"), "those").select("a", F.explode("those").alias("b"))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     shared = members.groupBy("uid").count().where("count > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
-    pairs = cut_lineage(pairs.unionByName(shared))
-    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    content = rows.select("uid", "text").join(ends, "uid", "left_semi").dropDuplicates(["uid"])
+    pairs = cut_lineage(pairs)
+    sketches = cut_lineage(rows.select("uid", "text", "kind").mapInArrow(_sketches(common, least_words), "uid bigint, rare binary, every binary").dropDuplicates(["uid"]))
+    sketched = with_sketch(with_sketch(pairs, sketches, "a"), sketches, "b").select("a", "b", "ra", "ea", "rb", "eb")
+    pairs = cut_lineage(sketched.mapInArrow(_likely, "a bigint, b bigint").unionByName(shared))
+    ends = cut_lineage(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
+    few = ends.limit(BROADCAST_ENDS + 1).count() <= BROADCAST_ENDS
+    content = rows.select("uid", "text").join(F.broadcast(ends) if few else ends, "uid", "left_semi").dropDuplicates(["uid"])
     full = with_text(with_text(pairs, content, "a", "b"), content, "b", "a").select("a", "b", "ta", "tb")
     return full.mapInArrow(_verified(least_words, num, den), "a bigint, b bigint, likeness double"), members
 
