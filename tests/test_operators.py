@@ -1,6 +1,10 @@
+import hashlib
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import text
 from weftline.operators import chunking, evaluation, extraction, graph, resolve, search
 from weftline.plans.ask import AskOptions, Inputs, cached_answers, compare, merged_searches, prompts, retrieve, rewritten, routed, stage_options
 from weftline.sources import files
@@ -127,28 +131,116 @@ def test_resolution_on_tables(spark):
 
 
 def test_citations(spark):
-    answers = spark.createDataFrame([(1, "The Thaw was directed by Dara Okonjo [1]."), (2, "Penguins invaded the harbour town [1]."), (3, "Yes.")], "answer_id int, answer string")
-    ctx = spark.createDataFrame([(i, 1, "c", "The Thaw was directed by Dara Okonjo in 2024.") for i in (1, 2, 3)], "answer_id int, rank int, chunk_id string, text string")
+    answers = spark.createDataFrame([(1, "The Thaw was directed by Dara Okonjo [1]."), (2, "Penguins invaded the harbour town [1]."), (3, "Yes."), (4, " \n"), (5, None)], "answer_id int, answer string")
+    ctx = spark.createDataFrame([(i, 1, "c", "The Thaw was directed by Dara Okonjo in 2024.") for i in range(1, 6)], "answer_id int, rank int, chunk_id string, text string")
     got = {r.answer_id: r.groundedness for r in evaluation.groundedness(answers, ctx).collect()}
-    assert got == {1: 1.0, 2: 0.0, 3: 1.0}
-    assert evaluation.groundedness(answers, ctx.limit(0)).where("groundedness = 0").count() == 3
+    assert got == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 0.0}
+    assert evaluation.groundedness(answers, ctx.limit(0)).where("groundedness = 0").count() == 5
 
 
 def test_grading(spark):
-    golden = spark.createDataFrame([("q1", "simple", ["Dara Okonjo"], None, None), ("q2", "ungrounded", None, None, True), ("q3", "path", None, ["Ana"], None)], "id string, type string, expected_contains array<string>, expected_path array<string>, expect_refusal boolean")
-    r = spark.createDataFrame([("q1", 1, "It was dara  okonjo.", None), ("q1", 0, "Nobody", None), ("q2", 1, "Not found in the provided documents.", None), ("q3", 1, "x", "Ilse - Ana")], "question_id string, stage int, answer string, path string")
-    cells = evaluation.graded(r, golden)
-    assert {(x.question_id, x.stage): x["pass"] for x in cells.collect()} == {("q1", 1): True, ("q1", 0): False, ("q2", 1): True, ("q3", 1): True}
-    kept = spark.createDataFrame([("q1", "Chapter One: The Thaw")], "question_id string, section string")
-    want = spark.createDataFrame([("q1", "the thaw"), ("q1", "Endgame")], "question_id string, section string")
-    assert evaluation.recall(kept, want).first().recall == 0.5
+    golden = spark.createDataFrame([("q1", "simple", ["Dara Okonjo"], None, None), ("q2", "ungrounded", None, None, None), ("q3", "path", None, ["ana"], None), ("q4", "simple", None, None, None), ("q5", "simple", [], ["Ana"], False)], "id string, type string, expected_contains array<string>, expected_path array<string>, expect_refusal boolean")
+    no = "Not found in the provided documents."
+    rows = [("q1", 1, "It was dara  okonjo.", None), ("q1", 0, "Nobody", None), ("q2", 1, no, None), ("q2", 0, no, None), ("q2", 2, "Ann", None), ("q3", 1, "x", ["Ilse", "Ana Lee"]), ("q3", 2, "Ana", []), ("q4", 1, "anything", None), ("q5", 1, "anything", ["Ana"])]
+    r = spark.createDataFrame(rows, "question_id string, stage int, answer string, path array<string>")
+    assert {(x.question_id, x.stage) for x in evaluation.graded(r, golden).where("pass").collect()} == {("q1", 1), ("q2", 1), ("q3", 1)}
+    assert evaluation.golden_subset(golden, ["q1", "q9"]).count() == 1 and evaluation.golden_subset(golden).count() == 5
+
+
+def test_recall_by_chunks_then_sections_then_any(spark):
+    hits = spark.createDataFrame([("q1", "c1", "Chapter One: The Thaw", "x"), ("q2", "c2", "Two", "about Endgame"), ("q3", "c9", None, None)], "question_id string, chunk_id string, section string, text string")
+    want = spark.createDataFrame([("q1", [], ["the thaw", "Endgame"]), ("q2", ["c2", "c3", "c4"], ["Two"]), ("q3", None, None), ("q4", [], []), ("q2b", [], ["endgame"])], "question_id string, expected_chunk_ids array<string>, expected_sections array<string>")
+    got = {r.question_id: r.recall for r in evaluation.recall(hits, want).collect()}
+    assert got == {"q1": 0.5, "q2": 0.333333, "q3": 1.0, "q4": 0.0, "q2b": 0.0}
+
+
+def test_front_matter_blocks_start_empty(spark):
+    texts = ["docType: film", "year: 2001", "studio: Old", "# One", "a", "subject: New", "year: soon", "# Two", "b", "# Three", "c", "year: 1999", "year: null", "# Four", "d", "docType: lost"]
+    lines = spark.createDataFrame([("d", i, 1, t, 10.0, False) for i, t in enumerate(texts)], "doc_id string, n int, page int, text string, font_size double, bold boolean")
+    got = [(r.heading, r.doctype, r.subject, r.year, r.studio) for r in chunking.sections(lines).orderBy("ordinal").collect()]
+    assert got == [("One", "film", None, 2001, "Old"), ("Two", None, "New", None, None), ("Three", None, "New", None, None), ("Four", None, None, 1999, None)]
+
+
+def test_evidence_is_repaired_over_levelled_text(spark):
+    rows = [("It was “Ann\u00a0Lee’s” film. Bo too.", ["ann lee's"]), ("Ann met Bo. Ann Lee.", []), ("Ann met Bo.", [" "]), ("Ann met Bo.", [None]), ("Ann met Bo.\nBo left.", ["Bo"]), (" ", ["x"]), (None, ["x"]), ("Ann met Bo.", ["Cy"])]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, n array<string>").select(text.repaired_evidence(F.col("t"), F.col("n"))).collect()]
+    assert got == ["It was “Ann\u00a0Lee’s” film.", None, None, None, "Bo left.", None, None, None]
+
+
+REPLY = """{"entities": [{"name": "The Thaw", "type": "Film", "evidence": "The Thaw"}, {"name": "Dara Okonjo", "type": "Person", "evidence": "made up"}, {"name": "Loki", "type": "Character", "evidence": "Loki"},
+{"name": "dara okonjo", "type": "Studio", "evidence": "Dara Okonjo"}, {"name": "Nobody", "type": "Person", "evidence": "none"}, {"name": "X", "type": "Dragon", "evidence": "The Thaw"}, {"name": " ", "type": "Person"}],
+"relations": [{"subject": "DARA OKONJO", "predicate": "directed", "object": "the thaw", "evidence": "The Thaw", "confidence": 0.9, "properties": {"role": "lead"}}, {"subject": "Dara Okonjo", "predicate": "directed", "object": "Nobody"}, {"subject": "", "object": "x"}]}"""
+
+
+def test_replies_become_entities_and_relations(spark):
+    replies = spark.createDataFrame([("c", REPLY), ("gone", REPLY), ("c2", "no json"), ("c3", None)], "chunk_id string, json string")
+    held = spark.createDataFrame([("c", "Dara Okonjo made The Thaw with Loki.", "Some Subject", 2024), ("c2", "x", None, None)], "id string, text string, subject string, year int")
+    kinds = spark.createDataFrame([("Film",), ("Person",), ("Studio",), ("Character",)], "type string")
+    e = extraction.graded_entities(replies, held, kinds)
+    got = {(r.name, r.type): (r.status, r.key, r.evidence) for r in e.collect()}
+    assert got["The Thaw", "Film"] == ("kept", "film:the-thaw:2024", "The Thaw") and got["Loki", "Character"] == ("kept", "character:loki:the-thaw", "Loki")
+    assert got["Dara Okonjo", "Person"] == ("repaired", "person:dara-okonjo", "Dara Okonjo made The Thaw with Loki.")
+    assert {k[0]: v[0] for k, v in got.items() if v[0] not in ("kept", "repaired")} == {"Nobody": "ungrounded", "X": "unknown-type", "": "blank"}
+    rel = {(r.subject, r.object): (r.subject_type, r.object_key, r.endpoints) for r in extraction.proposed_relations(replies.where("chunk_id = 'c'"), e).collect()}
+    assert rel == {("dara okonjo", "The Thaw"): ("Studio", "film:the-thaw:2024", True), ("dara okonjo", "Nobody"): ("Studio", None, False)}
+
+
+def test_commits_can_be_repeated_and_maps_keep_the_first(spark):
+    kinds = "doc_id string, subject string, predicate string, object string, confidence double, mentions bigint, evidence string, chunk_ids array<string>"
+    old = spark.createDataFrame([("a", "x", "P", "y", 0.5, 9, "e", ["a#0"]), ("b", "x", "P", "y", 0.5, 1, "e", ["b#0"])], kinds)
+    new = spark.createDataFrame([("a", "x", "P", "z", 0.7, 2, "long", ["a#1"]), ("a", "x", "P", "z", 0.9, 3, "e", ["a#0", "a#1"]), ("a", "x", "P", "w", 0.1, 1, None, None)], kinds)
+    once = extraction.committed(new, old)
+    want = {("b", "y", 0.5, 1, "e", ("b#0",)), ("a", "z", 0.9, 5, "long", ("a#0", "a#1")), ("a", "w", 0.1, 1, None, ())}
+    for got in (once, extraction.committed(new, once)):
+        assert {(r.doc_id, r.object, r.confidence, r.mentions, r.evidence, tuple(r.chunk_ids)) for r in got.collect()} == want
+    maps = spark.createDataFrame([("x", "P", "y", "c2", {"a": "late", "b": "2"}), ("x", "P", "y", "c1", {"a": "early"}), ("x", "P", "z", "c1", None)], "subject string, predicate string, object string, chunk_id string, properties map<string,string>")
+    assert [r.properties for r in extraction.merged_properties(maps).collect()] == [{"a": "early", "b": "2"}]
+
+
+def test_presets_guesses_and_endpoints(spark):
+    e = edges(spark, GRAPH)
+    people = spark.createDataFrame([("d", "ilse", "Person", "Ilse", None), ("d", "dara", "Person", "Dara Okonjo", None), ("d", "meridian", "Studio", "Meridian", None), ("d", "thaw", "Film", "The Thaw", 2024), ("d", "vermilion", "Film", "Vermilion", 2024)], "doc_id string, key string, type string, name string, year int")
+    assert graph.aggregate("studio-film-count", e, people).first().films == 2
+    assert all(graph.aggregate(p, e, people).count() >= 0 for p in graph.PRESETS)
+    with pytest.raises(ValueError):
+        graph.aggregate("unknown", e, people)
+    q = spark.createDataFrame([(1, "How is ILSE tied to Dara Okonjo, who won in 2004?"), (2, "Which franchise of 12004 or 1899?"), (3, "Who shot it?")], "question_id int, question string")
+    assert {r.question_id: (r.from_key, r.to_key) for r in graph.endpoints(q, people).collect()} == {1: ("dara", "ilse"), 2: (None, None), 3: (None, None)}
+    got = q.orderBy("question_id").select(text.preset_guess(F.col("question")), text.year_guess(F.col("question"))).collect()
+    assert [tuple(r) for r in got] == [("award-tally-by-studio", 2004), ("multi-franchise-actors", None), ("director-cinematographer-pairs", None)]
+    steps = graph.path_steps(graph.shortest_path(e.select(F.col("subject").alias("a"), F.col("object").alias("b")), "ilse", "dara"), e, people)
+    assert graph.told_path(steps).first()[0] == "Ilse acted in The Thaw (2024), which was directed by Dara Okonjo."
+    assert graph.told_path(steps.limit(0)).count() == 0 and graph.edge(e, "ilse", "ACTED_IN", "thaw").count() == 1
+    assert graph.snapshot_nodes(e.where("subject = 'ilse'"), people).count() == 2
+    id_ = spark.range(1).select(text.point_id(F.lit("dos#1")), text.filter_description(F.lit("a"), F.lit(2001), F.lit(None), F.lit(None), F.lit(None), F.lit("S"))).first()
+    digest = hashlib.md5(b"dos#1").digest()
+    assert id_[0] == str(uuid.UUID(bytes_le=digest)) and id_[1] == "docType=a, year=2001, studio=S"
+
+
+def test_large_casts_are_dealt_to_blocks(spark, monkeypatch):
+    e = spark.createDataFrame([("d", f"p{i:02d}", "ACTED_IN", f"w{j}") for i in range(12) for j in range(3) if (i + j) % 3], "doc_id string, subject string, predicate string, object string")
+    n = spark.createDataFrame([("d", f"p{i:02d}", "Person", f"P{i}") for i in range(12)] + [("d", f"w{j}", "Film", f"W{j}") for j in range(3)], "doc_id string, key string, type string, name string")
+    want = {tuple(r) for r in graph.collaborations(e, n).collect()}
+    monkeypatch.setattr(graph, "CAST", 3)
+    assert {tuple(r) for r in graph.collaborations(e, n).collect()} == want and len(want) > 30
+
+
+def test_lines_of_pages(spark):
+    words = spark.createDataFrame([("d", 1, 90.0, 10.0, "exam-", 10.0, True), ("d", 1, 91.0, 5.0, "An", 12.0, True), ("d", 1, 80.0, 5.0, "ple here", 10.0, None)], "doc_id string, page int, baseline double, left double, text string, font_size double, bold boolean")
+    lines = chunking.lines_of_words(words)
+    assert [(r.n, r.text, r.font_size, r.bold) for r in lines.orderBy("n").collect()] == [(0, "An exam-", 11.0, True), (1, "ple here", 10.0, False)]
+    assert [r.text for r in chunking.rejoined_lines(lines).orderBy("n").collect()] == ["An example", "here"]
+    rows = spark.createDataFrame([(i,) for i in range(1000)], "i int").repartition(7)
+    assert sorted(r.i for r in chunking.spread(rows, 7, "i").collect()) == [i * 1000 // 7 for i in range(7)] and chunking.spread(rows.limit(5), 7, "i").count() == 5
+    pages = spark.createDataFrame([("d", 1, "x" * 40), ("d", 2, "x" * 60), ("e", 1, None), ("e", 2, "x" * 30), ("e", 3, "x")], "doc_id string, page int, text string")
+    assert {(r.doc_id, r.median_chars) for r in chunking.scanned_documents(pages).collect()} == {("e", 1)}
 
 
 def test_stage_options_are_cumulative_and_clamped():
     seen = {stage_options(s) for s in range(12)}
     assert len(seen) == 12 and stage_options(5).rerank and not stage_options(4).rerank and stage_options(10).graph == "expand"
     assert AskOptions(top_k=99, candidate_k=1, max_hops=0).normal() == AskOptions(top_k=50, candidate_k=50, max_hops=1)
-    assert routed(stage_options(11), "path").graph == "path" and routed(stage_options(5), "path") == stage_options(5)
+    assert routed(stage_options(11), "PATH").graph == "path" and routed(stage_options(11), "nonsense") == routed(stage_options(11), "lookup") and routed(stage_options(11), None) == stage_options(11) and routed(stage_options(5), "path") == stage_options(5)
     with pytest.raises(ValueError):
         stage_options(12)
 

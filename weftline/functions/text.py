@@ -80,13 +80,17 @@ def contains_loosely(text: Column, part: Column) -> Column:
 
 
 def repaired_evidence(text: Column, names: Column, most: int = 300) -> Column:
-    """The shortest sentence that holds all names, else the text if it does, cut at ``most``; null if a name is missing."""
-    low = lambda c: F.lower(c)
-    holds = lambda s: F.forall(names, lambda n: F.contains(low(s), low(n)))
+    """The shortest sentence that holds all names, else the text if it does, cut at ``most``.
+
+    Both sides are levelled. Null if a name is missing or blank, if there are no names, or no text.
+    """
+    needles = F.transform(names, lambda n: comparable(n))
+    holds = lambda s: F.forall(needles, lambda n: F.contains(comparable(s), n))
+    usable = (F.size(names) > 0) & F.forall(needles, lambda n: F.coalesce(n != "", F.lit(False))) & (F.trim(text) != "")
     fitting = F.filter(evidence_sentences(text), holds)
     best = F.array_min(F.transform(fitting, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), s.alias("s"))))["s"]
-    chosen = F.when(holds(text), F.coalesce(best, text))
-    return F.when(F.length(chosen) > most, F.concat(F.left(chosen, F.lit(most)), F.lit("…"))).otherwise(chosen)
+    chosen = F.when(F.coalesce(usable, F.lit(False)) & holds(text), F.regexp_replace(F.coalesce(best, text), r"^\s+|\s+$", ""))
+    return F.when(F.length(chosen) > most, F.concat(F.rtrim(F.left(chosen, F.lit(most))), F.lit("…"))).otherwise(chosen)
 
 
 def predicate_name(raw: Column) -> Column:
@@ -157,6 +161,42 @@ def normal_studio(folded_name: Column) -> Column:
     return F.trim(F.regexp_replace(folded_name, rf"(?<=\S)(\s+({'|'.join(STUDIO_WORDS)})[.,]*)+$", ""))
 
 
+def normal_name(kind: Column, folded_name: Column, nicknames: dict[str, str]) -> Column:
+    """The normal form that fits the type: person, studio, title of a work; other names with single spaces."""
+    single = F.trim(F.regexp_replace(folded_name, r"\s+", " "))
+    return F.when(kind == "Person", normal_person(folded_name, nicknames)).when(kind == "Studio", normal_studio(folded_name)).when(kind.isin("Film", "TVSeries", "Episode", "Work"), normal_title(folded_name)).otherwise(single)
+
+
+def work_slug(first_work: Column, chunk_subject: Column, section_subject: Column) -> Column:
+    """The work that characters of a chunk belong to, from folded names: the first film or series of the reply, else the subject, else ``unscoped``."""
+    return F.coalesce(slug(first_work), slug(chunk_subject), slug(section_subject), F.lit("unscoped"))
+
+
+def preset_guess(question: Column) -> Column:
+    """The aggregation a question asks for, by its words."""
+    has = lambda *ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(F.lower(question), w))
+    return F.when(has("franchise"), "multi-franchise-actors").when(has("award", "won", "wins"), "award-tally-by-studio").when(has("cinematograph", "shot", "photography"), "director-cinematographer-pairs").otherwise("studio-film-count")
+
+
+def year_guess(question: Column) -> Column:
+    """The first year from 1900 to 2100 that stands as a word of its own, null without one."""
+    return F.nullif(F.regexp_extract(question, r"(?<![\p{L}\p{Nd}])(19\d{2}|20\d{2}|2100)(?![\p{L}\p{Nd}])", 1), F.lit("")).cast("int")
+
+
+def filter_description(doctype: Column, year: Column, year_from: Column, year_to: Column, subject: Column, studio: Column) -> Column:
+    """What a filter asks for, in words; empty if it asks for nothing."""
+    told = lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    span = F.concat(F.lit("year "), year_from.cast("string"), F.lit("-"), year_to.cast("string"))
+    return F.concat_ws(", ", told("docType=", doctype), told("year=", year), span, told("subject=", subject), told("studio=", studio))
+
+
+def point_id(text: Column) -> Column:
+    """A UUID from the MD5 of a text, the first three groups with their bytes turned, as little-endian machines write them."""
+    h = F.md5(text.cast("binary"))
+    turned = lambda *at: [F.substring(h, i, 2) for i in at]
+    return F.concat(*turned(7, 5, 3, 1), F.lit("-"), *turned(11, 9), F.lit("-"), *turned(15, 13), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12))
+
+
 def initials_agree(a: Column, b: Column) -> Column:
     """Same length, same surname, every given name equal or the other's initial, one initial at least."""
     x, y = F.split(F.replace(a, F.lit("."), F.lit("")), " "), F.split(F.replace(b, F.lit("."), F.lit("")), " ")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import CHARS_PER_TOKEN, context_prefix, masked_digits, section_summary
+from weftline.plans.runtime import cut_lineage
 
 #: Sizes in tokens of fixed and recursive chunks, and the overlap of the latter.
 FIXED_TOKENS, RECURSIVE_TOKENS, OVERLAP_TOKENS = 400, 400, 80
@@ -33,11 +34,18 @@ def joined_pages(pages: DataFrame, doc: str = "doc_id", page: str = "page", text
     return pages.groupBy(doc).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("raw_text"))
 
 
+def upper_medians(sizes: DataFrame, value: str, doc: str = "doc_id") -> DataFrame:
+    """(doc, median): the upper median of a column per document, from counts of its values: a document is never gathered in one row."""
+    counts = sizes.groupBy(doc, value).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(doc).orderBy(value)
+    ranked = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(doc)))
+    return ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(doc).agg(F.min(value).alias("median"))
+
+
 def scanned_documents(pages: DataFrame, doc: str = "doc_id", text: str = "text", least: int = 50) -> DataFrame:
     """Documents whose upper median of characters per page is below ``least``: no text layer worth reading."""
-    sizes = F.array_sort(F.collect_list(F.length(F.coalesce(F.col(text), F.lit("")))))
-    median = pages.groupBy(doc).agg(sizes.alias("s")).select(doc, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median_chars"))
-    return median.where(F.col("median_chars") < least)
+    sizes = pages.select(doc, F.length(F.coalesce(F.col(text), F.lit(""))).alias("size"))
+    return upper_medians(sizes, "size", doc).withColumnRenamed("median", "median_chars").where(F.col("median_chars") < least)
 
 
 def running_lines(lines: DataFrame, least_pages: int = 3, share: float = 0.6, margin: float = 0.1) -> DataFrame:
@@ -70,6 +78,34 @@ def rejoined(lines: list[str]) -> list[str]:
     return [x for x in out if x]
 
 
+def rejoined_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, n, text): :func:`rejoined` for the lines (doc_id, page, n, text) of every page, numbered anew; a page is a task's smallest unit."""
+    kinds = [lines.schema[c].dataType.simpleString() for c in ("doc_id", "page")]
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.sort_by("n")
+        out = rejoined([t or "" for t in own["text"].to_pylist()])
+        first = lambda c: pa.array([own[c][0].as_py()] * len(out), own[c].type)
+        return pa.table({"doc_id": first("doc_id"), "page": first("page"), "n": pa.array(range(len(out)), pa.int32()), "text": pa.array(out, pa.string())})
+
+    return lines.select("doc_id", "page", "n", "text").groupBy("doc_id", "page").applyInArrow(run, f"doc_id {kinds[0]}, page {kinds[1]}, n int, text string")
+
+
+def lines_of_words(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
+    """(doc_id, page, n, text, font_size, bold): :func:`grouped_lines` for the words (doc_id, page, baseline, left, text, font_size, bold) of every page."""
+    kinds = [words.schema[c].dataType.simpleString() for c in ("doc_id", "page")]
+    cols = ["baseline", "x", "text", "font_size", "bold"]
+
+    def run(table: pa.Table) -> pa.Table:
+        out = grouped_lines(list(zip(*(table[c].to_pylist() for c in cols))), tolerance)
+        first = lambda c: pa.array([table[c][0].as_py()] * len(out), table[c].type)
+        text, size, bold = zip(*out)
+        return pa.table({"doc_id": first("doc_id"), "page": first("page"), "n": pa.array(range(len(out)), pa.int32()), "text": pa.array(text, pa.string()), "font_size": pa.array(size, pa.float64()), "bold": pa.array(bold, pa.bool_())})
+
+    picked = words.select("doc_id", "page", F.col("baseline").cast("double").alias("baseline"), F.col("left").cast("double").alias("x"), F.coalesce("text", F.lit("")).alias("text"), F.col("font_size").cast("double").alias("font_size"), F.coalesce("bold", F.lit(False)).alias("bold"))
+    return picked.groupBy("doc_id", "page").applyInArrow(run, f"doc_id {kinds[0]}, page {kinds[1]}, n int, text string, font_size double, bold boolean")
+
+
 def grouped_lines(words: list[tuple[float, float, str, float, bool]], tolerance: float = 2.5) -> list[tuple[str, float, bool]]:
     """(text, font size, bold) per line of one page from (baseline, left, text, size, bold) words.
 
@@ -106,34 +142,29 @@ def sections(lines: DataFrame) -> DataFrame:
     """Sections of documents given as lines (doc_id, n, page, text, font_size, bold).
 
     A heading opens a section and belongs to it; what comes before the first is the Preamble.
-    Front-matter lines are not text: they wait for the next heading and hold until replaced. Sections
+    Front-matter lines are not text. All since the last heading are one block, which starts empty, waits for the next
+    heading and then holds until another block takes its place. Sections
     without text are left out and not counted. Result: (id, doc_id, ordinal, heading, page, doctype,
     subject, year, studio, market, text).
     """
     order = Window.partitionBy("doc_id").orderBy("n")
-    sizes = lines.where("font_size > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list("font_size")).alias("s"))
-    median = sizes.select("doc_id", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
+    median = upper_medians(lines.where("font_size > 0"), "font_size")
     key, value = front_matter(F.col("text"))
     marked = lines.join(median, "doc_id", "left").withColumn("fm_key", key).withColumn("fm_value", value)
     heading = F.col("fm_key").isNull() & is_heading(F.col("text"), F.col("font_size"), F.col("bold"), F.coalesce("median", F.lit(10.0)))
     marked = marked.withColumn("heading", heading).withColumn("sid", F.sum(F.col("heading").cast("int")).over(order))
     fields = ("doctype", "subject", "year", "studio", "market")
-    for f in fields:  # a null value clears the field, an unreadable year keeps the last one
-        shown = F.col("fm_value") if f != "year" else F.expr("try_cast(fm_value as int)").cast("string")
-        usable = (F.col("fm_key") == f) & (shown.isNotNull() | F.col("fm_value").isNull()) if f == "year" else F.col("fm_key") == f
-        marked = marked.withColumn(f, F.last(F.when(usable, F.coalesce(shown, F.lit("\u0000"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    body = marked.where("fm_key is null").groupBy("doc_id", "sid").agg(
-        F.array_sort(F.collect_list(F.struct("n", "text", "page"))).alias("rows"),
-        *[F.min_by(f, "n").alias(f) for f in fields],
-        F.max_by(F.col("heading"), F.col("heading").cast("int")).alias("headed"),
-    )
+    last = lambda f, usable=F.lit(True): F.max_by(F.struct(F.col("fm_value").alias("v")), F.when((F.col("fm_key") == f) & usable, F.col("n")))["v"]
+    readable = F.expr("try_cast(fm_value as int)").isNotNull()  # an unreadable year changes nothing
+    blocks = marked.where("fm_key is not null").groupBy("doc_id", (F.col("sid") + 1).alias("sid")).agg(F.struct(*[last(f, readable if f == "year" else F.lit(True)).alias(f) for f in fields]).alias("block"))
+    body = marked.where("fm_key is null").groupBy("doc_id", "sid").agg(F.array_sort(F.collect_list(F.struct("n", "text", "page"))).alias("rows"), F.bool_or("heading").alias("headed"))
+    held = body.join(blocks, ["doc_id", "sid"], "left").withColumn("block", F.last("block", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
     text = F.regexp_replace(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), r"^\s+|\s+$", "")
-    kept = body.withColumn("text", text).where("text <> ''").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("sid")) - 1)
-    clear = lambda f: F.nullif(F.col(f), F.lit("\u0000"))
+    kept = held.withColumn("text", text).where("text <> ''").withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy("sid")) - 1)
     return kept.select(
         F.concat("doc_id", F.lit("#s"), F.col("ordinal").cast("string")).alias("id"), "doc_id", "ordinal",
         F.when(F.col("headed"), F.trim(F.regexp_replace(F.col("rows")[0]["text"], r"^#{1,4}\s+", ""))).otherwise("Preamble").alias("heading"),
-        F.col("rows")[0]["page"].alias("page"), *[clear(f).alias(f) if f != "year" else clear(f).cast("int").alias(f) for f in fields], "text",
+        F.col("rows")[0]["page"].alias("page"), *[F.col(f"block.{f}").cast("int" if f == "year" else "string").alias(f) for f in fields], "text",
     )
 
 
@@ -234,9 +265,18 @@ def overlapping(left: DataFrame, right: DataFrame, best: int, key: str = "id", d
 
 
 def spread(rows: DataFrame, cap: int, order: str, group: str | None = None) -> DataFrame:
-    """``cap`` rows spread evenly over the order (rows floor(i * n / cap)), all if there are no more; per group if one is named."""
-    over = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    numbered_ = rows.withColumn("__i", F.row_number().over(over.orderBy(order)) - 1).withColumn("__n", F.count("*").over(over))
+    """``cap`` rows spread evenly over the order (rows floor(i * n / cap)), all if there are no more; per group if one is named.
+
+    Without a group, rows are sorted by ranges and numbered inside their range, so no task holds all.
+    """
+    if group:
+        over = Window.partitionBy(group)
+        numbered_ = rows.withColumn("__i", F.row_number().over(over.orderBy(order)) - 1).withColumn("__n", F.count("*").over(over))
+    else:
+        ranged = cut_lineage(rows.orderBy(order).withColumn("__p", F.spark_partition_id()))
+        sizes = ranged.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__c").over(Window.partitionBy()))
+        placed = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1).join(F.broadcast(sizes), "__p")
+        numbered_ = placed.withColumn("__i", F.col("__i") + F.col("__before")).drop("__p", "__c", "__before")
     hit = F.floor((F.col("__i") * cap + cap - 1) / F.col("__n"))
     chosen = (hit < cap) & (F.floor(hit * F.col("__n") / cap) == F.col("__i"))
     return numbered_.where((F.col("__n") <= cap) | chosen).drop("__i", "__n")

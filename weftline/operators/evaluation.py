@@ -36,35 +36,60 @@ def checked_citations(answers: DataFrame, contexts: DataFrame, key: str = "answe
 
 
 def groundedness(answers: DataFrame, contexts: DataFrame, key: str = "answer_id") -> DataFrame:
-    """(key, factual, supported, groundedness): share of factual sentences that a citation supports; 1 without any, 0 without context."""
+    """(key, factual, supported, groundedness): share of factual sentences that a citation supports; 1 without any, 0 without context or for a blank answer."""
     said = cited_sentences(answers, key).groupBy(key).agg(F.sum(F.col("factual").cast("int")).alias("factual"))
     good = checked_citations(answers, contexts, key).where("supported").groupBy(key).agg(F.countDistinct("n").alias("supported"))
     has = contexts.select(key).distinct().withColumn("has", F.lit(True))
-    all_ = answers.select(key).distinct().join(said, key, "left").join(good, key, "left").join(has, key, "left")
-    out = all_.select(key, F.coalesce("factual", F.lit(0)).alias("factual"), F.coalesce("supported", F.lit(0)).alias("supported"), "has")
-    ratio = F.when(F.col("has").isNull(), 0.0).when(F.col("factual") == 0, 1.0).otherwise(F.round(F.col("supported") / F.col("factual"), 3))
+    all_ = answers.groupBy(key).agg(F.max(F.coalesce(F.col("answer").rlike(r"\S"), F.lit(False))).alias("told")).join(said, key, "left").join(good, key, "left").join(has, key, "left")
+    out = all_.select(key, F.coalesce("factual", F.lit(0)).alias("factual"), F.coalesce("supported", F.lit(0)).alias("supported"), "has", "told")
+    ratio = F.when(F.col("has").isNull() | ~F.col("told"), 0.0).when(F.col("factual") == 0, 1.0).otherwise(F.round(F.col("supported") / F.col("factual"), 3))
     return out.select(key, "factual", "supported", ratio.alias("groundedness"))
 
 
 def graded(responses: DataFrame, golden: DataFrame) -> DataFrame:
     """(question_id, type, stage, pass): responses (question_id, stage, answer, path) against golden rows.
 
-    ``golden`` has (id, type, expected_contains, expected_path, expect_refusal). A question that expects
-    a refusal passes by refusing; one with an expected path if every name stands in the path; any other
-    if every expected text stands in the answer, loosely.
+    ``golden`` has (id, type, expected_contains, expected_path, expect_refusal); ``path`` is an array of
+    names. A question that expects a refusal, or of type ungrounded, passes by refusing, but at stage 0 by answering; one of type
+    path with an expected path if each expected name is part of a name of the path; any other
+    if it is no refusal and every expected text stands in the answer, loosely. Where nothing is expected, nothing passes.
     """
-    g = golden.select(F.col("id").alias("question_id"), "type", "expected_contains", "expected_path", F.coalesce("expect_refusal", F.lit(False)).alias("expect_refusal"))
+    g = golden.select(F.col("id").alias("question_id"), "type", "expected_contains", "expected_path", (F.coalesce("expect_refusal", F.lit(False)) | (F.coalesce("type", F.lit("")) == "ungrounded")).alias("expect_refusal"))
     both = responses.join(g, "question_id")
-    all_in = lambda text, parts: F.coalesce(F.forall(parts, lambda p: contains_loosely(F.coalesce(F.col(text), F.lit("")), p)), F.lit(True))
-    ok = F.when(F.col("expect_refusal"), is_refusal(F.col("answer"))).when(F.size("expected_path") > 0, all_in("path", "expected_path")).otherwise(~is_refusal(F.col("answer")) & all_in("answer", "expected_contains"))
+    said = F.coalesce("answer", F.lit(""))
+    refused = is_refusal(F.col("answer"))
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    on_path = F.forall("expected_path", lambda p: F.exists("path", lambda n: F.contains(F.lower(n), F.lower(p))))
+    ok = (
+        F.when(F.col("expect_refusal"), F.when(F.col("stage") == 0, ~refused & (said != "")).otherwise(refused))
+        .when((F.col("type") == "path") & some("expected_path"), some("path") & on_path)
+        .otherwise(~refused & some("expected_contains") & F.forall("expected_contains", lambda p: contains_loosely(said, p)))
+    )
     return both.select("question_id", "type", "stage", F.coalesce(ok, F.lit(False)).alias("pass"))
 
 
+def golden_subset(golden: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """The questions with these ids, all without a list."""
+    return golden if ids is None else golden.where(F.col("id").isin(ids))
+
+
 def recall(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
-    """(question_id, recall): share of the expected (question_id, section) whose name a retrieved section holds."""
-    hit = expected.join(retrieved.select("question_id", F.lower("section").alias("s")).distinct(), "question_id", "left")
-    one = hit.groupBy("question_id", "section").agg(F.max(F.coalesce(F.contains("s", F.lower("section")), F.lit(False)).cast("int")).alias("hit"))
-    return one.groupBy("question_id").agg(F.round(F.avg("hit"), 6).alias("recall"))
+    """(question_id, recall) for golden rows (question_id, expected_chunk_ids, expected_sections) and hits (question_id, chunk_id, section, text).
+
+    The share of expected chunks that were retrieved; without any, the share of expected sections whose
+    name stands in the section or text of a hit, whatever the case; without either, whether anything was retrieved.
+    """
+    want = expected.select("question_id", F.coalesce("expected_chunk_ids", F.array().cast("array<string>")).alias("ids"), F.coalesce("expected_sections", F.array().cast("array<string>")).alias("names"))
+    by_id = want.select("question_id", F.explode("ids").alias("chunk_id"))
+    ids = by_id.join(retrieved.select("question_id", "chunk_id", F.lit(1).alias("hit")).distinct(), ["question_id", "chunk_id"], "left").groupBy("question_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("by_id"))
+    places = retrieved.select("question_id", F.lower(F.concat_ws("\u0000", "section", "text")).alias("place"))
+    one = want.where("size(ids) = 0").select("question_id", F.explode(F.array_distinct("names")).alias("name"), F.size("names").alias("n"), "names")
+    met = one.join(places, "question_id", "left").groupBy("question_id", "name", "n", "names").agg(F.max(F.coalesce(F.contains("place", F.lower("name")), F.lit(False)).cast("int")).alias("hit"))
+    times = F.size(F.filter("names", lambda x: x == F.col("name")))
+    names = met.groupBy("question_id").agg((F.sum(F.col("hit") * times) / F.max("n")).alias("by_name"))
+    some = retrieved.select("question_id", F.lit(1.0).alias("any")).distinct()
+    out = want.join(ids, "question_id", "left").join(names, "question_id", "left").join(some, "question_id", "left")
+    return out.select("question_id", F.round(F.coalesce("by_id", "by_name", "any", F.lit(0.0)), 6).alias("recall"))
 
 
 def pass_rates(cells: DataFrame, by: list[str], ok: str = "pass", digits: int = 3) -> DataFrame:

@@ -5,7 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import is_grounded, predicate_name, repaired_evidence
+from weftline.functions.text import entity_key, folded, is_grounded, predicate_name, repaired_evidence, work_slug
+
+#: What a model replies for a chunk, once its JSON is cut out.
+REPLY = (
+    "entities array<struct<name:string,type:string,year:int,evidence:string>>,"
+    "relations array<struct<subject:string,predicate:string,object:string,evidence:string,confidence:double,properties:map<string,string>>>"
+)
+
+
+def graded_entities(replies: DataFrame, chunks: DataFrame, types: DataFrame) -> DataFrame:
+    """(chunk_id, place, name, type, year, work, key, evidence, status) of the entities that replies (chunk_id, json) propose.
+
+    ``chunks`` has (id, text, subject, year[, section_subject]), ``types`` (type) the known types. Status is
+    the first that applies: blank, unknown-type, ungrounded, repaired, kept. Evidence that is not in the
+    chunk is replaced by the shortest sentence that holds the name, if there is one. A film without a
+    year takes the chunk's; a character belongs to the first film or series of the reply, else to the
+    chunk's or section's subject. Replies for unknown chunks and replies that are no JSON are left out.
+    """
+    held = chunks.select(F.col("id").alias("chunk_id"), F.col("text").alias("__text"), F.col("subject").alias("__subject"), F.col("year").alias("__year"), (F.col("section_subject") if "section_subject" in chunks.columns else F.lit(None).cast("string")).alias("__section"))
+    read = replies.select("chunk_id", F.from_json("json", REPLY).alias("r")).where("r is not null").join(held, "chunk_id")
+    works = F.filter("r.entities", lambda e: e["type"].isin("Film", "TVSeries"))
+    all_ = read.select("chunk_id", "__text", "__year", "__subject", "__section", F.try_element_at(works, F.lit(1))["name"].alias("__first"), F.posexplode("r.entities").alias("place", "e"))
+    e = all_.join(F.broadcast(types.select(F.col("type").alias("__type"), F.lit(True).alias("__known")).distinct()), F.col("e.type") == F.col("__type"), "left")
+    name = F.trim("e.name")
+    grounded = is_grounded(F.col("e.evidence"), F.col("__text"))
+    repaired = repaired_evidence(F.col("__text"), F.array(name))
+    status = F.when(F.coalesce(name, F.lit("")) == "", "blank").when(F.col("__known").isNull(), "unknown-type").when(grounded, "kept").when(repaired.isNotNull(), "repaired").otherwise("ungrounded")
+    year = F.coalesce("e.year", F.when(F.col("e.type") == "Film", F.col("__year")))
+    work = F.when(F.col("e.type") == "Character", work_slug(folded(F.col("__first")), folded(F.col("__subject")), folded(F.col("__section"))))
+    return e.select("chunk_id", "place", name.alias("name"), F.col("e.type").alias("type"), year.alias("year"), work.alias("work"), entity_key(F.col("e.type"), folded(name), year, work).alias("key"), F.when(grounded, F.col("e.evidence")).otherwise(repaired).alias("evidence"), status.alias("status"))
+
+
+def proposed_relations(replies: DataFrame, entities: DataFrame) -> DataFrame:
+    """(chunk_id, subject, subject_type, subject_key, predicate, object, object_type, object_key, evidence, confidence, properties, endpoints).
+
+    The relations of replies (chunk_id, json), their ends looked up by name, whatever the case, among the kept or repaired
+    ``entities`` of the same reply; of equal names the last counts. ``endpoints`` is false where an end is missing.
+    """
+    ok = entities.where(F.col("status").isin("kept", "repaired")).groupBy("chunk_id", F.lower("name").alias("__low")).agg(F.max_by(F.struct("name", "type", "key"), "place").alias("e"))
+    side = lambda p: ok.select("chunk_id", F.col("__low").alias(f"__{p}"), F.col("e.name").alias(f"{p}_name"), F.col("e.type").alias(f"{p}_type"), F.col("e.key").alias(f"{p}_key"))
+    rows = replies.select("chunk_id", F.explode(F.from_json("json", REPLY)["relations"]).alias("r")).where("trim(r.subject) <> '' and trim(r.object) <> ''")
+    rows = rows.withColumn("__subject", F.lower(F.trim("r.subject"))).withColumn("__object", F.lower(F.trim("r.object")))
+    both = rows.join(side("subject"), ["chunk_id", "__subject"], "left").join(side("object"), ["chunk_id", "__object"], "left")
+    return both.select(
+        "chunk_id", F.coalesce("subject_name", F.trim("r.subject")).alias("subject"), "subject_type", "subject_key", "r.predicate", F.coalesce("object_name", F.trim("r.object")).alias("object"), "object_type", "object_key",
+        "r.evidence", "r.confidence", "r.properties", (F.col("subject_key").isNotNull() & F.col("object_key").isNotNull()).alias("endpoints"),
+    )
 
 
 def graded_relations(proposals: DataFrame, chunks: DataFrame, ontology: DataFrame) -> DataFrame:
@@ -72,6 +118,14 @@ def merged_triples(relations: DataFrame, place: Column | None = None) -> DataFra
     return merged.withColumn("chunk_ids", F.array_distinct(F.transform("c", lambda x: x["chunk_id"]))).drop("c")
 
 
+def merged_properties(relations: DataFrame, place: Column | None = None) -> DataFrame:
+    """(subject, predicate, object, properties): the maps of equal triples in one; of a property that several give, the first proposal's stays."""
+    at = F.col("chunk_id") if place is None else place
+    said = relations.select("subject", "predicate", "object", at.alias("__at"), F.explode("properties").alias("name", "value"))
+    first = said.groupBy("subject", "predicate", "object", "name").agg(F.min(F.struct("__at", "value"))["value"].alias("value"))
+    return first.groupBy("subject", "predicate", "object").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
 def merged_entities(entities: DataFrame) -> DataFrame:
     """One row per key: mentions added up, first known year, all chunks."""
     return entities.groupBy("key").agg(F.sum("mentions").alias("mentions"), F.min("year").alias("year"), F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
@@ -132,7 +186,15 @@ def metrics(graded: DataFrame, chunks: int | None = None) -> DataFrame:
 
 
 def committed(triples: DataFrame, stored: DataFrame) -> DataFrame:
-    """Stored edges with new triples added: highest confidence, mentions added up; running it twice on one batch is the caller's choice."""
-    cols = ["subject", "predicate", "object", "confidence", "mentions"]
-    both = stored.select(*cols).unionByName(triples.select(*cols))
-    return both.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"), F.sum("mentions").alias("mentions"))
+    """``stored`` edges with those of the documents in ``triples`` replaced, so a commit can be repeated.
+
+    Both have (doc_id, subject, predicate, object, confidence, mentions, evidence, chunk_ids). Equal triples
+    of a document are one edge: highest confidence, mentions added up, the longest evidence, all chunks in order.
+    """
+    cols = ["doc_id", "subject", "predicate", "object", "confidence", "mentions", "evidence", "chunk_ids"]
+    kept = stored.select(*cols).join(triples.select("doc_id").distinct(), "doc_id", "left_anti")
+    keys = cols[:4]
+    one = triples.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.sum("mentions").alias("mentions"), F.min(F.struct((-F.length(F.coalesce("evidence", F.lit("")))).alias("n"), "evidence"))["evidence"].alias("evidence"))
+    read = triples.select(*keys, F.explode("chunk_ids").alias("c")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("chunk_ids"))
+    fresh = one.join(read, keys, "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+    return kept.select(*cols).unionByName(fresh.select(*cols))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.plans.runtime import cut_lineage
 
+#: Persons of a work up to which one row holds its cast, and the blocks that larger ones are dealt to.
+CAST = 64
 #: Predicates that tie a person to a work; the first five run from person to work, the others back.
 CREDITS_OUT = ["ACTED_IN", "DIRECTED", "WROTE", "PRODUCED", "COMPOSED_FOR"]
 CREDITS_BACK = ["SHOT_BY", "EDITED_BY"]
@@ -80,10 +82,46 @@ def tally_by_first(edges: DataFrame, won: str, owner: str, min_confidence: float
     return wins.join(first, ["doc_id", "work"]).groupBy("key").agg(F.count("*").alias("awards"))
 
 
+PRESETS = ("studio-film-count", "director-cinematographer-pairs", "multi-franchise-actors", "award-tally-by-studio")
+
+
+def aggregate(preset: str, edges: DataFrame, entities: DataFrame, year: int | None = None, min_confidence: float = 0.6) -> DataFrame:
+    """One of the PRESETS by its name; an unknown name is an error. Rows come with the largest figure first, ties by name."""
+    if preset == "studio-film-count":
+        return works_by_studio(edges, entities, year, min_confidence)
+    if preset == "director-cinematographer-pairs":
+        return shared_credits(edges, "DIRECTED", "SHOT_BY", min_confidence).orderBy(F.desc("works"), "first_key", "second_key")
+    if preset == "multi-franchise-actors":
+        return members_of_several(edges, "ACTED_IN", "PART_OF_FRANCHISE", min_confidence).orderBy(F.desc("groups"), "key")
+    if preset == "award-tally-by-studio":
+        return tally_by_first(edges, "WON", "PRODUCED_BY", min_confidence).orderBy(F.desc("awards"), "key")
+    raise ValueError(f"unknown preset {preset}; known are {', '.join(PRESETS)}")
+
+
+def edge(edges: DataFrame, subject: str, predicate: str, object_: str) -> DataFrame:
+    """The edge between two keys, of any confidence, derived or not."""
+    return edges.where((F.col("subject") == subject) & (F.col("predicate") == predicate) & (F.col("object") == object_)).limit(1)
+
+
+def endpoints(questions: DataFrame, entities: DataFrame, kind: str = "Person") -> DataFrame:
+    """(question_id, from_key, to_key): the two longest names of a type that stand in the question, whatever the case; null where fewer do.
+
+    Parts of the question of each length that names have are joined to the names, so no question meets every name.
+    """
+    names = entities.where((F.col("type") == kind) & (F.length("name") > 0)).select("key", F.lower("name").alias("part"))
+    sizes = names.agg(F.collect_set(F.length("part"))).scalar()
+    low = questions.select("question_id", F.lower("question").alias("q")).withColumn("n", F.explode(sizes)).where("n <= length(q)")
+    parts = low.select("question_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("q") - F.col("n") + 1), lambda i: F.substring("q", i, F.col("n"))))).alias("part"))
+    met = parts.join(names, "part").withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc(F.length("part")), "key"))).where("r <= 2")
+    two = met.groupBy("question_id").agg(F.max(F.when(F.col("r") == 1, F.col("key"))).alias("from_key"), F.max(F.when(F.col("r") == 2, F.col("key"))).alias("to_key"))
+    return questions.select("question_id").distinct().join(two, "question_id", "left")
+
+
 def collaborations(edges: DataFrame, entities: DataFrame, least: int = 1, out: list[str] | None = None, back: list[str] | None = None, kind: str = "Person") -> DataFrame:
     """(doc_id, a, b, shared, titles): pairs of persons with works in common, a < b; all confidences count.
 
-    The pairs meet on the work; a work shared by very many persons is what makes them many.
+    The pairs of a work are made from its cast, without a join; a work of more than CAST persons is dealt to
+    blocks of them, so it fills no task. Titles are the five smallest.
     """
     out, back = CREDITS_OUT if out is None else out, CREDITS_BACK if back is None else back
     tied = edges.where(F.col("predicate").isin(out)).select("doc_id", F.col("subject").alias("who"), F.col("object").alias("work"))
@@ -91,9 +129,14 @@ def collaborations(edges: DataFrame, entities: DataFrame, least: int = 1, out: l
     people = entities.where(F.col("type") == kind).select("doc_id", F.col("key").alias("who"))
     tied = tied.join(people, ["doc_id", "who"], "left_semi")
     work = entities.select("doc_id", F.col("key").alias("work"), F.col("name").alias("title"))
-    named = tied.withColumnRenamed("who", "a").join(work, ["doc_id", "work"], "left")
-    pairs = named.join(tied.withColumnRenamed("who", "b"), ["doc_id", "work"]).where("a < b")  # a work once per pair
-    shared = pairs.groupBy("doc_id", "a", "b").agg(F.count("*").alias("shared"), titles("title", 5).alias("titles"))
+    title = work.groupBy("doc_id", "work").agg(F.min("title").alias("title"))
+    large = tied.groupBy("doc_id", "work").agg(F.count("*").alias("n")).where(F.col("n") > CAST).select("doc_id", "work")
+    casts = tied.join(large, ["doc_id", "work"], "left_anti").groupBy("doc_id", "work").agg(F.array_sort(F.collect_list("who")).alias("cast")).where("size(cast) > 1").join(title, ["doc_id", "work"], "left")
+    some = casts.select("doc_id", "title", F.posexplode("cast").alias("i", "a"), "cast").select("doc_id", "title", "a", F.explode(F.slice("cast", F.col("i") + 2, F.size("cast"))).alias("b"))
+    hub = tied.join(large, ["doc_id", "work"], "left_semi").withColumn("block", F.pmod(F.xxhash64("who"), F.lit(CAST)).cast("int"))
+    dealt = hub.join(title, ["doc_id", "work"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(CAST - 1))))
+    many = dealt.select("doc_id", "work", "title", F.col("who").alias("a"), "block", "other").join(hub.select("doc_id", "work", F.col("who").alias("b"), F.col("block").alias("other")), ["doc_id", "work", "other"]).where("a < b").select("doc_id", "title", "a", "b")
+    shared = some.unionByName(many).groupBy("doc_id", "a", "b").agg(F.count("*").alias("shared"), titles("title", 5).alias("titles"))
     return shared.where(F.col("shared") >= least)
 
 
@@ -104,12 +147,13 @@ def derived_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return own.select(made.columns).withColumn("mentions", F.col("mentions").cast("bigint")).unionByName(made)
 
 
-def expand(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, min_confidence: float = 0.6, derived: bool = True, related: int = 6) -> DataFrame:
+def expand(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, min_confidence: float = 0.6, derived: bool = True, related: int = 6, along: bool = True, mentioned: bool = True, tied: bool = True) -> DataFrame:
     """One row per seed chunk: (chunk_id, previous_id, next_id, entities, edges, related_ids).
 
     ``chunks`` has (doc_id, id, strategy, strategy_ordinal), ``mentions`` (doc_id, chunk_id, entity_key).
     ``edges`` of the result counts the live edges at the chunk's entities; related chunks mention an
     entity at the other end of one, the most frequent six, ties by id. Seeds without a chunk are left out.
+    ``along``, ``mentioned`` and ``tied`` switch the hops to neighbours, to entities and through edges; what is off is null or 0.
     """
     order = Window.partitionBy("doc_id", "strategy").orderBy("strategy_ordinal", "id")
     chain = chunks.select("doc_id", F.col("id").alias("chunk_id"), F.lag("id").over(order).alias("previous_id"), F.lead("id").over(order).alias("next_id"))
@@ -123,44 +167,66 @@ def expand(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: Data
     ranked = far.groupBy("doc_id", "chunk_id", "other").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy(F.desc("n"), "other"))).where(F.col("r") <= related)
     others = ranked.groupBy("doc_id", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x["other"]), " ").alias("related_ids"))
     out = base.join(per, ["doc_id", "chunk_id"], "left").join(number, ["doc_id", "chunk_id"], "left").join(others, ["doc_id", "chunk_id"], "left")
-    return out.select("chunk_id", "previous_id", "next_id", "entities", F.coalesce("edges", F.lit(0)).alias("edges"), "related_ids")
+    on = lambda flag, c: F.col(c) if flag else F.lit(None).cast("string").alias(c)
+    number = F.coalesce("edges", F.lit(0)) if tied else F.lit(0).cast("bigint")
+    return out.select("chunk_id", on(along, "previous_id"), on(along, "next_id"), on(mentioned, "entities"), number.alias("edges"), on(tied, "related_ids"))
 
 
-def reach(edges: DataFrame, sources: DataFrame, max_hops: int = 6, target: str | None = None) -> DataFrame:
-    """(source, key, hops, parent): every node within ``max_hops`` undirected steps of each source, by levels.
+def reach(edges: DataFrame, sources: DataFrame, max_hops: int = 6, target: str | None = None, ways: bool = False) -> DataFrame:
+    """(source, key, hops, parent[, way]): every node within ``max_hops`` undirected steps of each source, by levels.
 
     ``edges`` has (a, b), ``sources`` (key). The parent of a node is the smallest of the level before;
     each level is a join of the frontier with the edges and an anti-join with what is known, written
     to the checkpoint folder, so the plan does not grow. The loop ends early when a level is empty or
-    the target is found.
+    the target is found. ``way`` are the keys from the source to the parent.
     """
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null and a <> b").distinct())
-    known = cut_lineage(sources.where("key is not null").select(F.col("key").alias("source"), "key", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")).distinct())
+    known = cut_lineage(sources.where("key is not null").select(F.col("key").alias("source"), "key", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("way")).distinct())
     for hop in range(1, max(1, min(20, max_hops)) + 1):
-        step = known.where(F.col("hops") == hop - 1).join(both, F.col("key") == F.col("a")).groupBy("source", F.col("b").alias("key")).agg(F.min("a").alias("parent"))
-        fresh = cut_lineage(step.join(known, ["source", "key"], "left_anti").select("source", "key", F.lit(hop).alias("hops"), "parent"))
+        met = known.where(F.col("hops") == hop - 1).join(both, F.col("key") == F.col("a"))
+        on = F.concat("way", F.array("key")) if ways else F.col("way")  # empty where ways are not asked for
+        step = met.groupBy("source", F.col("b").alias("key")).agg(F.min(F.struct("a", on.alias("way"))).alias("from"))
+        fresh = cut_lineage(step.join(known, ["source", "key"], "left_anti").select("source", "key", F.lit(hop).alias("hops"), F.col("from.a").alias("parent"), "from.way"))
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
         if target is not None and not fresh.where(F.col("key") == target).isEmpty():
             break
-    return known
+    return known if ways else known.drop("way")
 
 
 def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 6) -> DataFrame:
-    """(hop, key) along the shortest path from start to end; no rows if there is none, or if both are one."""
+    """(hop, key) along the shortest path from start to end; no rows if there is none, or if both are one.
+
+    Each node found carries the keys on the way to it (``max_hops`` at most), so the path of the end is read off its row.
+    """
     spark = edges.sparkSession
-    empty = spark.createDataFrame([], "hop int, key string")
     if start == end:
-        return empty
-    tree = reach(edges, spark.createDataFrame([(start,)], "key string"), max_hops, end)
-    here = tree.where(F.col("key") == end)
-    steps = []
-    row = here.first()
-    while row is not None:
-        steps.append((row["hops"], row["key"]))
-        row = tree.where((F.col("key") == row["parent"]) & (F.col("hops") == row["hops"] - 1)).first() if row["parent"] is not None else None
-    return spark.createDataFrame(sorted(steps), "hop int, key string") if steps else empty
+        return spark.createDataFrame([], "hop int, key string")
+    tree = reach(edges, spark.createDataFrame([(start,)], "key string"), max_hops, end, ways=True)
+    return tree.where(F.col("key") == end).select(F.posexplode(F.concat("way", F.array("key"))).alias("hop", "key"))
+
+
+def path_steps(path: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(hop, here, predicate, forward, there, here_year, there_year, here_is_work) between the keys of ``path`` (hop, key).
+
+    Of several edges between two keys one of a credit counts first, then the smallest predicate; a step against the edge's
+    direction is not forward. Names come from ``entities``, a key without one stands for itself; only films have years.
+    """
+    ends = path.select("hop", F.col("key").alias("a")).join(path.select((F.col("hop") - 1).alias("hop"), F.col("key").alias("b")), "hop")
+    both = undirected(edges).select(F.col("here").alias("a"), F.col("there").alias("b"), "predicate", "forward")
+    credit = (~F.col("predicate").isin(CREDITS_OUT + CREDITS_BACK)).cast("int").alias("c")
+    tied = both.join(F.broadcast(ends), ["a", "b"]).groupBy("hop", "a", "b").agg(F.min(F.struct(credit, "predicate", F.col("forward").alias("f"))).alias("e"))
+    name = lambda c: entities.select(F.col("key").alias(c), F.col("name").alias(f"{c}_name"), F.when(F.col("type") == "Film", F.col("year")).alias(f"{c}_year"), F.col("type").isin("Film", "TVSeries").alias(f"{c}_work")).dropDuplicates([c])
+    told = tied.join(name("a"), "a", "left").join(name("b"), "b", "left")
+    return told.select((F.col("hop") + 1).alias("hop"), F.coalesce("a_name", "a").alias("here"), F.col("e.predicate").alias("predicate"), F.col("e.f").alias("forward"), F.coalesce("b_name", "b").alias("there"), F.col("a_year").alias("here_year"), F.col("b_year").alias("there_year"), F.coalesce("a_work", F.lit(False)).alias("here_is_work"))
+
+
+def told_path(steps: DataFrame) -> DataFrame:
+    """(narrative) of :func:`path_steps`, one row."""
+    inner = [c for c in steps.columns if c != "hop"]
+    ordered = F.array_sort(F.collect_list(F.struct("hop", F.struct(*inner).alias("s"))))
+    return steps.agg(F.transform(ordered, lambda x: x["s"]).alias("steps")).where("size(steps) > 0").select(narrative(F.col("steps")).alias("narrative"))
 
 
 def narrative(steps: Column) -> Column:
@@ -183,6 +249,12 @@ def snapshot(edges: DataFrame, limit: int = 400, min_confidence: float = 0.6, de
     return shown.withColumn("total", live.agg(F.count("*")).scalar()).withColumn("truncated", F.col("total") > limit)
 
 
+def snapshot_nodes(shown: DataFrame, entities: DataFrame) -> DataFrame:
+    """The entities that the edges of a snapshot touch."""
+    ends = shown.select("doc_id", F.col("subject").alias("key")).unionByName(shown.select("doc_id", F.col("object").alias("key"))).distinct()
+    return entities.join(ends, ["doc_id", "key"], "left_semi")
+
+
 def find_entities(entities: DataFrame, kind: str | None = None, part: str | None = None, limit: int = 100) -> DataFrame:
     """Entities of a type whose name contains a text, whatever the case; most mentioned first, then by name."""
     out = entities

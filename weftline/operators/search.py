@@ -7,12 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import basic_tokens, folded, is_search_token, query_tokens, raw_tokens, years_in
+from weftline.functions.text import basic_tokens, folded, is_search_token, query_tokens, raw_tokens, search_tokens, years_in
 from weftline.functions.vectors import cosine, fused_score
+from weftline.plans.runtime import cut_lineage
 
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Distinct terms of a batch of questions up to which they are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Distinct terms up to which they are written into the plan and looked for while the texts are read.
+LITERAL_TERMS = 1_000
 #: Query vectors up to which they are broadcast.
 BROADCAST_QUERIES = 10_000
 FILTER_FIELDS = ("year", "year_from", "year_to", "doctype", "subject", "studio")
@@ -78,17 +81,26 @@ def bm25(texts: DataFrame, questions: DataFrame, key: str = "id", text: str = "t
     asked = questions.select("question_id", *(["scope"] if scopes is not None else []), F.explode(query_tokens(F.col("question"))).alias("term"))
     wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
     small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # a batch of questions may be any size
-    flagged = term_rows(texts, key, text).join(F.broadcast(wanted) if small else wanted, "term", "left")
-    per = flagged.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
-    whole = F.sum("tf").over(Window.partitionBy(key)).alias("length")
-    tf = per.select(key, "term", "tf", whole).where("term is not null")
+    few = [r[0] for r in wanted.select("term").limit(LITERAL_TERMS + 1).collect()]
+    if len(few) <= LITERAL_TERMS:  # counted where the text is read: only the questions' terms become rows
+        tokens = texts.select(key, search_tokens(F.col(text)).alias("__ts"))
+        per = tokens.select(key, F.size("__ts").alias("length"), F.explode_outer(F.filter("__ts", lambda t: t.isin(few))).alias("term"))
+        per = cut_lineage(per.groupBy(key, "term").agg(F.sum(F.when(F.col("term").isNotNull(), 1).otherwise(0)).alias("tf"), F.first("length").alias("length")))
+        tf = per.where("term is not null").select(key, "term", "tf", "length")
+        sizes = per.groupBy(key).agg(F.first("length").alias("length")).where("length > 0")
+    else:
+        flagged = term_rows(texts, key, text).join(F.broadcast(wanted) if small else wanted, "term", "left")
+        per = flagged.groupBy(key, F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf"))
+        whole = F.sum("tf").over(Window.partitionBy(key)).alias("length")
+        tf = per.select(key, "term", "tf", whole).where("term is not null")
+        sizes = per.groupBy(key).agg(F.sum("tf").alias("length"))
     if scopes is None:
-        counted = per.agg(F.sum("tf")).scalar()
+        counted = sizes.agg(F.sum("length")).scalar()
         size = texts.agg(F.struct(F.count("*").alias("n"), F.count(text).alias("known"))).scalar()
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         scored = tf.join(asked, "term").join(df, "term").withColumn("size", size).withColumn("n", F.col("size.n")).withColumn("mean", counted / F.col("size.known"))
     else:
-        known = texts.select(key, F.col(text).isNotNull().alias("known")).join(per.groupBy(key).agg(F.sum("tf").alias("length")), key, "left")
+        known = texts.select(key, F.col(text).isNotNull().alias("known")).join(sizes, key, "left")
         size = scopes.join(known, key).groupBy("scope").agg(F.count("*").alias("n"), (F.sum("length") / F.count_if("known")).alias("mean"))
         inside = tf.join(scopes, key)
         df = inside.groupBy("scope", "term").agg(F.count("*").alias("df"))
@@ -151,6 +163,20 @@ def lexical_rerank(candidates: DataFrame, key: str = "id") -> DataFrame:
     return done.drop("__q", "__t")
 
 
+def parts_named(q: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(question_id, column): the distinct values of a column that stand, in lower case, in the lower-case question ``q`` (question_id, q).
+
+    The parts of each question of the lengths that values have are joined to the values: the work grows with
+    the questions, not with questions times values.
+    """
+    values = rows.where(F.length(column) > 0).select(column).distinct().withColumn("__part", F.lower(column))
+    sizes = values.agg(F.collect_set(F.length("__part"))).scalar()
+    cut = q.select("question_id", "q", F.explode(sizes).alias("__n")).where("__n <= length(q)")
+    at = F.sequence(F.lit(1), F.length("q") - F.col("__n") + 1)
+    parts = cut.select("question_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("q", i, F.col("__n"))))).alias("__part"))
+    return parts.join(values, "__part").select("question_id", column)
+
+
 def inferred_filters(questions: DataFrame, sections: DataFrame, hints: list[tuple[str, str]] | None = None) -> DataFrame:
     """(question_id, year, year_from, year_to, doctype, subject, studio) as the question's words suggest.
 
@@ -163,16 +189,15 @@ def inferred_filters(questions: DataFrame, sections: DataFrame, hints: list[tupl
     years = years_in(F.col("question"))
     q = questions.select("question_id", low.alias("q"), years.alias("ys"))
     base = q.select("question_id", F.when(F.size("ys") == 1, F.col("ys")[0]).alias("year"), F.when(F.size("ys") > 1, F.array_min("ys")).alias("year_from"), F.when(F.size("ys") > 1, F.array_max("ys")).alias("year_to"))
-    spark = questions.sparkSession
-    told = spark.createDataFrame([(i, p, d) for i, (p, d) in enumerate(hints or DOCTYPE_HINTS)], "place int, phrase string, wanted string")
-    kinds = sections.where("doctype is not null").select("doctype").distinct()
+    told = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(p).alias("phrase"), F.lit(d).alias("wanted")) for i, (p, d) in enumerate(hints or DOCTYPE_HINTS)])
     own = F.lower("doctype")
-    fit = F.when(own == F.col("wanted"), 0).when(F.contains(own, F.col("wanted")), 1).when(F.contains(F.col("wanted"), own), 2)
-    offered = told.join(kinds, fit.isNotNull()).withColumn("fit", fit)
-    kind = q.join(offered, F.contains("q", F.col("phrase"))).groupBy("question_id").agg(F.min(F.struct("place", "fit", "doctype"))["doctype"].alias("doctype"))
-    named = lambda c: q.join(sections.where(F.length(c) > 0).select(c).distinct(), F.contains("q", F.lower(c)))
-    subject = named("subject").groupBy("question_id").agg(F.max_by("subject", F.struct(F.length("subject"), "subject")).alias("subject"))
-    studio = named("studio").groupBy("question_id").agg(F.min("studio").alias("studio"))
+    fit = lambda w: F.when(own == w, 0).when(F.contains(own, w), 1).when(F.contains(w, own), 2)
+    kinds = sections.where("doctype is not null").select("doctype").distinct().select("doctype", F.explode(F.filter(told, lambda h: fit(h["wanted"]).isNotNull())).alias("h"))
+    offered = kinds.select(F.col("h.place").alias("place"), fit(F.col("h.wanted")).alias("fit"), "doctype")
+    asked = q.select("question_id", F.explode(F.filter(told, lambda h: F.contains("q", h["phrase"]))).alias("h")).select("question_id", F.col("h.place").alias("place"))
+    kind = asked.join(offered, "place").groupBy("question_id").agg(F.min(F.struct("place", "fit", "doctype"))["doctype"].alias("doctype"))
+    subject = parts_named(q, sections, "subject").groupBy("question_id").agg(F.max_by("subject", F.struct(F.length("subject"), "subject")).alias("subject"))
+    studio = parts_named(q, sections, "studio").groupBy("question_id").agg(F.min("studio").alias("studio"))
     known = sections.where("year is not null").groupBy("subject").agg(F.collect_set("year").alias("known"))
     out = base.join(kind, "question_id", "left").join(subject, "question_id", "left").join(studio, "question_id", "left").join(known, "subject", "left")
     fits = F.col("known").isNull() | F.coalesce(F.array_contains("known", F.col("year")), F.lit(True))

@@ -64,18 +64,17 @@ def stage_options(stage: int, base: AskOptions | None = None) -> AskOptions:
 
 #: What the router makes of a class of question: options that differ from the stage's.
 ROUTES = {
-    "simple": {"agentic": False, "graph": "none"},
-    "figure": {"hybrid": True, "rerank": False, "graph": "none"},
+    "lookup": {"agentic": False, "graph": "none"},
     "relational": {"graph": "expand", "agentic": False},
-    "multi_part": {"agentic": True, "graph": "expand"},
     "path": {"graph": "path", "agentic": False, "rerank": False, "hybrid": False},
-    "aggregate": {"graph": "aggregate", "agentic": False},
+    "aggregation": {"graph": "aggregate", "agentic": False},
+    "multi_part": {"agentic": True, "graph": "expand"},
 }
 
 
-def routed(options: AskOptions, kind: str) -> AskOptions:
-    """Options for a class of question; an unknown class changes nothing."""
-    return replace(options, **ROUTES.get(kind, {})) if options.router else options
+def routed(options: AskOptions, kind: str | None) -> AskOptions:
+    """Options for a class of question, whatever its case; an unknown class counts as lookup, null (no answer of the router) changes nothing."""
+    return replace(options, **ROUTES.get(kind.lower(), ROUTES["lookup"])) if options.router and kind is not None else options
 
 
 def rewritten(questions: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -126,10 +125,11 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
         return _retrieved(questions, chunks, vectors, o, inputs)
     told = inputs.kinds.groupBy("question_id").agg(F.min("kind").alias("__kind"))
     q = questions.join(told, "question_id", "left")
-    q = q.withColumn("__kind", F.when(F.col("__kind").isin(list(ROUTES)), F.col("__kind")).otherwise(""))
+    known = F.when(F.lower("__kind").isin(list(ROUTES)), F.lower("__kind")).otherwise("lookup")
+    q = q.withColumn("__kind", F.when(F.col("__kind").isNotNull(), known))
     out = None
-    for k in sorted(r[0] for r in q.select("__kind").distinct().collect()):
-        got = cut_lineage(_retrieved(q.where(F.col("__kind") == k).drop("__kind"), chunks, vectors, routed(o, k), inputs))
+    for k in sorted((r[0] for r in q.select("__kind").distinct().collect()), key=lambda k: k or ""):
+        got = cut_lineage(_retrieved(q.where(F.col("__kind").eqNullSafe(k)).drop("__kind"), chunks, vectors, routed(o, k), inputs))
         out = got if out is None else out.unionByName(got)
     return out if out is not None else _retrieved(questions, chunks, vectors, o, inputs)
 

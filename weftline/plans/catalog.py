@@ -26,7 +26,7 @@ QUESTIONS = [
 ]
 #: Written for the questions above in place of what a model would answer as planner and as router.
 SEARCHES = [(3, 1, "Who directed the silent lighthouse?"), (3, 2, "Who won the Orrin Medal for editing?"), (4, 1, "title record of 2005 by the studio"), (4, 2, "title record of 2011 by the studio")]
-KINDS = [(1, "relational"), (2, "simple"), (3, "multi_part"), (4, "multi_part")]
+KINDS = [(1, "relational"), (2, "lookup"), (3, "multi_part"), (4, "multi_part")]
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 Q_SQL = "(values " + ", ".join(f"({i}, '{q}', {v})" for i, q, v in QUESTIONS) + ") as t(question_id, question, vec_id)"
 
