@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.plans.runtime import cut_lineage
 
-#: Persons of a work up to which one row holds its cast, and the blocks that larger ones are dealt to.
-CAST = 64
+#: Persons of a work up to which they meet in one task, and the blocks that larger ones are dealt to.
+CAST, CAST_BLOCKS = 2048, 64
 #: Predicates that tie a person to a work; the first five run from person to work, the others back.
 CREDITS_OUT = ["ACTED_IN", "DIRECTED", "WROTE", "PRODUCED", "COMPOSED_FOR"]
 CREDITS_BACK = ["SHOT_BY", "EDITED_BY"]
@@ -120,23 +120,27 @@ def endpoints(questions: DataFrame, entities: DataFrame, kind: str = "Person") -
 def collaborations(edges: DataFrame, entities: DataFrame, least: int = 1, out: list[str] | None = None, back: list[str] | None = None, kind: str = "Person") -> DataFrame:
     """(doc_id, a, b, shared, titles): pairs of persons with works in common, a < b; all confidences count.
 
-    The pairs of a work are made from its cast, without a join; a work of more than CAST persons is dealt to
-    blocks of them, so it fills no task. Titles are the five smallest.
+    The pairs meet on the work; a work of more than CAST persons is dealt to CAST_BLOCKS blocks of them, so it
+    fills no task. Titles are the five smallest.
     """
     out, back = CREDITS_OUT if out is None else out, CREDITS_BACK if back is None else back
     tied = edges.where(F.col("predicate").isin(out)).select("doc_id", F.col("subject").alias("who"), F.col("object").alias("work"))
     tied = tied.unionByName(edges.where(F.col("predicate").isin(back)).select("doc_id", F.col("object").alias("who"), F.col("subject").alias("work"))).distinct()
     people = entities.where(F.col("type") == kind).select("doc_id", F.col("key").alias("who"))
-    tied = tied.join(people, ["doc_id", "who"], "left_semi")
+    tied = cut_lineage(tied.join(people, ["doc_id", "who"], "left_semi"))
     work = entities.select("doc_id", F.col("key").alias("work"), F.col("name").alias("title"))
     title = work.groupBy("doc_id", "work").agg(F.min("title").alias("title"))
-    large = tied.groupBy("doc_id", "work").agg(F.count("*").alias("n")).where(F.col("n") > CAST).select("doc_id", "work")
-    casts = tied.join(large, ["doc_id", "work"], "left_anti").groupBy("doc_id", "work").agg(F.array_sort(F.collect_list("who")).alias("cast")).where("size(cast) > 1").join(title, ["doc_id", "work"], "left")
-    some = casts.select("doc_id", "title", F.posexplode("cast").alias("i", "a"), "cast").select("doc_id", "title", "a", F.explode(F.slice("cast", F.col("i") + 2, F.size("cast"))).alias("b"))
-    hub = tied.join(large, ["doc_id", "work"], "left_semi").withColumn("block", F.pmod(F.xxhash64("who"), F.lit(CAST)).cast("int"))
-    dealt = hub.join(title, ["doc_id", "work"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(CAST - 1))))
-    many = dealt.select("doc_id", "work", "title", F.col("who").alias("a"), "block", "other").join(hub.select("doc_id", "work", F.col("who").alias("b"), F.col("block").alias("other")), ["doc_id", "work", "other"]).where("a < b").select("doc_id", "title", "a", "b")
-    shared = some.unionByName(many).groupBy("doc_id", "a", "b").agg(F.count("*").alias("shared"), titles("title", 5).alias("titles"))
+    met = tied.groupBy("doc_id", "work").agg(F.count("*").alias("n")).where("n > 1").join(title, ["doc_id", "work"], "left")
+    met = cut_lineage(met)
+    few = tied.join(met.where(F.col("n") <= CAST), ["doc_id", "work"]).select("doc_id", "work", "title", F.col("who").alias("a"))
+    pairs = few.join(few.select("doc_id", "work", F.col("a").alias("b")), ["doc_id", "work"]).where("a < b").select("doc_id", "title", "a", "b")
+    large = met.where(F.col("n") > CAST)
+    if not large.isEmpty():
+        hub = tied.join(large.select("doc_id", "work", "title"), ["doc_id", "work"]).withColumn("block", F.pmod(F.xxhash64("who"), F.lit(CAST_BLOCKS)).cast("int"))
+        dealt = hub.select("doc_id", "work", "title", F.col("who").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(CAST_BLOCKS - 1))).alias("block"))
+        many = dealt.join(hub.select("doc_id", "work", "block", F.col("who").alias("b")), ["doc_id", "work", "block"]).where("a < b")
+        pairs = pairs.unionByName(many.select("doc_id", "title", "a", "b"))
+    shared = pairs.groupBy("doc_id", "a", "b").agg(F.count("*").alias("shared"), titles("title", 5).alias("titles"))
     return shared.where(F.col("shared") >= least)
 
 
