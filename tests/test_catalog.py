@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
-from weftline.plans import catalog
+from weftline.plans import catalog, pipeline_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))

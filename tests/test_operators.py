@@ -338,6 +338,27 @@ def test_scores_without_a_model_are_halved(spark):
     assert {r.id: r.score for r in search.with_fallback(d).collect()} == {"a": 0.5, "b": 0.9, "c": 0.0}
 
 
+def test_payloads_hits_and_lists(spark):
+    held = spark.createDataFrame([("c1", "d", "s1", 2001, 5, "t"), ("c2", "d", None, None, 6, None)], "id string, doc_id string, section_id string, year int, seq int, text string")
+    for c in ("doctype", "subject", "studio", "market", "page", "entity_keys"):
+        held = held.withColumn(c, F.lit(None).cast("string"))
+    stored = search.payloads(held, spark.createDataFrame([("s1", "One")], "id string, heading string"))
+    assert len(stored.columns) == 12 and {(r.chunk_id, r.section) for r in stored.collect()} == {("c1", "One"), ("c2", None)}
+    hits = spark.createDataFrame([(1, "c1", 1, 0.5), (1, "gone", 2, 0.4)], "question_id int, chunk_id string, rank int, score double")
+    assert [(r.chunk_id, r.section, r.score) for r in search.retrieved(hits, stored).collect()] == [("c1", "One", 0.5)]
+    runs = spark.createDataFrame([("a", 1), ("b", 3), ("c", 3), ("d", None)], "id string, started int")
+    assert [r.id for r in search.newest(runs, "started", "id", 3).collect()] == ["b", "c", "a"] and search.newest(runs, "started", "id").count() == 4
+
+
+def test_hops_can_be_switched_off(spark):
+    own = spark.createDataFrame([("d", "c1", "fixed", 1), ("d", "c2", "fixed", 2)], "doc_id string, id string, strategy string, strategy_ordinal int")
+    said = spark.createDataFrame([("d", "c1", "x"), ("d", "c2", "y")], "doc_id string, chunk_id string, entity_key string")
+    tie = spark.createDataFrame([("d", "x", "P", "y", 0.9, False)], "doc_id string, subject string, predicate string, object string, confidence double, derived boolean")
+    seeds = own.where("id = 'c1'").select(F.col("id").alias("chunk_id"))
+    assert tuple(graph.expand(seeds, own, said, tie).first()) == ("c1", None, "c2", "x", 1, "c2")
+    assert tuple(graph.expand(seeds, own, said, tie, along=False, mentioned=False, tied=False).first()) == ("c1", None, None, None, 0, None)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id string, text string")
     q = spark.createDataFrame([(1, "anything at all")], "question_id int, question string")

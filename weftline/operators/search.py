@@ -225,6 +225,23 @@ def page(rows: DataFrame, order: list[str], skip: int = 0, take: int = 50) -> Da
     return rows.orderBy(*order).offset(max(0, skip)).limit(min(500, max(1, take)))
 
 
+def payloads(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """What is stored beside a chunk's vector: the chunk's own fields and the heading of its section, twelve in all; chunks without a section have a null one."""
+    named = chunks.join(sections.select(F.col("id").alias("section_id"), F.col("heading").alias("section")), "section_id", "left")
+    return named.select(F.col("id").alias("chunk_id"), "doc_id", "section", "doctype", "subject", "year", "studio", "market", "page", "seq", "text", "entity_keys")
+
+
+def retrieved(hits: DataFrame, payload: DataFrame) -> DataFrame:
+    """Hits (question_id, chunk_id, rank, score) with the payload of their chunk; hits without one are left out."""
+    return hits.select("question_id", "chunk_id", "rank", "score").join(payload, "chunk_id")
+
+
+def newest(rows: DataFrame, by: str, key: str, limit: int | None = None) -> DataFrame:
+    """Rows with the latest time first, ties by key; the first ``limit`` of them where one is given (lists of documents, of runs)."""
+    ordered = rows.orderBy(F.desc(by), key)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def with_fallback(scored: DataFrame) -> DataFrame:
     """score from (question_id, lexical, model): the model's in 0..1, else half the lexical share of the question's best."""
     best = F.max("lexical").over(Window.partitionBy("question_id"))

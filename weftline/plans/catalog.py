@@ -243,7 +243,7 @@ def section_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     embed = hash_embedder(64)
-    return table(spark, d, "documents").select("doc_id", embed(X.search_tokens(F.coalesce("text", F.lit("")))).alias("vector"))
+    return table(spark, d, "documents").select("doc_id", embed(X.basic_tokens(X.folded(F.coalesce("text", F.lit(""))))).alias("vector"))
 
 
 # Names and grounding
@@ -545,10 +545,10 @@ def regressions(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.regressions(cells, "doc_id", "answer_id").select("answer_id", "doc_id")
 
 
-@query("""select stage, """ + ", ".join(f"round(avg(case when chat_calls = {k} then (not refused)::int end), 2) as calls_{k}" for k in range(4)) + """ from (select distinct answer_id, stage, chat_calls, refused from generated_answers) group by stage""")
+@query("""select stage, """ + ", ".join(f"round_even(avg(case when chat_calls = {k} then (not refused)::int end), 3) as calls_{k}" for k in range(4)) + """ from (select distinct answer_id, stage, chat_calls, refused from generated_answers) group by stage""")
 def heatmap(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "generated_answers").select("answer_id", "stage", "chat_calls", (~F.col("refused")).alias("pass")).distinct()
-    wide = cells.groupBy("stage").pivot("chat_calls", [0, 1, 2, 3]).agg(F.round(F.avg(F.col("pass").cast("double")), 2))
+    wide = evaluation.heatmap(cells, "stage", "chat_calls", [0, 1, 2, 3])
     return wide.select("stage", *[F.col(str(k)).alias(f"calls_{k}") for k in range(4)])
 
 
