@@ -60,6 +60,18 @@ def test_many_queries_meet_every_vector(spark, monkeypatch):
     assert {tuple(r) for r in search.vector_scores(v, q, salts=4).collect()} == few and len(few) == 150
 
 
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_best_vectors_with_ties_zeros_and_widths(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", most)
+    rows = [(f"v{i}", [1.0, float(i % 3)]) for i in range(40)] + [("zero", [0.0, 0.0]), ("null", None), ("wide", [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    held = spark.createDataFrame(rows, "id string, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [-1.0, 0.0])], "question_id int, vector array<double>")
+    got = {}
+    for r in search.vector_top(held, asked, 3, digits=6).orderBy("rank").collect():
+        got.setdefault(r.question_id, []).append((r.id, r.score))
+    assert got == {1: [("v0", 1.0), ("v12", 1.0), ("v15", 1.0)], 2: [("wide", 1.0)], 4: [("zero", 0.0), ("v11", -0.447214), ("v14", -0.447214)]}
+
+
 def test_filters_follow_the_question(spark):
     s = spark.createDataFrame([("title-record", "Fantastic Four", 2005, None), ("title-record", "Fantastic Four", 2015, None), ("box-office-record", "Endgame", 2019, None)], "doctype string, subject string, year int, studio string")
     q = spark.createDataFrame([(1, "Who directed Fantastic Four (2015)?"), (2, "What was the box office of Endgame in 2005?")], "question_id int, question string")

@@ -276,6 +276,14 @@ def looks_factual(sentence: Column) -> Column:
     return (F.length(F.trim(bare)) >= 15) & (F.size(search_tokens(bare)) >= 3)
 
 
+def question_part(prompt: Column) -> Column:
+    """What follows the last line QUESTION of a prompt, or, without one, the last line ``### user``; else the whole prompt, trimmed."""
+    text = F.regexp_replace(prompt, "\r\n?", "\n")
+    after = lambda mark: F.split(text, rf"(?m)^[ \t]*{mark}[ \t]*$")
+    told = F.when(F.size(after("QUESTION")) > 1, F.element_at(after("QUESTION"), -1)).otherwise(F.element_at(after("### user"), -1))
+    return F.regexp_replace(told, r"^\s+|\s+$", "")
+
+
 def is_refusal(answer: Column, phrase: str = REFUSAL_TEXT) -> Column:
     """Whether the answer is the agreed refusal, whatever its case and final dots."""
     return F.coalesce(F.trim(F.lower(F.rtrim(F.trim(answer), F.lit(".")))) == phrase, F.lit(False))

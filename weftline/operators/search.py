@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from weftline.functions.text import basic_tokens, folded, is_search_token, query_tokens, raw_tokens, search_tokens, years_in
 from weftline.functions.vectors import cosine, fused_score
@@ -133,6 +137,56 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "id", salts
     return both.select("question_id", key, cosine(F.col("__q"), F.col("__v")).alias("score"))
 
 
+def _best_in_batches(asked: dict[int, tuple[list, np.ndarray]], k: int, digits: int | None, kind: pa.DataType):
+    """Per batch and question the k best rows; ``asked`` holds question ids and unit vectors by width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for width, (ids, q) in asked.items():
+                rows = batch.take(pa.array(np.flatnonzero(sizes == width)))
+                if not rows.num_rows:
+                    continue
+                x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+                size = np.linalg.norm(x, axis=1)
+                score = q @ np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0).T
+                score = score if digits is None else np.round(score, digits) + 0.0
+                order = np.argsort(np.array(rows.column(0).to_pylist(), dtype=object), kind="stable")
+                m = min(k, len(order))
+                kth = np.partition(score, len(order) - m, axis=1)[:, len(order) - m]
+                at, hit = np.nonzero(score[:, order] >= kth[:, None])
+                hit = order[hit]
+                best = np.lexsort((np.arange(len(at)), -score[at, hit], at))
+                at, hit = at[best], hit[best]
+                kept = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) < m)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at[kept]], kind), rows.column(0).take(pa.array(hit[kept])), pa.array(score[at[kept], hit[kept]])], ["question_id", batch.schema.names[0], "score"])
+
+    return run
+
+
+def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", digits: int | None = None) -> DataFrame:
+    """(question_id, key, score, rank): the k vectors of largest cosine for each question; equal scores go to the smaller key.
+
+    Up to ``BROADCAST_QUERIES`` questions are multiplied with each batch of the collection and only the best k of a batch
+    go on, so rows do not grow with questions times vectors; more are scored by :func:`vector_scores`. Scores are rounded
+    to ``digits`` before they are ranked. Nulls and other widths have no score, zero vectors 0; null keys are left out.
+    """
+    asked = queries.where("vector is not null and question_id is not null").select("question_id", F.transform("vector", lambda x: x.cast("double")).alias("v")).where("size(v) > 0")
+    rows = asked.limit(BROADCAST_QUERIES + 1).collect()
+    base = vectors.where(F.col(key).isNotNull())
+    if len(rows) > BROADCAST_QUERIES:
+        scored = vector_scores(base, queries, key)
+        return top_k(scored if digits is None else scored.withColumn("score", F.round("score", digits)), k, key)
+    held: dict[int, tuple[list, list]] = {}
+    for r in rows:
+        ids, own = held.setdefault(len(r[1]), ([], []))
+        ids.append(r[0])
+        own.append(np.nan_to_num(np.array([x or 0.0 for x in r[1]])))
+    sized = {w: (ids, np.stack([v / (np.linalg.norm(v) or 1.0) for v in own])) for w, (ids, own) in held.items()}
+    kinds = f"question_id {queries.schema['question_id'].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
+    return top_k(base.select(key, "vector").mapInArrow(_best_in_batches(sized, k, digits, to_arrow_type(queries.schema["question_id"].dataType)), kinds), k, key)
+
+
 def fuse(first: DataFrame, second: DataFrame, key: str = "id", k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked arms (question_id, key, rank): score, arm and both ranks.
 

@@ -18,17 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-QUESTIONS = [
-    (1, "Which studio distributed the film in how many territories?", 0),
-    (2, "Worldwide takings reached LKR 2,863,630 in the first year", 100),
-    (3, "Who directed the silent lighthouse and won the Orrin Medal for editing?", 200),
-    (4, "What was the title record of 2005 and 2011 by the studio?", 300),
-]
-#: Written for the questions above in place of what a model would answer as planner and as router.
-SEARCHES = [(3, 1, "Who directed the silent lighthouse?"), (3, 2, "Who won the Orrin Medal for editing?"), (4, 1, "title record of 2005 by the studio"), (4, 2, "title record of 2011 by the studio")]
-KINDS = [(1, "relational"), (2, "lookup"), (3, "multi_part"), (4, "multi_part")]
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
-Q_SQL = "(values " + ", ".join(f"({i}, '{q}', {v})" for i, q, v in QUESTIONS) + ") as t(question_id, question, vec_id)"
+#: The questions of every hundredth answer, each with a vector of the embeddings.
+Q_SQL = r"""(select question_id, regexp_replace(case when len(q) > 1 then q[-1] else u[-1] end, '^\s+|\s+$', '', 'g') as question, question_id % 500 as vec_id
+from (select distinct answer_id as question_id, string_split_regex(p, '(?m)^[ \t]*QUESTION[ \t]*$') as q, string_split_regex(p, '(?m)^[ \t]*### user[ \t]*$') as u from (select answer_id, replace(replace(prompt, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as p from generated_answers where answer_id % 100 = 0))) as t"""
 
 
 def tokens_sql(column: str) -> str:
@@ -58,8 +51,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "question_id int, question string, vec_id bigint")
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """(question_id, question, vec_id) of the answers whose id is divisible by 100."""
+    asked = table(spark, d, "generated_answers").where("answer_id % 100 = 0")
+    return asked.select(F.col("answer_id").alias("question_id"), X.question_part(F.col("prompt")).alias("question"), (F.col("answer_id") % 500).alias("vec_id")).distinct()
 
 
 def chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -101,7 +96,7 @@ bm as (select question_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 @query(f"""with src as (select doc_id as id, text from documents), {BM25}
 select question_id, id as doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 6) desc, id) as rank from bm) where rank <= 10""")
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    scored = search.bm25(table(spark, d, "documents"), questions(spark), "doc_id").withColumn("score", F.round("score", 6))
+    scored = search.bm25(table(spark, d, "documents"), questions(spark, d), "doc_id").withColumn("score", F.round("score", 6))
     return search.top_k(scored, 10, "doc_id").select("question_id", "doc_id", "rank", "score")
 
 
@@ -111,8 +106,7 @@ join embeddings q on q.vec_id = qid join embeddings e on e.vec_id = bid where ra
 def vector_top(spark: SparkSession, d: str) -> DataFrame:
     every = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     asked = every.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "question_id")
-    scored = search.vector_scores(every, asked, "vec_id").withColumn("score", F.round("score", 6))
-    return search.top_k(scored, 10, "vec_id").select("question_id", "vec_id", "rank", "score")
+    return search.vector_top(every, asked, 10, "vec_id", 6).select("question_id", "vec_id", "rank", "score")
 
 
 HYBRID = f"""src as (select distinct id, text from chunks where strategy = 'recursive'), {BM25},
@@ -126,10 +120,10 @@ from (select * from va where r <= 50) va full join (select * from kw where r <=
 
 def arms(spark: SparkSession, d: str, wide: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = chunks(spark, d, "strategy", "text").where("strategy = 'recursive'")
-    asked = questions(spark).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    asked = questions(spark, d).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     vectors = table(spark, d, "vectors").where("vector is not null").select(F.col("chunk_id").alias("id"), "vector").distinct().join(own.select("id"), "id", "left_semi")
-    near = search.top_k(search.vector_scores(vectors, asked).withColumn("score", F.round("score", 6)), wide)
-    word = search.top_k(search.bm25(own, questions(spark)).withColumn("score", F.round("score", 6)), wide)
+    near = search.vector_top(vectors, asked, wide, digits=6)
+    word = search.top_k(search.bm25(own, questions(spark, d)).withColumn("score", F.round("score", 6)), wide)
     return own, near, word
 
 
@@ -146,7 +140,7 @@ f as (select question_id, id, rank, len(qs) as nq, list_sum(list_transform(qs, l
 select question_id, id, rank, rank_after, rank - rank_after as rank_change, rerank_score from (select *, row_number() over (partition by question_id order by rerank_score desc, rank) as rank_after from (select *, round(case when nq > 0 then gained * (0.5 + 0.5 * matched / nq) else 0 end, 6) as rerank_score from f))""")
 def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     own, near, word = arms(spark, d)
-    top = search.top_k(search.fuse(near, word), 20).select("question_id", "id", "rank").join(own.select("id", "text"), "id").join(questions(spark).select("question_id", "question"), "question_id")
+    top = search.top_k(search.fuse(near, word), 20).select("question_id", "id", "rank").join(own.select("id", "text"), "id").join(questions(spark, d).select("question_id", "question"), "question_id")
     done = search.lexical_rerank(top).withColumn("rerank_score", F.round("rerank_score", 6))
     again = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("rerank_score"), "rank"))
     done = done.withColumn("rank_after", again)
@@ -171,7 +165,7 @@ known as (select subject, list(distinct year) as known from sections where year
 select question_id, case when len(ys) = 1 and (known is null or list_contains(known, ys[1])) then ys[1] end as year, case when len(ys) > 1 then ys[1] end as year_from, case when len(ys) > 1 then ys[-1] end as year_to, doctype, subject, studio
 from q left join kind using (question_id) left join subj using (question_id) left join stud using (question_id) left join known using (subject)""")
 def filter_inference(spark: SparkSession, d: str) -> DataFrame:
-    return search.inferred_filters(questions(spark), table(spark, d, "sections"))
+    return search.inferred_filters(questions(spark, d), table(spark, d, "sections"))
 
 
 @query(f"select id, doc_id, seq from {CHUNKS} where strategy = 'recursive' order by doc_id, seq limit 50 offset 100")
@@ -590,16 +584,27 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return files.missing_from_cache(table(spark, d, "chunks"), table(spark, d, "embedding_cache"), "mini-lantern-64").select("hash")
 
 
+def replayed(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """In place of what models would answer: a class for each question in turn, and for every second two searches, its whole and its second half."""
+    turn = F.floor(F.col("question_id") / 100).cast("int")
+    kinds = asked.select("question_id", F.element_at(F.array(*map(F.lit, ask.ROUTES)), turn % len(ask.ROUTES) + 1).alias("kind"))
+    words = F.split("question", " ")
+    half = F.array_join(F.slice(words, F.floor(F.size(words) / 2).cast("int") + 1, F.size(words)), " ")
+    searches = asked.where(turn % 2 == 0).select("question_id", F.posexplode(F.array("question", half)).alias("i", "question"))
+    return kinds, searches.select("question_id", (F.col("i") + 1).alias("iteration"), "question")
+
+
 @query()
 def compared_stages(spark: SparkSession, d: str) -> DataFrame:
-    asked = questions(spark).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    asked = questions(spark, d).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     vectors = table(spark, d, "vectors").where("vector is not null").select(F.col("chunk_id").alias("id"), "vector").dropDuplicates(["id"])
     held = chunks(spark, d, "doc_id", "strategy", "strategy_ordinal", "start_char", "end_char", "text", "year", "doctype", "subject", "studio", "entity_keys")
     said = table(spark, d, "merge_decisions").where("lower(trim(decision)) = 'merge'").select("doc_id", F.col("left_key").alias("subject"), F.upper(F.trim("decision")).alias("predicate"), F.col("right_key").alias("object")).distinct()
+    told, planned = replayed(questions(spark, d))
     inputs = ask.Inputs(
         sections=table(spark, d, "sections"), glossary=spark.createDataFrame(ask.GLOSSARY, "phrase string, expansion string"),
         mentions=held.where(F.col("strategy") == ask.GRAPH_STRATEGY).select("doc_id", F.col("id").alias("chunk_id"), F.explode("entity_keys").alias("entity_key")),
         edges=said.withColumn("confidence", F.lit(1.0)).withColumn("derived", F.lit(False)),
-        searches=spark.createDataFrame(SEARCHES, "question_id int, iteration int, question string"), kinds=spark.createDataFrame(KINDS, "question_id int, kind string"),
+        searches=planned, kinds=told,
     )
     return ask.compare(asked, held.drop("entity_keys"), vectors, list(range(1, 12)), inputs)
