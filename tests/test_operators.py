@@ -1,11 +1,14 @@
 import hashlib
+import os
 import uuid
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.operators import chunking, evaluation, extraction, graph, resolve, search
+from weftline.plans import runtime
 from weftline.plans.ask import AskOptions, Inputs, cached_answers, compare, merged_searches, prompts, retrieve, rewritten, routed, stage_options
 from weftline.sources import files
 from weftline.streaming import ingest
@@ -362,6 +365,13 @@ def test_payloads_hits_and_lists(spark):
     assert [r.id for r in search.newest(runs, "started", "id", 3).collect()] == ["b", "c", "a"] and search.newest(runs, "started", "id").count() == 4
 
 
+def test_package_is_sent_as_an_archive(spark):
+    home = os.path.dirname(os.path.dirname(os.path.abspath(runtime.__file__)))
+    path = runtime.ship_package(spark, os.path.dirname(home))
+    names = zipfile.ZipFile(path.removeprefix("file:")).namelist()
+    assert "weftline/plans/runtime.py" in names and all(n.endswith(".py") for n in names)
+
+
 def test_hops_can_be_switched_off(spark):
     own = spark.createDataFrame([("d", "c1", "fixed", 1), ("d", "c2", "fixed", 2)], "doc_id string, id string, strategy string, strategy_ordinal int")
     said = spark.createDataFrame([("d", "c1", "x"), ("d", "c2", "y")], "doc_id string, chunk_id string, entity_key string")

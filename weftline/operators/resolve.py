@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,11 @@ def similar(a: dict, b: dict) -> bool:
     """Close spelling and close vectors."""
     if jaro_winkler_value(a["norm"], b["norm"]) < JARO_WINKLER or a["vector"] is None or b["vector"] is None:
         return False
-    x, y = pd.Series(a["vector"], dtype=float), pd.Series(b["vector"], dtype=float)
-    size = float((x * x).sum() ** 0.5 * (y * y).sum() ** 0.5)
-    return len(x) == len(y) and size > 0 and float((x * y).sum()) / size >= COSINE
+    x, y = np.asarray(a["vector"], float), np.asarray(b["vector"], float)
+    if len(x) != len(y):
+        return False
+    size = float(np.linalg.norm(x) * np.linalg.norm(y))
+    return size > 0 and float(x @ y) / size >= COSINE
 
 
 def verdict(a: dict, b: dict) -> str:

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+PACKAGE = __name__.split(".")[0]
+
+
 def share_package(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import the package from where the driver has it."""
+    """Lets Python workers import the package: from where the driver has it on this machine, on a cluster from an archive sent to them."""
+    sc = spark.sparkContext
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    known = spark.sparkContext.environment
+    known = sc.environment
     if home not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(filter(None, [home, known.get("PYTHONPATH", "")]))
+        if not sc.master.startswith("local"):
+            ship_package(spark, home)
+
+
+def ship_package(spark: SparkSession, home: str) -> str:
+    """Writes the package's sources as an archive to the checkpoint folder, which all machines share, and adds it to the job; gives its path."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(home, PACKAGE)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, home))
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/{PACKAGE}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    return path.toString()
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
