@@ -51,9 +51,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    """(question_id, question, vec_id) of the answers whose id is divisible by 100."""
-    asked = table(spark, d, "generated_answers").where("answer_id % 100 = 0")
+def questions(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    """(question_id, question, vec_id) of the answers whose id is divisible by ``every``."""
+    asked = table(spark, d, "generated_answers").where(F.col("answer_id") % every == 0)
     return asked.select(F.col("answer_id").alias("question_id"), X.question_part(F.col("prompt")).alias("question"), (F.col("answer_id") % 500).alias("vec_id")).distinct()
 
 
@@ -95,8 +95,8 @@ bm as (select question_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 
 @query(f"""with src as (select doc_id as id, text from documents), {BM25}
 select question_id, id as doc_id, rank, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 6) desc, id) as rank from bm) where rank <= 10""")
-def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    scored = search.bm25(table(spark, d, "documents"), questions(spark, d), "doc_id").withColumn("score", F.round("score", 6))
+def bm25_top(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    scored = search.bm25(table(spark, d, "documents"), questions(spark, d, every), "doc_id").withColumn("score", F.round("score", 6))
     return search.top_k(scored, 10, "doc_id").select("question_id", "doc_id", "rank", "score")
 
 
@@ -595,12 +595,12 @@ def replayed(asked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 @query()
-def compared_stages(spark: SparkSession, d: str) -> DataFrame:
-    asked = questions(spark, d).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+def compared_stages(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
+    asked = questions(spark, d, every).join(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     vectors = table(spark, d, "vectors").where("vector is not null").select(F.col("chunk_id").alias("id"), "vector").dropDuplicates(["id"])
     held = chunks(spark, d, "doc_id", "strategy", "strategy_ordinal", "start_char", "end_char", "text", "year", "doctype", "subject", "studio", "entity_keys")
     said = table(spark, d, "merge_decisions").where("lower(trim(decision)) = 'merge'").select("doc_id", F.col("left_key").alias("subject"), F.upper(F.trim("decision")).alias("predicate"), F.col("right_key").alias("object")).distinct()
-    told, planned = replayed(questions(spark, d))
+    told, planned = replayed(questions(spark, d, every))
     inputs = ask.Inputs(
         sections=table(spark, d, "sections"), glossary=spark.createDataFrame(ask.GLOSSARY, "phrase string, expansion string"),
         mentions=held.where(F.col("strategy") == ask.GRAPH_STRATEGY).select("doc_id", F.col("id").alias("chunk_id"), F.explode("entity_keys").alias("entity_key")),
