@@ -20,6 +20,8 @@ K1, B, RRF_K = 1.5, 0.75, 60
 BROADCAST_TERMS = 100_000
 #: Distinct terms up to which they are written into the plan and looked for while the texts are read.
 LITERAL_TERMS = 1_000
+#: Scores that are held at once.
+SCORES = 4_000_000
 #: Query vectors up to which they are broadcast.
 BROADCAST_QUERIES = 10_000
 FILTER_FIELDS = ("year", "year_from", "year_to", "doctype", "subject", "studio")
@@ -143,10 +145,9 @@ def _best_in_batches(asked: dict[int, tuple[list, np.ndarray]], k: int, digits:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            for width, (ids, q) in asked.items():
-                rows = batch.take(pa.array(np.flatnonzero(sizes == width)))
-                if not rows.num_rows:
-                    continue
+            parts = ((w, ids, q, at[i : i + max(64, SCORES // len(ids))]) for w, (ids, q) in asked.items() for at in [np.flatnonzero(sizes == w)] for i in range(0, len(at), max(64, SCORES // len(ids))))
+            for width, ids, q, own in parts:
+                rows = batch.take(pa.array(own))
                 x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
                 size = np.linalg.norm(x, axis=1)
                 score = q @ np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] > 0).T
@@ -167,7 +168,7 @@ def _best_in_batches(asked: dict[int, tuple[list, np.ndarray]], k: int, digits:
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", digits: int | None = None) -> DataFrame:
     """(question_id, key, score, rank): the k vectors of largest cosine for each question; equal scores go to the smaller key.
 
-    Up to ``BROADCAST_QUERIES`` questions are multiplied with each batch of the collection and only the best k of a batch
+    Up to ``BROADCAST_QUERIES`` questions are multiplied with parts of the collection and only the best k of a part
     go on, so rows do not grow with questions times vectors; more are scored by :func:`vector_scores`. Scores are rounded
     to ``digits`` before they are ranked. Nulls and other widths have no score, zero vectors 0; null keys are left out.
     """
