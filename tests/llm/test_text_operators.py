@@ -275,6 +275,24 @@ def test_vocabulary_tells_fragments_from_words(spark):
     assert pairs.defective_pairs(d.limit(0)).count() == 0
 
 
+def test_long_words_are_found_by_their_beginnings(spark):
+    whole = "Donaudampfschifffahrtselektrizitätenhauptbetriebswerk"
+    rows = [(1, f"{whole}?", f"The rights went to {whole[:30]}"), (2, "Who?", f"The rights went to {whole[:24]}"), (3, "Who?", f"The rights went to {whole}"), (4, "Who?", f"The rights went to {whole[:30]}x")]
+    d = spark.createDataFrame(rows, "answer_id bigint, prompt string, answer string")
+    assert {tuple(r) for r in pairs.defective_pairs(d).collect()} == {(1, "truncated"), (2, "truncated")}
+
+
+def test_beginnings_of_any_length_against_brute_force(spark):
+    rng = random.Random(3)
+    heads = ["".join(rng.choice("abé") for _ in range(pairs.LISTED - 2)) for _ in range(3)]
+    token = lambda: (rng.choice(heads) + "".join(rng.choice("abé\U0001d51e") for _ in range(rng.randint(0, 9))))[rng.choice((0, 0, 0, 18)) :]
+    known, sought = {token() for _ in range(1500)}, {token() for _ in range(800)}
+    frame = lambda s: spark.createDataFrame([(t,) for t in sorted(s)], "token string")
+    got = sorted(r.token for r in pairs._begun(frame(sought), frame(known)).collect())
+    want = sorted(t for t in sought if any(k != t and k.startswith(t) for k in known))
+    assert got == want and any(len(t) > pairs.LISTED for t in want) and any(len(t) <= pairs.LISTED for t in want) and len(want) < len(sought)
+
+
 # Mixing
 
 

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.runtime import cut_lineage
@@ -69,8 +69,8 @@ LEXEME = re.compile(r"(?m)^[ \t]*(?P<fence>`{3,}|~{3,})[^\n]*$|(?P<code>`+)|<(?P
 ITEM = re.compile(r"^[ \t]*(?:\d+[.)]|[-*+•–])[ \t]+(?=\S)")
 
 
-#: Letters of a word's longest beginning that is looked for.
-LONGEST = 24
+#: Beginnings of up to so many letters are listed for each known word; longer ones are found in its order.
+LISTED = 24
 HIDDEN = regex.compile(r"[\p{Cf}\p{Co}\p{Cn}\p{Cs}]|(?![\n\t\r])\p{Cc}")
 
 
@@ -339,6 +339,23 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(whole), pa.string())], ["token"])
 
 
+def _begun(sought: DataFrame, known: DataFrame) -> DataFrame:
+    """(token) of the sought ones that are the beginning of a longer known token, whatever their length.
+
+    Up to ``LISTED`` letters the beginnings of the known tokens are listed. In code point order the tokens
+    with one beginning follow it directly, so a longer one begins the next known token or none: those are
+    sorted with the known tokens of the same first letters, and no list grows with the length of a token.
+    """
+    starts = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("token") - 1, F.lit(LISTED))), lambda i: F.left("token", i)))
+    short = known.where(F.length("token") > 1).select(starts.alias("token")).join(sought, "token", "left_semi").distinct()
+    long = lambda d, is_known: d.where(F.length("token") > LISTED).select(F.left("token", F.lit(LISTED)).alias("head"), "token", F.lit(is_known).alias("known"))
+    asked = long(sought, False)
+    both = asked.unionByName(long(known, True).join(asked.select("head").distinct(), "head", "left_semi"))
+    later = Window.partitionBy("head").orderBy(F.col("token").desc(), "known").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("next", F.last(F.when(F.col("known"), F.col("token")), ignorenulls=True).over(later))
+    return short.unionByName(found.where(~F.col("known") & F.startswith("next", "token")).select("token").distinct())
+
+
 def defective_pairs(answers: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(answer_id, defect) of the defective pairs: empty, truncated, refusal, copies_question or wrong_language.
 
@@ -356,8 +373,6 @@ def defective_pairs(answers: DataFrame, names: DataFrame | None = None) -> DataF
         texts = texts.unionByName(names.select(F.col("name").alias("t"), F.lit("name").alias("k")))
     known = cut_lineage(texts.where("t <> ''").mapInArrow(_vocabulary, "token string").distinct())
     asked = judged.where("defect is null").select("answer_id", F.col("word").alias("token"))
-    starts = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("token") - 1, F.lit(LONGEST))), lambda i: F.left("token", i)))
-    begun = known.where(F.length("token") > 1).select(starts.alias("token")).join(asked.select("token").distinct(), "token", "left_semi").distinct()
-    cut = asked.join(known, "token", "left_anti").join(begun, "token", "left_semi")
+    cut = asked.join(known, "token", "left_anti").join(_begun(asked.select("token").distinct(), known), "token", "left_semi")
     sure = judged.where("defect is not null").select("answer_id", "defect")
     return sure.unionByName(cut.select("answer_id", F.lit("truncated").alias("defect"))).distinct()
