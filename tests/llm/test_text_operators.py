@@ -160,6 +160,19 @@ def test_scores_cover_every_cell_once(spark, data):
     assert got.count() == want == got.select("chunk_id", "kind", "term").distinct().count()
 
 
+def test_found_terms_need_no_scores(spark, monkeypatch):
+    rows = [
+        ("1", "a", "fixed", "Vault vault VAULT sea sea sea film film film", ["film", "one", "k", "k", None]), ("1", "a", "fixed", "Vault vault VAULT sea sea sea film film film", ["film", "one", "k", "k", None]),
+        ("2", "b", "fixed", "film vault", ["k", "two"]), ("3", "b", "fixed", None, ["two", "film"]), ("4", "c", "fixed", "film reel reel reel", ["k3"]), ("5", "d", "fixed", "film reel", ["k3", "k"]),
+        ("6", "c", "fixed", "", None), ("7", "e", "recursive", "reel lamp lamp lamp", ["k", "one"]),
+    ]
+    d = spark.createDataFrame(rows, "id string, doc_id string, strategy string, text string, entity_keys array<string>").withColumn("score", F.lit(9))
+    monkeypatch.setattr(terms, "adjusted_residual", None)
+    assert sorted(map(tuple, terms.distinctive(d).collect())) == [("1", "film"), ("1", "k"), ("1", "vault"), ("2", "k"), ("3", "film"), ("4", "k3"), ("4", "reel"), ("5", "k"), ("5", "k3")]
+    whole = spark.createDataFrame([("1", "a", "fixed", "reel reel reel", [])], "id string, doc_id string, strategy string, text string, entity_keys array<string>")
+    assert [tuple(r) for r in terms.distinctive(whole).collect()] == [("1", "reel")] and terms.distinctive(d.limit(0)).count() == 0
+
+
 # Near duplicates
 
 
