@@ -240,6 +240,23 @@ def test_large_casts_are_dealt_to_blocks(spark, monkeypatch):
     assert {tuple(r) for r in graph.collaborations(e, n).collect()} == want and len(want) > 30
 
 
+def test_shared_credits_shuffle_no_meetings_and_count_each_work_once(spark, monkeypatch):
+    rows = [(d, f"p{i}" if i else None, "DIRECTED", f"w{j}") for i in range(9) for j in range(7) if (i + j) % 3 for d in ("d", "e") if d == "d" or (i + j) % 2]
+    rows += [(d, f"w{j}", "SHOT_BY", f"q{i}" if i else None) for i in range(8) for j in range(6) if (i * j) % 4 != 1 for d in ("d", "e", "f") if d == "d" or i % 2]
+    rows += [(None, "p1", "DIRECTED", "w0"), (None, "w0", "SHOT_BY", "q9"), ("d", "p1", "DIRECTED", None), ("d", None, "SHOT_BY", "q9"), *rows[:5]]
+    e = spark.createDataFrame([(*r, 0.9) for r in rows] + [("d", "p1", "DIRECTED", "w5", 0.1)], "doc_id string, subject string, predicate string, object string, confidence double")
+    want = {}
+    for d, who, _, work in (r for r in rows if r[2] == "DIRECTED" and r[0] and r[3]):
+        for other in (r[3] for r in rows if r[2] == "SHOT_BY" and r[:2] == (d, work)):
+            want.setdefault((who, other), set()).add(work)
+    monkeypatch.setattr(graph, "MEETINGS", 5)
+    monkeypatch.setattr(graph, "PAIRS", 3)
+    got = graph.shared_credits(e, "DIRECTED", "SHOT_BY")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((*k, len(v))) for k, v in want.items())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()  # the meetings themselves were shuffled before
+    assert graph.shared_credits(e, "DIRECTED", "WON").count() == 0 and graph.shared_credits(e.limit(0), "DIRECTED", "SHOT_BY").count() == 0
+
+
 def test_lines_of_pages(spark):
     words = spark.createDataFrame([("d", 1, 90.0, 10.0, "exam-", 10.0, True), ("d", 1, 91.0, 5.0, "An", 12.0, True), ("d", 1, 80.0, 5.0, "ple here", 10.0, None)], "doc_id string, page int, baseline double, left double, text string, font_size double, bold boolean")
     lines = chunking.lines_of_words(words)
