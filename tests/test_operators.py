@@ -310,6 +310,35 @@ def test_every_stage_does_what_its_options_say(spark):
         retrieve(q, c, None, stage_options(3))
 
 
+def test_stages_share_what_they_have_in_common(spark, monkeypatch):
+    rows = [(f"{s[0]}{i}", "d", s, i, i * 100, i * 100 + 100, t, 2005) for s in ("recursive", "contextual") for i, t in enumerate(["alpha film", "beta film", "alpha beta film"])]
+    c = spark.createDataFrame(rows, "id string, doc_id string, strategy string, strategy_ordinal int, start_char int, end_char int, text string, year int")
+    c = c.withColumns({n: F.lit(None).cast("string") for n in ("doctype", "subject", "studio")})
+    v = spark.createDataFrame([(r[0], [1.0, float(r[3] % 2)]) for r in rows], "id string, vector array<float>")
+    q = spark.createDataFrame([(i, t, [1.0, 0.0]) for i, t in enumerate(["alpha film", "alpha film", "beta"])], "question_id int, question string, vector array<float>")
+    given = Inputs(sections=c.select("doctype", "subject", "studio", "year"), glossary=spark.createDataFrame([("flick", "film")], "phrase string, expansion string"))
+    calls = []
+    for name in ("bm25", "vector_top"):
+        monkeypatch.setattr(f"weftline.plans.ask.{name}", lambda *a, f=getattr(search, name), n=name, **k: calls.append(n) or f(*a, **k))
+    got = {}
+    for r in compare(q, c, v, [2, 3, 4, 5, 6, 7, 8, 9], given).orderBy("rank").collect():
+        got.setdefault((r.stage, r.question_id), []).append(r.chunk_id)
+    assert sorted(calls) == ["bm25"] * 2 + ["vector_top"] * 3  # one for each strategy and filter; there was one for each stage
+    assert got[2, 0] == ["r0", "r2", "r1"] and got[5, 0] == got[5, 1] == got[6, 0] and got[7, 2] == got[8, 2] == got[9, 2] == ["c1", "c2", "c0"]
+    one = {n: {(r.question_id, r.chunk_id, r.rank) for r in retrieve(q, c, v, stage_options(n), given).collect()} for n in (4, 7)}
+    assert all(one[n] == {(i, x, j + 1) for (s, i), ids in got.items() if s == n for j, x in enumerate(ids)} for n in one)
+
+
+def test_vectors_within_scopes(spark):
+    rows = [(f"k{i:02d}", [float(i % 5 - 2), float(i % 3), 1.0]) for i in range(30)] + [("n", None), ("z", [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id string, vector array<float>")
+    q = spark.createDataFrame([(i, [1.0, float(i), 0.5], i % 3) for i in range(6)], "question_id int, vector array<float>, scope int")
+    members = spark.createDataFrame([(i % 2, k) for i, (k, _) in enumerate(rows)] + [(1, "k00")], "scope int, id string")
+    got = {(r.question_id, r.id, r.rank) for r in search.vector_top(v, q, 4, digits=12, scopes=members).collect()}
+    every = search.vector_scores(v, q).withColumn("score", F.round("score", 12)).join(q.select("question_id", "scope"), "question_id").join(members, ["scope", "id"], "left_semi")
+    assert got == {(r.question_id, r.id, r.rank) for r in search.top_k(every, 4).collect()} and len(got) == 16
+
+
 def test_figures_within_a_filter_are_those_of_the_filtered_texts(spark):
     c = spark.createDataFrame([("a", "red fox"), ("b", "red red hen house"), ("c", "blue fox"), ("d", None)], "id string, text string")
     q = spark.createDataFrame([(1, "red fox", "s"), (2, "red fox", "t")], "question_id int, question string, scope string")
